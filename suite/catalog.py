@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import base, cleaning, linkage, scans  # noqa: F401  (importing registers)
+from . import (  # noqa: F401  (importing registers)
+    aggregation, base, cleaning, geography, linkage, reporting, scans,
+)
 
 
 def queries() -> dict[str, base.Query]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,11 @@ CRASH_COLUMNS = [
 
 
 @dataclass(frozen=True)
-class YearFiles:
-    """The files of one year. Race moved to its own file in 2019; the wide factor columns
-    of vehicle and crash became long factor files in 2020."""
+class Layout:
+    """The files of all years that share a layout, each with a ``year`` column (the
+    partition directory). Race moved to its own file in 2019; the wide factor columns of
+    vehicle and crash became long factor files in 2020."""
 
-    year: int
     person: DataFrame
     vehicle: DataFrame
     crash: DataFrame
@@ -59,10 +59,9 @@ def role() -> Column:
     ])
 
 
-def _person(files: YearFiles) -> DataFrame:
+def _person(files: Layout) -> DataFrame:
     has_race = "RACE" in files.person.columns
-    day = files.person.withColumn("year", F.lit(files.year))
-    return day.select(
+    return files.person.select(
         "year",
         case_date("MONTH", "DAY").alias("date"),
         if_else_na(F.col("INJ_SEV") == FATAL_SEVERITY, case_date("DEATH_MO", "DEATH_DA"), F.lit(None))
@@ -72,34 +71,34 @@ def _person(files: YearFiles) -> DataFrame:
     )
 
 
-def _vehicle(files: YearFiles) -> DataFrame:
-    df = files.vehicle.withColumn("year", F.lit(files.year))
+def _vehicle(files: Layout) -> DataFrame:
+    df = files.vehicle
     if files.driver_factors is None:
         fleeing = any_code([f"DR_SF{i}" for i in range(1, 5)], DRIVER_FLEEING_CODE)
         return df.select("year", "ST_CASE", "VEH_NO", "SPEC_USE", fleeing.alias("pursuit_driver"))
     # A vehicle has one row per factor; reduce to one flag so that its people stay single.
-    factors = files.driver_factors.groupBy("ST_CASE", "VEH_NO").agg(
+    factors = files.driver_factors.groupBy("year", "ST_CASE", "VEH_NO").agg(
         F.max(matches("DRIVERRFNAME", "Pursuing").cast("int")).alias("pursuit_driver")
     )
     return df.select("year", "ST_CASE", "VEH_NO", "SPEC_USE").join(
-        factors, ["ST_CASE", "VEH_NO"], "left"
+        factors, ["year", "ST_CASE", "VEH_NO"], "left"
     )
 
 
-def _crash(files: YearFiles) -> DataFrame:
-    df = files.crash.withColumn("year", F.lit(files.year))
+def _crash(files: Layout) -> DataFrame:
+    df = files.crash
     base = ["year", *CRASH_COLUMNS, F.col("LONGITUD").alias("LONGITUDE")]
     if files.crash_factors is None:
         flagged = any_code([f"CF{i}" for i in range(1, 4)], CRASH_PURSUIT_CODE)
         return df.select(*base, flagged.alias("pursuit_crash"))
-    factors = files.crash_factors.groupBy("ST_CASE").agg(
+    factors = files.crash_factors.groupBy("year", "ST_CASE").agg(
         F.max(matches("CRASHRFNAME", "Pursuit").cast("int")).alias("pursuit_crash")
     )
-    return df.select(*base).join(factors, "ST_CASE", "left")
+    return df.select(*base).join(factors, ["year", "ST_CASE"], "left")
 
 
 def build(
-    years: Sequence[YearFiles], state: str | None = None,
+    layouts: Sequence[Layout], state: str | None = None,
     county_codes: DataFrame | None = None, city_codes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per person over all years: harmonised columns, flags and role.
@@ -107,21 +106,13 @@ def build(
     Each layout is projected to common columns first; the person, vehicle and crash joins
     then run once over all years, keyed by year."""
     if state is not None:
-        here = F.col("STATENAME") == state
-        years = [
-            YearFiles(f.year, *[
-                None if d is None else d.where(here)
-                for d in (f.person, f.vehicle, f.crash, f.race, f.driver_factors, f.crash_factors)
-            ])
-            for f in years
-        ]
-    person = union_sources([_person(f) for f in years])
-    vehicle = union_sources([_vehicle(f) for f in years])
-    crash = union_sources([_crash(f) for f in years])
+        layouts = [_only(files, state) for files in layouts]
+    person = union_sources([_person(f) for f in layouts])
+    vehicle = union_sources([_vehicle(f) for f in layouts])
+    crash = union_sources([_crash(f) for f in layouts])
     races = [
-        f.race.select(F.lit(f.year).alias("year"), "ST_CASE", "VEH_NO", "PER_NO",
-                      F.col("RACE").alias("__race"))
-        for f in years if f.race is not None
+        f.race.select("year", "ST_CASE", "VEH_NO", "PER_NO", F.col("RACE").alias("__race"))
+        for f in layouts if f.race is not None
     ]
     if races:
         person = person.join(union_sources(races), ["year", "ST_CASE", "VEH_NO", "PER_NO"], "left")
@@ -137,6 +128,13 @@ def build(
     return out.withColumn("victim", role())
 
 
+def _only(files: Layout, state: str) -> Layout:
+    """Filter every file at the scan."""
+    here = F.col("STATENAME") == state
+    kept = {f.name: getattr(files, f.name) for f in fields(files)}
+    return Layout(**{n: None if d is None else d.where(here) for n, d in kept.items()})
+
+
 def pursuits(persons: DataFrame) -> DataFrame:
     """People in crashes with a pursuit flag on the crash or the driver."""
     return persons.where((F.col("pursuit_crash") == 1) | (F.col("pursuit_driver") == 1))

@@ -93,6 +93,15 @@ def flags(df: DataFrame) -> DataFrame:
     return df.withColumn("pursuit_tag", any_code(["pursuit_driver", "pursuit_crash"], 1))
 
 
+def _add_factors(raw: DataFrame, factors: DataFrame) -> DataFrame:
+    """Factor columns of the separate delivery where the person file has none."""
+    keys = ["par", "year"]
+    new = [c for c in factors.columns if c not in keys]
+    delivered = factors.select(*keys, *[F.col(c).alias(f"__{c}") for c in new])
+    value = {c: F.coalesce(c, f"__{c}") if c in raw.columns else F.col(f"__{c}") for c in new}
+    return raw.join(delivered, keys, "left").withColumns(value).drop(*[f"__{c}" for c in new])
+
+
 def build(
     years: Sequence[DataFrame], factors: DataFrame | None = None, extra: DataFrame | None = None,
     fixes: DataFrame | None = None, city_codes: DataFrame | None = None,
@@ -102,8 +111,7 @@ def build(
     layout, ``fixes`` a corrections table keyed by record_id."""
     raw = union_sources(years, {"accmon": "double", "accday": "double"})
     if factors is not None:
-        new = [c for c in factors.columns if c in ("par", "year") or c not in raw.columns]
-        raw = raw.join(factors.select(*new), ["par", "year"], "left")
+        raw = _add_factors(raw, factors)
     if extra is not None:
         raw = union_sources([raw, extra])
     df = flags(raw.withColumn("record_id", record_id()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401  (importing registers)
-    aggregation, base, cleaning, geography, linkage, reporting, scans,
+    aggregation, base, cleaning, flows, geography, linkage, reporting, scans,
 )
 
 

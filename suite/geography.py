@@ -45,10 +45,10 @@ def geo_project(t):
     )
     one = first_by(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["x", "y"])
     points = geo.project_points(one, "x", "y")
-    mean = geo.centroid(points)
+    mean = geo.centroid(points).select(F.struct("lon", "lat").alias("p")).scalar()
     return points.select(
         F.col("l_orderkey").alias("incident"),
         F.round("longitude", 6).alias("longitude"), F.round("latitude", 6).alias("latitude"),
-        F.round(mean.select("lon").scalar(), 6).alias("mean_lon"),
-        F.round(mean.select("lat").scalar(), 6).alias("mean_lat"),
+        F.round(mean["lon"], 6).alias("mean_lon"),
+        F.round(mean["lat"], 6).alias("mean_lat"),
     )

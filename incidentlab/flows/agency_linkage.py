@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..io import stage
 from ..link import ABSENT, TAGGED, UNTAGGED, link_full, status, survive
 from ..rollup import attach_group, first_by, nth_by
 from ..rsem import null_safe_join
@@ -35,8 +36,9 @@ def link_records(a: DataFrame, b: DataFrame) -> DataFrame:
     incident with pairs, but themselves without a partner, are kept as B-only."""
     tagged = F.col("pursuit_tag") == 1
     has_a, has_b = F.col("record_id_a").isNotNull(), F.col("record_id_b").isNotNull()
+    # Four branches read the first pass, so it is computed once.
     first = attach_group(
-        link_full(a.where(tagged), b.where(tagged), KEYS, "record_id", "record_id"),
+        stage(link_full(a.where(tagged), b.where(tagged), KEYS, "record_id", "record_id")),
         "incident", {"pairs": F.count_if(has_a & has_b)},
     )
     matched = first.where(has_a & has_b).withColumns(
@@ -96,8 +98,8 @@ def incidents(records: DataFrame, fatalities: DataFrame) -> DataFrame:
 
 
 def build(a: DataFrame, b: DataFrame, pursued_units: DataFrame | None = None) -> Linked:
-    """From the minimal frames of both sources to the consensus frames."""
-    records = consensus(link_records(a, b), pursued_units)
+    """From the minimal frames of both sources (stored tables) to the consensus frames."""
+    records = stage(consensus(link_records(a, b), pursued_units))
     persons = records.where(F.col("parked_empty_car_w") != 1)
     fatalities = persons.where(F.col("injury_w") == "fatal")
     return Linked(records, persons, fatalities, incidents(records, fatalities))

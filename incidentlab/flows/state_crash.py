@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import names
 from ..clean import any_match, apply_fixes, exclude, fill_zero, recode_values
 from ..geo import project_points
-from ..rollup import attach_group, firsts, person_ids, propagate
+from ..rollup import firsts, person_ids, propagate
 from ..rsem import first_match, matches
 
 ID, UNIT = "Collision Report Number", "Unit Number"
@@ -71,14 +71,16 @@ def build(
         "pursuit_driver": any_match(ACTIONS, "pursuit"),
         "parked_empty_car": matches("Vehicle Action 1", "Unoccupied").cast("int"),
     })
-    df = person_ids(df, ID, UNIT, ["Involved Person Type", *tie])
-    df = propagate(df, ID, F.col("pursuit_driver") == 1, UNIT, "flagged_unit")
+    order = ["Involved Person Type", *tie]
+    df = propagate(
+        person_ids(df, ID, UNIT, order), ID, F.col("pursuit_driver") == 1, UNIT, source=df,
+        aggs={
+            "records": F.count(F.lit(1)),
+            "persons": F.count_if(F.col("parked_empty_car") == 0),
+            "point": firsts([UNIT, *order], {"x": "State Plane X", "y": "State Plane Y"}),
+        },
+    )
     df = df.withColumn("pursuit_tag", (F.col("flagged_units") > 0).cast("int"))
-    df = attach_group(df, ID, {
-        "records": F.count(F.lit(1)),
-        "persons": F.count_if(F.col("parked_empty_car") == 0),
-        "point": firsts(["record_id"], {"x": "State Plane X", "y": "State Plane Y"}),
-    })
     df = project_points(
         df.withColumns({"px": F.col("point.x"), "py": F.col("point.y")}), "px", "py"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import names
 from ..clean import any_code, apply_fixes, fill_zero, recode_values
 from ..io import union_sources
-from ..rollup import attach_group, propagate
+from ..rollup import propagate
 from ..rsem import first_match, if_else_na
 
 # Factor codes of the state person files.
@@ -120,8 +120,9 @@ def build(
     # Rows without a person type are leftovers unless they are a parked empty car.
     df = df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1))
 
-    df = propagate(df, "par", F.col("pursuit_driver") == 1, "vnumber", "flagged_unit")
-    df = attach_group(df, "par", {"records": F.count(F.lit(1))})
+    df = propagate(
+        df, "par", F.col("pursuit_driver") == 1, "vnumber", aggs={"records": F.count(F.lit(1))}
+    )
     df = fill_zero(df, ["pursuit_driver", "pursuit_crash", "pursuit_tag", "is_officer"])
     df = df.withColumn(
         "city_code",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -41,6 +43,24 @@ def union_sources(
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """New folder below the shared location that the session names for checkpoints. Only a
+    session that names none (a local test) gets a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incidentlab-")
+    return os.path.join(root, f"incidentlab-{uuid.uuid4().hex}")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a frame once and continue from the written table.
+
+    For a frame that several later branches read: each branch would otherwise repeat all
+    of its upstream joins, and the plan would grow with every stage. The table lies in the
+    shared folder, so it outlives any executor. The caller's cluster clears that folder."""
+    path = shared_folder(df.sparkSession) + "/stage.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tables(
     tables: Mapping[str, DataFrame], directory: str, partition_by: Mapping[str, str] | None = None
 ) -> dict[str, str]:

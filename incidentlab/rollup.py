@@ -23,21 +23,26 @@ def attach_group(df: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Col
 
 
 def propagate(
-    df: DataFrame, key: str, cond: Column, unit: str, out: str = "flagged_unit"
+    df: DataFrame, key: str, cond: Column, unit: str, out: str = "flagged_unit",
+    aggs: Mapping[str, Column] | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """Spread a flag on some member to all records of the incident.
 
     Adds, without multiplying rows when several units are flagged:
     ``<out>`` the lowest flagged unit of the incident, ``<out>s`` how many distinct units
-    are flagged (0 if none), ``in_<out>`` 1 when the record's own unit is one of them."""
-    flagged = df.where(cond).select(key, unit).distinct()
-    per_incident = flagged.groupBy(key).agg(
-        F.min(unit).alias(out), F.count(F.lit(1)).alias(f"{out}s")
-    )
-    own = flagged.withColumn(f"in_{out}", F.lit(1))
-    joined = null_safe_join(df, per_incident, [key], "left")
-    joined = null_safe_join(joined, own, [key, unit], "left")
-    return joined.fillna(0, subset=[f"{out}s", f"in_{out}"])
+    are flagged (0 if none), ``in_<out>`` 1 when the record's own unit is one of them, and
+    any further incident aggregates in ``aggs``. ``source`` may name an earlier state of
+    ``df`` with the same rows, to aggregate from a shorter plan."""
+    source = df if source is None else source
+    per_unit = source.where(cond).select(key, unit).distinct()
+    flagged = per_unit.groupBy(key).agg(F.min(unit).alias(out), F.count(F.lit(1)).alias(f"{out}s"))
+    own = per_unit.withColumn(f"in_{out}", F.lit(1))
+    if aggs:
+        totals = source.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
+        df = null_safe_join(df, totals, [key], "left")
+    df = null_safe_join(df, flagged, [key], "left")
+    df = null_safe_join(df, own, [key, unit], "left")
+    return df.fillna(0, subset=[f"{out}s", f"in_{out}"])
 
 
 def first_by(

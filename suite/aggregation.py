@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from incidentlab import names, tables
 from incidentlab.flows.report import build_incidents, number_incidents
 from incidentlab.geo import markers
+from incidentlab.io import stage
 from incidentlab.ordering import number_within
 from incidentlab.rollup import attach_group, first_by, nth_by, person_ids
 from incidentlab.rsem import level_rank, strict_count
@@ -168,7 +169,7 @@ def global_sequence(t):
         incident_type().alias("incident_type"),
         F.when(F.col("age") == 9, F.col("case_id") % 100).alias("incident_num"),
     )
-    return number_incidents(rows).select("case_id", "incident_num")
+    return number_incidents(stage(rows)).select("case_id", "incident_num")
 
 
 @query("""

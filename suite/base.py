@@ -6,15 +6,13 @@ stand next to each other; queries build on them.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from incidentlab.periods import Policy
 from incidentlab.rsem import first_match
@@ -24,6 +22,7 @@ POLICY = Policy(date(1995, 1, 1), date(1998, 7, 1), date(2000, 6, 1), date(2001,
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SCHEMAS: dict[str, StructType] = {}  # a table's schema is read from its files once
 
 
 @dataclass(frozen=True)
@@ -32,7 +31,10 @@ class Tables:
     sf_dir: str
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def query(sql: str | None = None, ctes: str = "") -> Callable:
@@ -64,13 +66,6 @@ def _closure(wanted: list[str]) -> list[str]:
     return out
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """New folder in the shared location the session names for checkpoints. Only a session
-    that names none (a local test) gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incidentlab-")
-    return os.path.join(root, f"incidentlab-{uuid.uuid4().hex}")
-
-
 SQL_VIEWS: dict[str, str] = {}
 DEPENDS = {"persons": ["cases"], "deaths": ["persons"], "fatalities": ["deaths"],
            "sa": ["cases"], "sb": ["cases"], "sc": ["cases"]}

@@ -11,6 +11,7 @@ from incidentlab import names
 from incidentlab.flows import (
     agency_linkage, crowd_linkage, national, newspaper, report, state_crash, state_person,
 )
+from incidentlab.io import stage
 from incidentlab.rsem import first_match
 
 from .aggregation import SQL_ROLLUP, incidents
@@ -32,6 +33,7 @@ DEPENDS["lines"] = ["cases"]
 
 
 def lines(t):
+    """The persons of a crash file; staged, as the agencies' inputs are finished files."""
     c = F.col
     raw = t.lineitem.select(
         c("l_orderkey").alias("case_id"), c("l_linenumber").alias("unit"),
@@ -41,7 +43,7 @@ def lines(t):
         F.round(c("l_tax") * 100).cast("int").alias("x"),
     )
     case = cases(t).select("case_id", "date", "priority", "order_status", "county_code", "county", "city", "custkey")
-    return raw.join(case, "case_id").withColumn("year", F.year("date"))
+    return stage(raw.join(case, "case_id").withColumn("year", F.year("date")))
 
 
 # --- source A: state person files --------------------------------------------------------
@@ -224,7 +226,7 @@ W_OUT = ["incident", "record_id_a", "record_id_b", "status_a", "status_b", "coun
 
 def agency_links(t):
     return agency_linkage.build(
-        state_person.minimal(state_persons(t)), state_crash.minimal(state_crashes(t))
+        stage(state_person.minimal(state_persons(t))), stage(state_crash.minimal(state_crashes(t)))
     )
 
 
@@ -281,8 +283,8 @@ def _pool(df, record, *extra):
 
 
 def crowd_links(t):
-    a, b = source_a(t), source_b(t)
-    crowd = source_c(t).select(
+    a, b = stage(source_a(t)), source_b(t)
+    crowd = stage(source_c(t)).select(
         F.col("c_id").alias("fe_id"), *CROWD_KEYS, F.col("c_id").alias("incident_fe"),
         F.lit("Active pursuit").alias("vpursuit_fe"), F.lit(2).alias("status_fe"),
         F.lit(2).alias("city_code_fe"), F.lit("x").alias("pcat_p_fe"),
@@ -321,7 +323,7 @@ def flow_crowd_members(t):
         F.when(F.col("cod") == "Vehicle", "fatal").when(F.col("cod").isNotNull(), "no injury").alias("injury"),
     ).withColumnRenamed("rec_id", "record_id")
     out = crowd_linkage.nonfatal_members(
-        crowd_links(t), people.drop("unit"), people.where(F.col("unit") <= 4).drop("unit"), ["age", "victim"]
+        stage(crowd_links(t)), people.drop("unit"), people.where(F.col("unit") <= 4).drop("unit"), ["age", "victim"]
     )
     return out.select("incident", F.col("record_id_a").alias("rec_a"), F.col("record_id_b").alias("rec_b"),
                       "inclusion", F.col("fe_id").alias("c_id"))
@@ -332,7 +334,7 @@ def flow_crowd_members(t):
 SQL_VIEWS["national"] = """
 WITH p AS (SELECT *, CASE q % 13 WHEN 12 THEN 99 ELSE NULLIF(q % 13, 0) END AS per_typ, NULLIF(x, 7) AS sev FROM lines WHERE county_code < 15),
 v AS (SELECT year, case_id, unit, max(CASE WHEN x = 8 THEN 5 ELSE 0 END) AS spec_use,
-    CASE WHEN year < 1999 THEN max(CAST(q = 37 AS INT)) ELSE max(CAST(d = 9 AS INT)) END AS pursuit_driver FROM lines WHERE county_code < 15 GROUP BY ALL),
+    CASE WHEN year < 1999 THEN max(CAST(q = 37 AS INT)) ELSE max(CAST(d = 9 AS INT)) END AS pursuit_driver FROM lines WHERE county_code < 15 GROUP BY year, case_id, unit),
 c AS (SELECT case_id, CASE WHEN year(date) < 1999 THEN CASE WHEN priority = '1-URGENT' THEN 1 WHEN order_status = 'O' THEN NULL ELSE 0 END
     ELSE CASE WHEN priority = '2-HIGH' THEN 1 ELSE 0 END END AS pursuit_crash FROM cases WHERE county_code < 15)
 SELECT p.year, p.case_id AS "ST_CASE", p.unit AS "VEH_NO", p.person AS "PER_NO", p.date,
@@ -552,7 +554,7 @@ INCIDENT_MEASURES = [
 WITH {SQL_ROLLUP}, {LONG_SQL.replace("rec_id, ", "").replace("victim, ", "").replace("FROM fatalities", "FROM incidents")},
 wide AS (SELECT agency, min(agency_type) AS agency_type, {", ".join(_cells(*m) for m in INCIDENT_MEASURES)} FROM long GROUP BY agency)
 SELECT wide.*, {", ".join(f"coalesce({m[0]}_pre, 0) + coalesce({m[0]}_reform, 0) + coalesce({m[0]}_rollback, 0) AS {m[0]}_tot" for m in INCIDENT_MEASURES)},
-  'ORI' || n_nationkey AS "ORI", n_nationkey * 1000 AS population, 'yes' AS accredited
+  'ORI' || n_nationkey AS "ORI", n_nationkey * 1000 AS population, CASE WHEN n_name IS NOT NULL THEN 'yes' END AS accredited
 FROM wide LEFT JOIN nation ON agency = n_name || ' County Sheriff''s Office'
 """, "fatalities")
 def report_agency_incidents(t):

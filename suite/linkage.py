@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from incidentlab import link
+from incidentlab.io import stage
 from incidentlab.rollup import attach_group, propagate
 from incidentlab.rsem import natural_join
 
@@ -22,7 +23,7 @@ WITH linked AS (
 
 
 def linked(t):
-    return link.link_full(source_a(t), source_b(t), LINK_KEYS, "a_id", "b_id").withColumnsRenamed(
+    return link.link_full(stage(source_a(t)), stage(source_b(t)), LINK_KEYS, "a_id", "b_id").withColumnsRenamed(
         {"a_id_a": "a_id", "b_id_b": "b_id"}
     )
 
@@ -197,7 +198,7 @@ UNION ALL SELECT c_id, 'crowd only', NULL, NULL, NULL FROM r3
 """, "sa sb sc")
 def link_cascade(t):
     crowd = source_c(t).select("c_id", "date", "district", "age", "city", F.col("county_code").alias("place"))
-    a = source_a(t).withColumn("place", F.col("county_code"))
+    a = stage(source_a(t)).withColumn("place", F.col("county_code"))
     b = source_b(t)
     return link.cascade(crowd, [
         ("both", a.where(F.col("tag") == 1), "a_id", ["date", "place", "age", "city"]),
@@ -249,7 +250,7 @@ SELECT case_id, rec_a, rec_b, CASE WHEN rec_a IS NULL THEN 0 ELSE 1 END AS statu
   CASE WHEN rec_b IS NULL THEN 0 ELSE 1 END AS status_b, lead FROM x JOIN m USING (case_id)
 """, "deaths")
 def link_expand_members(t):
-    people = deaths(t)
+    people = stage(deaths(t).select("rec_id", "case_id", "unit", "victim", "cod", "person_age", "vpursuit"))
     matched = people.where(
         (F.col("vpursuit") == "Active pursuit") & (F.col("victim") == "Officer")
     ).groupBy("case_id").agg(F.min("rec_id").alias("lead"))

@@ -6,7 +6,7 @@ from incidentlab import io
 from incidentlab.rollup import subset_tags
 from incidentlab.rsem import matches
 
-from .base import SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, fatalities, query, scratch_dir
+from .base import SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, fatalities, query
 
 ORDER_SCHEMA = """o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,
  o_orderdate timestamp_ntz, o_orderpriority string"""
@@ -17,7 +17,7 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS D
   o_orderpriority FROM orders
 """)
 def scan_csv_roundtrip(t):
-    path = scratch_dir(t.spark) + "/orders.csv"
+    path = io.shared_folder(t.spark) + "/orders.csv"
     t.orders.write.option("header", True).csv(path)
     back = io.read_table(t.spark, path, ORDER_SCHEMA)
     return back.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
@@ -28,7 +28,7 @@ SELECT o_orderkey, o_totalprice, year(o_orderdate) AS o_year FROM orders
 """)
 def sink_parquet_roundtrip(t):
     table = t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("o_year"))
-    paths = io.write_tables({"orders": table}, scratch_dir(t.spark), {"orders": "o_year"})
+    paths = io.write_tables({"orders": table}, io.shared_folder(t.spark), {"orders": "o_year"})
     return io.read_table(
         t.spark, paths["orders"], "o_orderkey long, o_totalprice double, o_year int"
     )

@@ -65,27 +65,20 @@ def _cut_points(df: DataFrame, order: Sequence[Column], ranges: int) -> DataFram
     )
 
 
-def _with_range(df: DataFrame, order: Sequence[Column], ranges: int, cuts: DataFrame) -> DataFrame:
-    """Add ``__range``, the number of cut points at or below the row (binary search)."""
-    steps, step = [], ranges // 2
-    while step:
-        steps.append(F.lit(step))
-        step //= 2
-    return (
-        df.withColumn("__cuts", cuts.scalar())
-        .withColumn("__key", _sort_key(order))
-        .withColumn(
-            "__range",
-            F.aggregate(
-                F.array(*steps),
-                F.lit(0),
-                lambda pos, jump: F.when(
-                    F.get("__cuts", pos + jump - 1) <= F.col("__key"), pos + jump
-                ).otherwise(pos),
-            ),
-        )
-        .drop("__cuts", "__key")
-    )
+def _with_range(
+    df: DataFrame, order: Sequence[Column], ranges: int, cuts: DataFrame, where: Column | None = None
+) -> DataFrame:
+    """Add ``__range``, the number of cut points at or below the row; 0 where ``where`` is
+    not true. A binary search, one projection per halving."""
+    jump = ranges // 2
+    df = df.withColumns({"__cuts": cuts.scalar(), "__key": _sort_key(order), "__range": F.lit(0)})
+    while jump:
+        past = F.get("__cuts", F.col("__range") + (jump - 1)) <= F.col("__key")
+        if where is not None:
+            past = where & past
+        df = df.withColumn("__range", F.col("__range") + F.when(past, jump).otherwise(0))
+        jump //= 2
+    return df.drop("__cuts", "__key")
 
 
 def number_global(
@@ -118,22 +111,26 @@ def number_within(
     """Number rows 1, 2, ... inside each key group, in ``order``.
 
     Ranges are cut over (keys, order). A group is split only where a cut point falls
-    inside it, so only the keys seen among the cut points (fewer than MAX_RANGES) can
-    need a shift, and the table of shifts is small enough to broadcast.
-    """
+    inside it, so only the keys seen among the cut points (fewer than MAX_RANGES) need
+    ranges and shifts, and both tables are small enough to broadcast. Every other group
+    holds less than about one range of rows and is numbered in one piece."""
     order = [as_column(c) for c in order]
     ranges = _range_count(df)
     full_order = [F.col(k) for k in keys] + order
     cuts = _cut_points(df, full_order, ranges)
-    ranged = _with_range(df, full_order, ranges, cuts)
-
-    cut = cuts.select(F.explode("cuts").alias("c"))
-    split_keys = cut.select(*[F.col(f"c.v{i}").alias(k) for i, k in enumerate(keys)]).distinct()
+    split_keys = (
+        cuts.select(F.explode("cuts").alias("c"))
+        .select(*[F.col(f"c.v{i}").alias(k) for i, k in enumerate(keys)], F.lit(True).alias("__split"))
+        .distinct()
+    )
+    marked = null_safe_join(df, F.broadcast(split_keys), keys, "left")
+    split = F.coalesce("__split", F.lit(False))
+    ranged = _with_range(marked, full_order, ranges, cuts, split)
     before = (
         Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = (
-        null_safe_join(ranged.select(*keys, "__range"), F.broadcast(split_keys), keys, "left_semi")
+        ranged.where(split)
         .groupBy(*keys, "__range")
         .agg(F.count(F.lit(1)).alias("__rows"))
         .select(*keys, "__range", F.sum("__rows").over(before).alias("__before"))
@@ -143,7 +140,7 @@ def number_within(
     numbered = null_safe_join(ranged, F.broadcast(shifts), [*keys, "__range"], "left")
     return numbered.withColumn(
         out, F.coalesce("__before", F.lit(0)) + F.row_number().over(inside)
-    ).drop("__range", "__before")
+    ).drop("__range", "__before", "__split")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], n: int = 1) -> DataFrame:

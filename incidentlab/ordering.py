@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .io import stage
 from .rsem import ColumnLike, as_column, null_safe_join
 
 ROWS_SAMPLED_PER_RANGE = 16
@@ -48,7 +49,8 @@ def _cut_points(df: DataFrame, order: Sequence[Column], ranges: int) -> DataFram
     """One row holding the ``ranges - 1`` cut points as a sorted array of sort keys.
 
     A row is sampled when its hash, modulo the row count, is below the sample size:
-    about ``ROWS_SAMPLED_PER_RANGE * ranges`` rows whatever the table size.
+    about ``ROWS_SAMPLED_PER_RANGE * ranges`` rows whatever the table size. The cut points
+    are stored, so that the branches which use them do not each sample ``df`` again.
     """
     wanted = ROWS_SAMPLED_PER_RANGE * ranges
     rows = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
@@ -57,12 +59,11 @@ def _cut_points(df: DataFrame, order: Sequence[Column], ranges: int) -> DataFram
     )
     key = _sort_key([F.col(f"o{i}") for i in range(len(order))])
     sorted_keys = sample.agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    return sorted_keys.select(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(ranges - 1)),
-            lambda i: F.get("keys", F.floor(i * F.size("keys") / ranges).cast("int")),
-        ).alias("cuts")
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.lit(ranges - 1)),
+        lambda i: F.get("keys", F.floor(i * F.size("keys") / ranges).cast("int")),
     )
+    return stage(sorted_keys.select(cuts.alias("cuts")))
 
 
 def _with_range(
@@ -85,8 +86,8 @@ def number_global(
     df: DataFrame, order: Sequence[ColumnLike], out: str = "row_no", start: int = 1
 ) -> DataFrame:
     """Number all rows ``start, start+1, ...`` in ``order`` (ascending, missing last;
-    negate a rank for descending). ``df`` is read three times on its sort columns, so
-    hand over a stored table rather than an expensive pipeline."""
+    negate a rank for descending). ``df`` is read several times on its sort columns, once
+    right away for the cut points, so hand over a stored table rather than a pipeline."""
     order = [as_column(c) for c in order]
     ranges = _range_count(df)
     ranged = _with_range(df, order, ranges, _cut_points(df, order, ranges))

@@ -84,7 +84,8 @@ A_OUT = [c for c in state_person.MIN_COLUMNS if c not in ("race", "hispanic")]
 def state_persons(t):
     c = F.col
     empty = F.lit(None).cast("int")
-    base = lines(t).select(
+    rows = lines(t)
+    base = rows.select(
         c("case_id").cast("string").alias("par"), "year", c("date").alias("crash_dt"),
         F.month("date").alias("accmon"), F.dayofmonth("date").alias("accday"),
         c("unit").alias("vnumber"), F.nullif("person", F.lit(0)).alias("pnumber"),
@@ -104,12 +105,12 @@ def state_persons(t):
         F.lit(1).alias("repjur"), F.lit("x").alias("investjur"), F.lit("x").alias("repag_long"),
         F.lit(0).alias("diedscene"), c("date").alias("death_dt"),
     )
-    crash = cases(t).select(
-        c("case_id").cast("string").alias("par"), F.year("date").alias("year"),
+    crash = rows.select(
+        c("case_id").cast("string").alias("par"), "year",
         F.when(c("priority") == "1-URGENT", 20).alias("cf1"), empty.alias("cf2"), F.lit(0).alias("cf3"),
         empty.alias("crf1"),
         F.when((c("priority") == "2-HIGH") & (c("order_status") == "F"), 20).alias("crf2"), empty.alias("crf3"),
-    )
+    ).distinct()
     # Early years carry month and day as text.
     early = base.where(c("year") < 1999).withColumns(
         {"accmon": c("accmon").cast("string"), "accday": c("accday").cast("string")}
@@ -158,7 +159,8 @@ DEPENDS["pb"] = ["lines"]
 
 def state_crashes(t):
     c = F.col
-    raw = lines(t).select(
+    rows = lines(t)
+    raw = rows.select(
         c("case_id").cast("string").alias("Collision Report Number"), c("unit").alias("Unit Number"),
         first_match([(c("q") % 3 == 0, "MV Driver"), (c("q") % 3 == 1, "MV Passenger")], "Pedestrian").alias("Involved Person Type"),
         first_match([
@@ -181,7 +183,7 @@ def state_crashes(t):
         F.when(c("x") == 8, "Yes").when(c("x") < 7, "No").alias("On Duty Indicator"),
         "person",
     )
-    excluded = cases(t).where((c("custkey") % 5 == 0) & (c("priority") == "5-LOW")).select(
+    excluded = rows.where((c("custkey") % 5 == 0) & (c("priority") == "5-LOW")).select(
         c("case_id").cast("string").alias("Collision Report Number")
     )
     counties = t.nation.select(c("n_name").alias("county_name"), c("n_nationkey").alias("county_code"))

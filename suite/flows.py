@@ -24,7 +24,7 @@ from .reporting import COUNT, LONG_SQL, _cells
 # --- raw lines -------------------------------------------------------------------------
 
 SQL_VIEWS["lines"] = """
-SELECT l_orderkey AS case_id, l_linenumber AS unit, l_partkey * 100000 + l_suppkey AS person,
+SELECT l_orderkey AS case_id, l_linenumber AS unit, (l_partkey * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS person,
   CAST(l_quantity AS INT) AS q, CAST(round(l_discount * 100) AS INT) AS d, CAST(round(l_tax * 100) AS INT) AS x,
   date, year(date) AS year, priority, order_status, county_code, county, city, custkey
 FROM lineitem JOIN cases ON l_orderkey = case_id
@@ -37,7 +37,7 @@ def lines(t):
     c = F.col
     raw = t.lineitem.select(
         c("l_orderkey").alias("case_id"), c("l_linenumber").alias("unit"),
-        (c("l_partkey") * 100000 + c("l_suppkey")).alias("person"),
+        ((c("l_partkey") * 100000 + c("l_suppkey")) * 100 + c("l_quantity").cast("long")).alias("person"),
         c("l_quantity").cast("int").alias("q"),
         F.round(c("l_discount") * 100).cast("int").alias("d"),
         F.round(c("l_tax") * 100).cast("int").alias("x"),

@@ -106,7 +106,7 @@ def agency_period_matrix(
     wide = period_matrix(
         agency_cases, "agency", "policy_period", names.PERIODS,
         _measures(grain == "fatalities"), count_name=grain,
-        attributes={"agency_type": F.min("agency_type")},
+        attributes={"agency_type": "agency_type"},
     )
     if agencies is None:
         return wide

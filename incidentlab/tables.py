@@ -88,35 +88,30 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
 def period_matrix(
     df: DataFrame, key: str, period: str, periods: Sequence[str],
     measures: Mapping[str, tuple[Column, bool]], count_name: str = "fatalities",
-    attributes: Mapping[str, Column] | None = None, fill_absent: bool = False,
+    attributes: Mapping[str, str] | None = None, fill_absent: bool = False,
 ) -> DataFrame:
     """One row per key with every measure in every period and over all periods.
 
     ``measures`` maps a name to (condition, strict); a strict measure is NULL where the
-    condition is unknown for some row. Cells of a period without rows are NULL unless
-    ``fill_absent``. Totals skip NULL cells. One aggregation, no pivot job."""
-    aggs = [a.alias(n) for n, a in (attributes or {}).items()]
-    cells: list[str] = []
-    for p in periods:
-        here = F.col(period) == p
-        rows = F.count_if(here)
-        for name, (cond, strict) in {count_name: (F.lit(True), False), **measures}.items():
-            hits = F.count_if(here & cond)
-            present = rows > 0
-            if strict:
-                present = present & (F.count_if(here & cond.isNotNull()) == rows)
-            cells.append(f"{name}_{p}")
-            aggs.append(F.when(present, hits).alias(f"{name}_{p}"))
-    wide = df.groupBy(key).agg(*aggs)
-    if fill_absent:
-        wide = wide.fillna(0, subset=cells)
-    for name in [count_name, *measures]:
-        parts = [F.coalesce(f"{name}_{p}", F.lit(0)) for p in periods]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        wide = wide.withColumn(f"{name}_tot", total)
-    return wide
+    condition is unknown for some row. ``attributes`` (name -> column) are fixed to one
+    value per key. Cells of a period without rows are NULL unless ``fill_absent``. Totals
+    skip NULL cells. Rows are counted per key and period first; only those counts, at most
+    one row per period and key, are laid out wide."""
+    attributes = attributes or {}
+    names = [count_name, *measures]
+    counts = df.groupBy(key, period).agg(
+        _count().alias(count_name),
+        *[(strict_count(c) if strict else F.count_if(c)).alias(n) for n, (c, strict) in measures.items()],
+        *[F.min(c).alias(n) for n, c in attributes.items()],
+    )
+    wide = counts.groupBy(key).agg(
+        *[F.min(n).alias(n) for n in attributes],
+        *[F.max(F.when(F.col(period) == p, F.col(n))).alias(f"{n}_{p}") for p in periods for n in names],
+        *[F.coalesce(F.sum(F.when(F.col(period).isin(*periods), F.col(n))), F.lit(0)).alias(f"{n}_tot")
+          for n in names],
+    )
+    cells = [f"{n}_{p}" for p in periods for n in names]
+    return wide.fillna(0, subset=cells) if fill_absent else wide
 
 
 def year_span(df: DataFrame, year: str) -> DataFrame:

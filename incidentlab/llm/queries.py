@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -97,6 +101,7 @@ LEFT JOIN nearest w ON w.kind = 'w' AND w.doc_id = j.doc_id
 
 
 QUERIES: dict[str, Query] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules
+from . import html_text, packing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -102,6 +106,7 @@ LEFT JOIN nearest w ON w.kind = 'w' AND w.doc_id = j.doc_id
 
 QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op9_quality_rules": op9_quality_rules,
 }
 

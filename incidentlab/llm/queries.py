@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, packing, quality_rules
+from . import html_text, langid, packing, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -105,11 +113,24 @@ LEFT JOIN nearest w ON w.kind = 'w' AND w.doc_id = j.doc_id
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_extraction": op4_html_extraction,
+    "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+heads AS (SELECT digest, max(page_id) AS head FROM q WHERE n >= {warc.LEAST_REVISIT} GROUP BY 1)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < head THEN head END AS refers_to
+FROM q LEFT JOIN heads USING (digest)
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_warc": WARC_SQL,
     "op9_quality_rules": quality_sql(),
 }

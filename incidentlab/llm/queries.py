@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, packing, quality_rules, warc
+from . import html_text, langid, packing, pii, quality_rules, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_extraction": op4_html_extraction,
+    "op5_pii": op5_pii,
     "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, packing, pii, quality_rules, warc
+from . import (
+    decontaminate, html_text, langid, packing, pii, quality_rules, substring_trees, suffix_dedup, warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_trees.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def quality_sql(rules: quality_rules.Rules = quality_rules.Rules()) -> str:
     """The verdict of ``quality_rules.judge`` as SQL; the parameters are written into it."""
     words = ", ".join(f"('{w}')" for w in quality_rules.vocabulary_of(rules))
@@ -123,12 +133,14 @@ LEFT JOIN nearest w ON w.kind = 'w' AND w.doc_id = j.doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_trees": op10_substring_trees,
 }
 
 WARC_SQL = f"""
@@ -141,7 +153,28 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM q LEFT JOIN heads USING (digest)
 """
 
+PASSAGES_SQL = """
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                             lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+windows AS (
+  SELECT doc_id, i, w[i:i + 19] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t)),
+later AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM windows)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(20) AS r(j)),
+left_over AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN left_over USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": WARC_SQL,
     "op9_quality_rules": quality_sql(),
+    "op10_substring_trees": PASSAGES_SQL,
 }

@@ -195,10 +195,10 @@ common AS (
 links AS (
   SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
   WHERE 100 * c >= 90 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id, doc_id AS other FROM t
-  UNION SELECT r.doc_id, e.b FROM reach r JOIN both e ON e.a = r.other)
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN pairs e ON e.a = r.other)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM t LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)

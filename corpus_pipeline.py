@@ -19,7 +19,7 @@ from incidentlab.llm.common import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Below this mean probability no language of the model fits, and the document is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 NEAR = jaccard_join.Join(words=5, percent=80)
 
 

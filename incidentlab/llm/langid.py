@@ -34,6 +34,7 @@ class Net:
     per_language: int = 1500
     per_text: int = 4
     epochs: int = 8
+    steps: int = 1000  # at least so many batches, however small the sample
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
@@ -71,8 +72,8 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], net: Net) -> Model:
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     places = net.window - max(net.widths) + 1
-    step = 0
-    for epoch in range(net.epochs):
+    step, epochs = 0, max(net.epochs, -(-net.steps * net.batch // max(1, len(x))))
+    for epoch in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), net.batch):
             own = order[at:at + net.batch]
@@ -105,7 +106,7 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], net: Net) -> Model:
                               part[:, :, None] * params[f"k{k}"][j].T[None])
                 grads[f"k{k}"] = grad
             step += 1
-            rate = net.rate * (1 - epoch / net.epochs)
+            rate = net.rate * (1 - epoch / epochs)
             for name, grad in grads.items():
                 first[name] = 0.9 * first[name] + 0.1 * grad
                 second[name] = 0.999 * second[name] + 0.001 * grad**2

@@ -1,12 +1,14 @@
 """Exact Jaccard join of shingle sets with block-skip index lists and set relations.
 
-Equal sets are one node. A set is indexed by the first shingles of a global order (frequent ones
-last, then by hash): two sets that link share one of them. Index lists are cut into blocks by set
-size; blocks too far apart, and entries whose positions leave too little to share, are skipped.
+Equal sets are one node. Two sets that link share a shingle among the first ones of each in any
+global order. A first order (frequent shingles last, then by hash) only tells which sets can link at
+all; these are indexed again in the order of rarity among them. Index lists are cut into blocks by
+set size; blocks too far apart, and entries whose positions leave too little to share, are skipped.
 Within a list, answers are derived from those of similar sets: every set is first compared with a
-leader, sets already connected are not compared again, and the distances to a common leader rule out
-pairs that differ from it by too different amounts. Pairs that remain are verified on whole texts,
-and components spread over the links by least labels. No step lists all pairs of a group.
+leader, the one with the fewest shingles of its own; sets already connected are not compared again,
+and the distances to a common leader rule out pairs that differ from it by too different amounts.
+Pairs that remain are verified on whole texts, and components spread over the links by least labels.
+No step lists all pairs of a group.
 """
 
 from __future__ import annotations
@@ -129,6 +131,32 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, "id long, row long, packed binary")
 
 
+def _lists(texts: DataFrame, how: Join) -> DataFrame:
+    """Index entries (shingle, id, n, pos) of the sets of ``texts``, in the order of rarity among
+    them. Shingles of one set only come first; they take positions but no entry."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = shingles(zlib.decompress(batch.column(1)[i].as_py()).decode(), how)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(len(own), i))),
+                     pa.array(np.full(len(own), len(own), np.int32)), pa.array(_signed(own))],
+                    ["id", "n", "shingle"])
+
+    full = texts.select("id", "packed").mapInArrow(emit, "id long, n int, shingle long")
+    often = stage(full.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1"))
+    both = full.join(often.hint("shuffle_hash"), "shingle")
+    per_set = both.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(
+        F.collect_list(F.struct("m", "shingle"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    first = F.col("n") - F.ceil(F.col("n") * how.percent / 100 - 1e-9).cast("int") + 1
+    head = per_set.where(first > own).select(
+        "id", "n", own.alias("own"), F.slice("common", F.lit(1), first - own).alias("head"))
+    return head.select("id", "n", "own", F.posexplode("head").alias("i", "entry")).select(
+        F.col("entry.shingle").alias("shingle"), "id", "n", (F.col("own") + F.col("i")).alias("pos"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
     """a, b, apart (size of the symmetric difference) and linked of each pair of ids."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
@@ -200,25 +228,26 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     nodes = stage(known.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "row")).alias("node")))
     firsts = nodes.select(F.col("node.id").alias("id"), F.col("node.row").alias("row"))
     heads = known.dropDuplicates(["id", "row"]).join(firsts, ["id", "row"], "left_semi")
-    entries = heads.select("id", "n", F.posexplode("head").alias("pos", "shingle"))
+    entries = heads.select("id", F.explode("head").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    lists = stage(entries.join(stage(shared.select("shingle")).hint("shuffle_hash"), "shingle",
-                               "left_semi"))
-    wanted = lists.select("id").distinct()
+    wanted = entries.join(stage(shared.select("shingle")).hint("shuffle_hash"), "shingle",
+                          "left_semi").select("id").distinct()
     wanted = stage(firsts.join(wanted, "id", "left_semi"))
     texts = stage(_packed(rows).join(wanted.hint("shuffle_hash"), ["id", "row"], "left_semi")
                   .dropDuplicates(["id"]).select("id", "packed"))
+    lists = stage(_lists(texts, how))
 
     checked = labels = None
     for number in range(how.leaders):
         open_ = _open(lists, labels)
-        order = F.struct(F.xxhash64("id", F.lit(number)), "id", "n", "label")
+        order = F.struct("pos", F.xxhash64("id", F.lit(number)), "id", "n", "label")
         leaders = open_.groupBy("shingle").agg(F.min(order).alias("first")).select(
             "shingle", F.col("first.id").alias("a"), F.col("first.n").alias("na"),
-            F.col("first.label").alias("la"))
+            F.col("first.label").alias("la"), F.col("first.pos").alias("pa"))
         pairs = open_.join(leaders, "shingle").where(
             (F.col("label") != F.col("la"))
-            & (100 * F.least("n", "na") >= how.percent * F.greatest("n", "na")))
+            & (100 * F.least("n", "na") >= how.percent * F.greatest("n", "na"))
+            & (F.col("pos") + F.col("pa") <= _least_apart(F.col("n") + F.col("na"), how)))
         pairs = pairs.select("a", F.col("id").alias("b")).distinct()
         if checked is not None:
             pairs = _not_in(pairs, checked)

@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Below this mean probability no language of the model fits, and the document is rejected.
 MIN_SCORE = 0.3
-NEAR = jaccard_join.Join(words=5, percent=80)
+NEAR = jaccard_join.Join(words=5, percent=80, filter="prefix")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Exact Jaccard join of shingle sets with block-skip index lists and set relations.
 
-Equal sets are one node. Two sets that link share a shingle among the first ones of each in any
-global order. A first order (frequent shingles last, then by hash) only tells which sets can link at
-all; these are indexed again in the order of rarity among them. Index lists are cut into blocks by
-set size; blocks too far apart, and entries whose positions leave too little to share, are skipped.
+Equal sets are one node. A first filter tells which sets can link at all. By "blocks", the sorted
+hashes of a set are cut into one block more than two linked sets of its size differ in, so that such
+sets agree in a whole block. By "prefix", they share one of the first shingles in the order of the
+hashes, and more of them the more are looked at; this suits shingles that seldom repeat by chance.
+The sets left are indexed in the order of
+rarity among them: two that link share one of the first shingles of each in any global order. Index
+lists are cut into blocks by set size; blocks too far apart, and entries whose positions leave too
+little to share, are skipped.
 Within a list, answers are derived from those of similar sets: every set is first compared with a
 leader, the one with the fewest shingles of its own; sets already connected are not compared again,
 and the distances to a common leader rule out pairs that differ from it by too different amounts.
@@ -31,13 +35,12 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters. Two sets link if 100 * common >= percent * union. ``frequent`` bounds the list of
-    shingles that are ordered last; it changes the speed only. ``leaders`` is the number of rounds
-    that compare each list with one of its sets."""
+    """Parameters. Two sets link if 100 * common >= percent * union. ``filter`` and ``leaders``
+    (rounds that compare each list with one of its sets) change the speed only."""
 
     words: int = 3
     percent: int = 90
-    frequent: int = 65536
+    filter: str = "blocks"
     leaders: int = 3
 
 
@@ -52,70 +55,78 @@ def shingles(text: str | None, how: Join) -> np.ndarray:
     return np.unique(hashes.grams(how.words))
 
 
-def prefix_length(n: int, how: Join) -> int:
-    """Shingles to index: a linked partner shares at least ``percent`` of all of them."""
-    return n - -(-n * how.percent // 100) + 1
+def prefix_length(n: int, how: Join) -> tuple[int, int]:
+    """Shingles to look at, and how many of them a linked partner has at least: it lacks no more
+    than 100 - ``percent`` in a hundred of all."""
+    lacks = n - -(-n * how.percent // 100)
+    length = min(n, lacks + lacks // 2 + 1)
+    return length, length - lacks
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
 
-def _frequent(docs: DataFrame, how: Join) -> np.ndarray:
-    """Shingles of very many texts. Each batch reports its most frequent ones, so what is counted
-    stays small; which ones are found affects the order of the index alone."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(v.as_py(), how) for v in batch.column(0)]
-            found, often = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64),
-                                     return_counts=True)
-            least = max(4, len(sets) // 100)
-            chosen = np.flatnonzero(often >= least)
-            if len(chosen) > how.frequent // 16:
-                chosen = chosen[np.argsort(-often[chosen], kind="stable")[:how.frequent // 16]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(found[chosen])), pa.array(often[chosen], pa.int64())],
-                ["shingle", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "shingle").limit(how.frequent)
-    return np.sort(np.array([r[0] for r in top.select("shingle").collect()],
-                            np.int64).view(np.uint64))
-
-
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _sets(docs: DataFrame, frequent: np.ndarray, how: Join) -> DataFrame:
-    """id, row, n, two hashes of the set, and the shingles to index in their order."""
+def _size_class(n: int, how: Join) -> int:
+    """Classes so wide that two linked sets are in one class or in neighbouring ones."""
+    return int(math.log(n) / math.log(100 / how.percent) + 1e-9)
+
+
+def block_keys(own: np.ndarray, how: Join) -> np.ndarray:
+    """Hashes of the blocks of a sorted set, for pairs whose smaller set is of its own class or of
+    the class below. Of sets of class c and up, at most d shingles differ; of d + 1 blocks one at
+    least is the same in both."""
+    out = []
+    scrambled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(own), dtype=np.uint64)))
+    high = own >> np.uint64(32)
+    own_class = _size_class(len(own), how)
+    for c in {own_class, max(0, own_class - 1)}:
+        largest = math.floor((100 / how.percent) ** (c + 1) + 1)  # of the smaller set
+        total = largest + largest * 100 // how.percent
+        blocks = total * (100 - how.percent) // (100 + how.percent) + 1
+        at = np.searchsorted(high * np.uint64(blocks) >> np.uint64(32), np.arange(blocks + 1))
+        number = np.arange(blocks, dtype=np.uint64) + np.uint64(c << 32)
+        out.append(mix(scrambled[at[1:]] - scrambled[at[:-1]] + mix(number)))
+    return np.concatenate(out)
+
+
+def _sets(docs: DataFrame, how: Join) -> DataFrame:
+    """id, row, n, two hashes of the set, the keys of the first filter and how many of them a set
+    must share to be looked at further."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, heads, ends = [], [], [], [], [0]
+            size, one, two, needs, keys, ends = [], [], [], [], [], [0]
             for value in batch.column(2):
                 own = shingles(value.as_py(), how)
                 size.append(len(own))
                 one.append(own.sum(dtype=np.uint64))
                 two.append(np.bitwise_xor.reduce(mix(own)) if len(own) else np.uint64(0))
-                if len(own):
-                    late = _among(own, frequent)
-                    own = np.concatenate((own[~late], own[late]))[:prefix_length(len(own), how)]
-                heads.append(own)
+                need = 1
+                if len(own) and how.filter == "blocks":
+                    own = block_keys(own, how)
+                elif len(own):
+                    length, need = prefix_length(len(own), how)
+                    own = own[:length]
+                needs.append(need)
+                keys.append(own)
                 ends.append(ends[-1] + len(own))
-            flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(size, pa.int32()),
                  pa.array(_signed(np.array(one, np.uint64))),
-                 pa.array(_signed(np.array(two, np.uint64))),
+                 pa.array(_signed(np.array(two, np.uint64))), pa.array(needs, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat)))],
-                ["id", "row", "n", "h1", "h2", "head"])
+                ["id", "row", "n", "h1", "h2", "need", "keys"])
 
-    return docs.mapInArrow(emit, "id long, row long, n int, h1 long, h2 long, head array<long>")
+    return docs.mapInArrow(
+        emit, "id long, row long, n int, h1 long, h2 long, need int, keys array<long>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -222,16 +233,17 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("text"))
     rows = rows.withColumn("row", text_key()).select("id", "row", "text")
-    sets = stage(_sets(rows, _frequent(rows, how), how))
+    sets = stage(_sets(rows, how))
     known = sets.where("id IS NOT NULL AND n > 0")
     # one node for equal sets: the least id, and a row of it to take the text from
     nodes = stage(known.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "row")).alias("node")))
     firsts = nodes.select(F.col("node.id").alias("id"), F.col("node.row").alias("row"))
     heads = known.dropDuplicates(["id", "row"]).join(firsts, ["id", "row"], "left_semi")
-    entries = heads.select("id", F.explode("head").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = entries.join(stage(shared.select("shingle")).hint("shuffle_hash"), "shingle",
-                          "left_semi").select("id").distinct()
+    entries = heads.select("id", "need", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = entries.join(stage(shared.select("key")).hint("shuffle_hash"), "key",
+                          "left_semi").groupBy("id").agg(
+        F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("id")
     wanted = stage(firsts.join(wanted, "id", "left_semi"))
     texts = stage(_packed(rows).join(wanted.hint("shuffle_hash"), ["id", "row"], "left_semi")
                   .dropDuplicates(["id"]).select("id", "packed"))

@@ -37,23 +37,27 @@ def test_substring_trees(edge_docs, monkeypatch, limit):
     assert got(substring_trees.remove(edge_docs), *columns) == by_id(rows, dedup_words(rows))
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_join(edge_docs, words, percent):
+@pytest.mark.parametrize(("words", "percent", "first"), [
+    (3, 90, "blocks"), (5, 80, "prefix"), (1, 50, "blocks"), (1, 50, "prefix")])
+def test_jaccard_join(edge_docs, words, percent, first):
     rows = pairs(edge_docs)
     want = join_sets(rows, words, percent)
-    result = jaccard_join.link(edge_docs, jaccard_join.Join(words=words, percent=percent))
+    how = jaccard_join.Join(words=words, percent=percent, filter=first)
+    result = jaccard_join.link(edge_docs, how)
     assert got(result, "n_shingles", "component_id") == Counter(
         (i, *want[i, t]) for i, t in rows)
 
 
-@pytest.mark.parametrize("percent", [60, 80, 90])
-def test_jaccard_chains(spark, percent):
+@pytest.mark.parametrize("first", ["blocks", "prefix"])
+@pytest.mark.parametrize("percent", [60, 90])
+def test_jaccard_chains(spark, percent, first):
     """Sets that differ step by step: components reach beyond single links."""
     rows = [(100 - i, " ".join(f"w{i + j}" for j in range(40))) for i in range(0, 60)]
     rows += [(200 + i, " ".join(f"w{i * 9 + j}" for j in range(60))) for i in range(0, 12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = join_sets(rows, 3, percent)
-    result = jaccard_join.link(docs, jaccard_join.Join(words=3, percent=percent, leaders=1))
+    result = jaccard_join.link(docs, jaccard_join.Join(
+        words=3, percent=percent, filter=first, leaders=1))
     assert got(result, "n_shingles", "component_id") == Counter(
         (i, *want[i, t]) for i, t in rows)
 
@@ -64,7 +68,7 @@ def test_against_brute_force_on_a_table(spark, sf_dir):
     assert got(suffix_dedup.remove(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") \
         == by_id(rows, dedup_bytes(rows))
     want = join_sets(rows, 5, 80)
-    result = jaccard_join.link(docs, jaccard_join.Join(words=5, percent=80))
+    result = jaccard_join.link(docs, jaccard_join.Join(words=5, percent=80, filter="prefix"))
     assert got(result, "n_shingles", "component_id") == Counter((i, *want[i, t]) for i, t in rows)
 
 

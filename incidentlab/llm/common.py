@@ -21,15 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the session names for checkpoints. A session that names none
     gets a temporary folder if it runs in one process, and an error if it has executors."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = named.get() if named.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
+    root, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not root and not context._jsc.sc().getCheckpointDir().isDefined():
+        if context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
+    root = root or context._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 

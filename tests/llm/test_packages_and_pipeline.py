@@ -184,3 +184,4 @@ def test_pipeline_stages_on_edges(spark, edge_docs, no_docs, sf_dir):
 
 def test_folder_is_the_sessions(spark):
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert shared_folder(spark) != shared_folder(spark)

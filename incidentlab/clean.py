@@ -49,11 +49,12 @@ def recode(
     df: DataFrame, col: str, lookup: DataFrame, code: str, label: str, out: str,
     keep_unmatched: bool = False,
 ) -> DataFrame:
-    """Replace a code by its label from a lookup table; optionally keep unmatched codes.
+    """Replace a code by its label from a lookup table; optionally keep unmatched codes. A code
+    listed several times has its smallest label, so rows are never multiplied.
 
     Whether the lookup is broadcast is left to Spark's size threshold, so a large
     code table falls back to a shuffled join."""
-    table = lookup.select(F.col(code).alias(col), F.col(label).alias("__label"))
+    table = lookup.groupBy(F.col(code).alias(col)).agg(F.min(label).alias("__label"))
     joined = df.join(table, col, "left")
     value = F.col("__label")
     if keep_unmatched:
@@ -67,10 +68,13 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(cols))
 
 
-def apply_fixes(df: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
-    """Overwrite single cells. ``fixes`` has (key, column_name, new_value as text); the
-    first non-missing value per cell is used."""
-    named = [c for c in df.columns if c != key]
+def apply_fixes(
+    df: DataFrame, fixes: DataFrame, key: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Overwrite single cells. ``fixes`` has (key, column_name, new_value as text). Of several
+    values for one cell the smallest text is used; a missing value leaves the cell as it is.
+    ``columns`` names the columns that fixes may touch (default: all), which keeps the plan short."""
+    named = [c for c in columns or df.columns if c != key]
     types = dict(df.dtypes)
     per_key = fixes.groupBy(key).agg(
         *[
@@ -91,8 +95,9 @@ def exclude(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 def overlay(df: DataFrame, coded: DataFrame, key: str, cols: Mapping[str, str]) -> DataFrame:
     """Manual coding on top of a draft: ``cols`` maps draft column -> final column in
-    ``coded``; the final value wins where present. ``coded`` holds one row per key."""
-    finals = coded.select(key, *[F.col(f).alias(f"__final_{d}") for d, f in cols.items()])
+    ``coded``; the final value wins where present. Of several codings of one key the smallest
+    value of each column is used."""
+    finals = coded.groupBy(key).agg(*[F.min(f).alias(f"__final_{d}") for d, f in cols.items()])
     joined = df.join(finals, key, "left").withColumns(
         {d: F.coalesce(F.col(f"__final_{d}"), F.col(d)) for d in cols}
     )

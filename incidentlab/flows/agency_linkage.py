@@ -1,4 +1,4 @@
-"""Linking source A person records to source B, for incidents A or B tagged as pursuits."""
+"""Linking source A person records to source B, for incidents that A or B tagged."""
 
 from __future__ import annotations
 
@@ -61,10 +61,12 @@ def link_records(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def consensus(linked: DataFrame, pursued_units: DataFrame | None = None) -> DataFrame:
     """Consensus columns, A preferred; counts take the larger source. ``pursued_units``
-    (incident, vnum_p) supplies the pursued vehicle where A has no record."""
+    (incident, vnum_p) supplies the (lowest) pursued vehicle where A has no record."""
     df = linked
     if pursued_units is not None:
-        df = df.join(pursued_units.withColumnRenamed("vnum_p", "__vnum_p"), "incident", "left")
+        # several pursued vehicles do not multiply the incident's records
+        unit = pursued_units.groupBy("incident").agg(F.min("vnum_p").alias("__vnum_p"))
+        df = null_safe_join(df, unit, ["incident"], "left")
         df = df.withColumn("vnum_p_a", F.coalesce("vnum_p_a", "__vnum_p")).drop("__vnum_p")
     df = survive(
         df,
@@ -94,7 +96,8 @@ def incidents(records: DataFrame, fatalities: DataFrame) -> DataFrame:
         "pcat_p_w1": "fatal_pcat_p1_w", "pcat_p_w2": "fatal_pcat_p2_w",
         "vnum_w1": "fatal_vnum1_w", "vnum_w2": "fatal_vnum2_w",
     })
-    return base.join(head, "incident").join(dead, "incident", "left")
+    whole = null_safe_join(base, head, ["incident"], "inner")
+    return null_safe_join(whole, dead, ["incident"], "left")
 
 
 def build(a: DataFrame, b: DataFrame, pursued_units: DataFrame | None = None) -> Linked:

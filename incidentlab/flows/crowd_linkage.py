@@ -55,7 +55,7 @@ def fatalities(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """One row per crowd death (with the tier it was found in) and per agency fatality
-    that no crowd death has.
+    that was paired with no crowd death. Every record of both occurs once.
 
     ``agency``, ``pool_a`` and ``pool_b`` carry the keys, ``record_id`` and the columns in
     ``CARRY``; ``agency`` also ``status_a`` and ``status_b``. Rows that are not persons
@@ -69,10 +69,12 @@ def fatalities(
     found = cascade(
         crowd,
         [(label, pool, "record_id", keys) for label, pool in zip((names.FOUND_BOTH, names.FOUND_VIA_A, names.FOUND_VIA_B), pools)],
-        carry=[*CARRY, *statuses], rest=names.CROWD_ONLY,
+        carry=[*CARRY, *statuses], rest=names.CROWD_ONLY, left_id="fe_id",
     ).withColumnRenamed("tier", "inclusion").fillna(ABSENT, subset=statuses)
-    missed = null_safe_join(agency, crowd.select(*keys).distinct(), keys, "left_anti").select(
-        *keys, *CARRY, *statuses, F.col("record_id").cast("string").alias("match_id"),
+    taken = found.where(F.col("inclusion") == names.FOUND_BOTH).select("match_id")
+    rest = agency.withColumn("match_id", F.col("record_id").cast("string"))
+    missed = null_safe_join(rest, taken, ["match_id"], "left_anti").select(
+        *keys, *CARRY, *statuses, "match_id",
         F.lit(ABSENT).alias("status_fe"), F.lit(names.AGENCY_ONLY).alias("inclusion"),
     )
     df = found.unionByName(missed, allowMissingColumns=True)

@@ -135,6 +135,6 @@ def _only(files: Layout, state: str) -> Layout:
     return Layout(**{n: None if d is None else d.where(here) for n, d in kept.items()})
 
 
-def pursuits(persons: DataFrame) -> DataFrame:
+def flagged(persons: DataFrame) -> DataFrame:
     """People in crashes with a pursuit flag on the crash or the driver."""
     return persons.where((F.col("pursuit_crash") == 1) | (F.col("pursuit_driver") == 1))

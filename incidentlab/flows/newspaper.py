@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import names
 from ..clean import recode_values
+from ..io import stage
 from ..link import join_presence
 from ..rsem import first_match, level_rank, matches
 
@@ -57,13 +58,16 @@ def apply_coding(candidates: DataFrame, coded: DataFrame, key: str = "fe_id") ->
     )
 
 
-def compare(deaths: DataFrame, cases: DataFrame) -> DataFrame:
-    """Full join of coded pursuit deaths to newspaper cases on county and date parts.
-    ``newspaper`` is 1 where a case is present; matched = both ids present."""
-    pursuits = deaths.where(F.col("pursuit_type") != "Reviewed Not Related").withColumn(
+def compare(
+    deaths: DataFrame, cases: DataFrame, death_id: str = "fe_id", case_id: str = "case_id"
+) -> DataFrame:
+    """Coded pursuit deaths and newspaper cases, paired one to one on county and date parts; every
+    record of both occurs once. ``newspaper`` is 1 where a case is present."""
+    related = deaths.where(F.col("pursuit_type") != "Reviewed Not Related").withColumn(
         "mo_num", level_rank("month", names.MONTH_ABBREVIATIONS)
     )
     return join_presence(
-        pursuits, cases,
+        stage(related), stage(cases.drop("date")),
         {"county": "county_name", "year": "year", "mo_num": "mo", "day": "day"}, "newspaper",
+        (death_id, case_id),
     )

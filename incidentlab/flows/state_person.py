@@ -1,4 +1,4 @@
-"""State person files (source A): harmonise years, flag pursuits, classify persons."""
+"""State person files (source A): harmonise years, flag chases, classify persons."""
 
 from __future__ import annotations
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -44,9 +43,15 @@ def union_sources(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """New folder below the shared location that the session names for checkpoints. Only a
-    session that names none (a local test) gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incidentlab-")
+    """New folder below the shared location for checkpoints: the setting
+    ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given. A session
+    that names neither gets an error: files on one machine's disk are lost to the others."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = named.get() if named.isDefined() else None
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return os.path.join(root, f"incidentlab-{uuid.uuid4().hex}")
 
 

@@ -1,8 +1,10 @@
 """Record linkage: the same person or event in several sources.
 
-Keys are compared null-safely (two missing ages agree). When several right records share
-a key, every left record is paired with the first of them by right id, so a key of n left
-and m right records yields n rows, not n * m.
+Keys are compared null-safely (two missing ages agree). Records that share a key are paired one
+to one: the first left record by id with the first right record, the second with the second,
+and so on. Surplus records of either side stay unpaired, so every record occurs exactly once
+and a key of n left and m right records yields max(n, m) rows, not n * m. ``pairing="first"``
+pairs every left record with the first right record of its key instead.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import names
-from .ordering import keep_first
+from .io import stage
+from .ordering import keep_first, number_within
 from .rsem import first_match, null_safe_join
 
 TAGGED, UNTAGGED, ABSENT = 2, 1, 0
@@ -24,31 +27,56 @@ def _suffixed(df: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keys})
 
 
+ONE_TO_ONE, FIRST = "one_to_one", "first"
+
+
+def _ranked(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str | None, right_id: str,
+    pairing: str,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns to join on: the keys, and the rank inside the key."""
+    if pairing == FIRST:
+        return left, keep_first(right, keys, [right_id]), list(keys)
+    if pairing != ONE_TO_ONE:
+        raise ValueError(f"unknown pairing {pairing!r}")
+    if left_id is None:
+        raise ValueError("one-to-one pairing needs the left record id")
+    return (number_within(left, keys, [left_id], "__nth"),
+            number_within(right, keys, [right_id], "__nth"), [*keys, "__nth"])
+
+
 def link_left(
     left: DataFrame, right: DataFrame, keys: Sequence[str], right_id: str,
-    suffixes: tuple[str, str] = ("_a", "_b"),
+    suffixes: tuple[str, str] = ("_a", "_b"), left_id: str | None = None,
+    pairing: str = ONE_TO_ONE,
 ) -> DataFrame:
-    """Every left record once, with the first right record that shares its keys."""
-    best = keep_first(right, keys, [right_id])
+    """Every left record once, with its right record if there is one."""
+    a, b, on = _ranked(left, right, keys, left_id, right_id, pairing)
     return null_safe_join(
-        _suffixed(left, keys, suffixes[0]), _suffixed(best, keys, suffixes[1]), keys, "left"
-    )
+        _suffixed(a, on, suffixes[0]), _suffixed(b, on, suffixes[1]), on, "left"
+    ).drop("__nth")
 
 
 def link_full(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str,
-    suffixes: tuple[str, str] = ("_a", "_b"),
+    suffixes: tuple[str, str] = ("_a", "_b"), pairing: str = ONE_TO_ONE,
 ) -> DataFrame:
-    """Full linkage: each left record once (paired or alone) and each right record whose
-    keys no left record has. Columns other than the keys get the suffixes.
+    """Full linkage: each record of either side once, paired or alone (with pairing "first":
+    each left record, and each right record whose keys no left record has). Columns other
+    than the keys get the suffixes.
 
-    ``left_id`` names the left record id; it must be unique and non-NULL, as the match
-    status is read from it."""
+    ``left_id`` and ``right_id`` name the record ids; they must be unique and non-NULL, as the
+    match status is read from them. Hand over stored tables: both sides are read twice."""
     if left_id not in left.columns:
         raise ValueError(f"{left_id} is not a column of the left frame")
-    paired = link_left(left, right, keys, right_id, suffixes)
-    alone = null_safe_join(right, left.select(*keys).distinct(), keys, "left_anti")
-    return paired.unionByName(_suffixed(alone, keys, suffixes[1]), allowMissingColumns=True)
+    a, b, on = _ranked(left, right, keys, left_id, right_id, pairing)
+    paired = null_safe_join(
+        _suffixed(a, on, suffixes[0]), _suffixed(b, on, suffixes[1]), on, "left")
+    rest = right if pairing == FIRST else b
+    seen = a.select(*on)
+    alone = null_safe_join(rest, seen.distinct() if pairing == FIRST else seen, on, "left_anti")
+    both = paired.unionByName(_suffixed(alone, on, suffixes[1]), allowMissingColumns=True)
+    return both.drop("__nth")
 
 
 def status(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
@@ -78,7 +106,8 @@ def tag_status(crowd: str, a: str, b: str) -> Column:
 
 def cascade(
     left: DataFrame, tiers: Sequence[tuple[str, DataFrame, str, Sequence[str]]],
-    carry: Sequence[str] = (), rest: str = "unmatched",
+    carry: Sequence[str] = (), rest: str = "unmatched", left_id: str | None = None,
+    pairing: str = ONE_TO_ONE,
 ) -> DataFrame:
     """Match against one pool after another, handing each tier's leftovers to the next.
 
@@ -86,9 +115,12 @@ def cascade(
     its columns, ``tier``, ``match_id`` (NULL for the unmatched rest) and the ``carry``
     columns of the matched pool record (present, with one type, in every pool).
 
-    All tiers are attached in one pass and the earliest hit is kept. That gives the same
-    pairs as re-joining residuals (a tier's hit depends on nothing but its own keys) with
-    one evaluation of ``left`` instead of one per tier."""
+    One-to-one, every pool record is used once; the left records that a tier leaves over are
+    stored and go on to the next. Pools must not overlap, but one frame may serve several tiers:
+    what an earlier tier took from it is gone. With pairing "first" all tiers are attached in
+    one pass and the earliest hit is kept, as a tier's hit then depends on its own keys alone."""
+    if pairing != FIRST:
+        return _cascade_pairs(left, tiers, carry, rest, left_id)
     out = left
     for i, (_, pool, pool_id, keys) in enumerate(tiers):
         record = F.struct(
@@ -105,6 +137,32 @@ def cascade(
     }).drop(*[f"__hit_{i}" for i in range(len(tiers))])
 
 
+def _cascade_pairs(
+    left: DataFrame, tiers: Sequence[tuple[str, DataFrame, str, Sequence[str]]],
+    carry: Sequence[str], rest: str, left_id: str | None,
+) -> DataFrame:
+    done: list[DataFrame] = []
+    taken: list[tuple[DataFrame, DataFrame]] = []
+    for label, pool, pool_id, keys in tiers:
+        own = pool.withColumn("match_id", F.col(pool_id).cast("string"))
+        for earlier, used in taken:
+            if earlier is pool:
+                own = null_safe_join(own, used, ["match_id"], "left_anti")
+        a, b, on = _ranked(left, own, keys, left_id, pool_id, ONE_TO_ONE)
+        record = F.struct("match_id", *carry).alias("__hit")
+        tried = stage(null_safe_join(a, b.select(*on, record), on, "left").drop("__nth"))
+        hit = tried.where(F.col("__hit").isNotNull())
+        won = {"tier": F.lit(label), "match_id": F.col("__hit.match_id"),
+               **{c: F.col(f"__hit.{c}") for c in carry}}
+        done.append(hit.withColumns(won).drop("__hit"))
+        taken.append((pool, hit.select("__hit.match_id")))
+        left = tried.where(F.col("__hit").isNull()).drop("__hit")
+    return reduce(
+        lambda x, y: x.unionByName(y, allowMissingColumns=True),
+        [*done, left.withColumns({"tier": F.lit(rest), "match_id": F.lit(None).cast("string")})],
+    )
+
+
 def survive(
     df: DataFrame, preferred: Mapping[str, Sequence[str]],
     largest: Mapping[str, Sequence[str]] | None = None,
@@ -142,10 +200,10 @@ def expand_members(
     """Remaining members of matched incidents, collected from both pools and linked.
 
     ``matched`` names the incidents and the columns each member inherits (``carry``, one
-    row per incident). Members are paired on incident + ``keys``."""
+    row per incident). Members are paired one to one on incident + ``keys``."""
     incidents = matched.select(incident, *carry)
-    members_a = null_safe_join(pool_a, incidents.select(incident), [incident], "left_semi")
-    members_b = null_safe_join(pool_b, incidents.select(incident), [incident], "left_semi")
+    members_a = stage(null_safe_join(pool_a, incidents.select(incident), [incident], "left_semi"))
+    members_b = stage(null_safe_join(pool_b, incidents.select(incident), [incident], "left_semi"))
     linked = link_full(members_a, members_b, [incident, *keys], a_id, b_id)
     with_status = status(
         linked, {"status_a": (f"{a_id}_a", UNTAGGED), "status_b": (f"{b_id}_b", UNTAGGED)}
@@ -170,13 +228,27 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def join_presence(
-    left: DataFrame, right: DataFrame, keys: Mapping[str, str], marker: str
+    left: DataFrame, right: DataFrame, keys: Mapping[str, str], marker: str,
+    ids: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Full outer join with differently named keys (left name -> right name) and a 0/1
-    column telling whether the right side is present. ``right`` holds one row per key."""
+    """All rows of both sides, joined by differently named keys (left name -> right name), with
+    a 0/1 column telling whether the right side is present.
+
+    With ``ids`` (the record ids of both sides) repeated keys are paired one to one. Without,
+    both sides hold one row per key; a key that repeats is an error, not a product."""
+    on = list(keys)
     renamed = right.withColumnsRenamed({r: k for k, r in keys.items()}).withColumn(marker, F.lit(1))
-    joined = null_safe_join(left, renamed, list(keys), "full_outer")
-    return joined.fillna(0, subset=[marker])
+    if ids is not None:
+        left, renamed, on = _ranked(left, renamed, on, *ids, ONE_TO_ONE)
+    else:
+        once = renamed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        once = once.select(*on, F.when(F.col("__n") > 1, F.raise_error(F.lit(
+            "the right side repeats a key; name the record ids")).cast("long")).alias("__n"))
+        renamed = null_safe_join(renamed, once, on, "left").where(F.col("__n").isNull()).drop("__n")
+    paired = null_safe_join(left, renamed, on, "left")
+    alone = null_safe_join(renamed, left.select(*on).distinct(), on, "left_anti")
+    both = paired.unionByName(alone, allowMissingColumns=True)
+    return both.drop("__nth").fillna(0, subset=[marker])
 
 
 def duplicate_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:

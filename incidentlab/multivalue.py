@@ -24,12 +24,23 @@ def explode_members(
     return long.select(*keep)
 
 
-def widen_members(df: DataFrame, col: str = "agency", sep: str = ", ", n: int = 6) -> DataFrame:
-    """Columns ``<col>1 .. <col>n``; an empty string where the list is shorter."""
+def widen_members(
+    df: DataFrame, col: str = "agency", sep: str = ", ", n: int | None = None
+) -> DataFrame:
+    """Columns ``<col>1 .. <col>n``; an empty string where the list is shorter.
+
+    The width is that of the longest list, which is looked up when this is called. A list longer
+    than a given ``n`` is an error: no member is dropped."""
     parts = F.split(col, sep)
-    return df.withColumns(
-        {f"{col}{i + 1}": F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(n)}
-    )
+    if n is None:
+        n = df.agg(F.max(F.size(parts))).first()[0]
+        n = max(1, n or 1)
+    size = F.coalesce(F.size(parts), F.lit(0))
+    whole = F.when(size > n, F.raise_error(F.concat(
+        F.lit(f"a list in {col} has more than {n} members: "), size.cast("string"))).cast("string"))
+    return df.withColumns({
+        f"{col}{i + 1}": F.coalesce(whole, F.get(parts, F.lit(i)), F.lit("")) for i in range(n)
+    })
 
 
 def narrow_members(df: DataFrame, ids: Sequence[str], cols: Sequence[str], out: str = "agency") -> DataFrame:

@@ -1,14 +1,12 @@
 """Exact row numbers over groups of any size.
 
-``row_number()`` over a whole table, or over a group that holds a third of it, is one
-task sorting all of those rows. Here rows are first cut into ranges of the sort order,
-the ranges are numbered independently, and each range is shifted by the number of rows
-that precede it. The cut points come from a hash-selected sample of the rows, so they
-are a pure function of the data: a recomputed task sees the same ranges, and the
-numbers are exact wherever the cuts fall.
-
-Every ordering must end in a unique key, otherwise numbers are arbitrary among ties
-(and a tie group could not be split).
+``row_number()`` over a whole table, or over a group that holds a third of it, is one task sorting
+all of those rows. Here Spark deals such rows out by ranges of the sort order, numbers them inside
+each range while it writes the ranges down, and every range is then shifted by the number of rows
+before it. The number of ranges follows the number of rows.
+
+Every ordering must end in a unique key: numbers would be arbitrary among ties, so a repeated order
+key is an error.
 """
 
 from __future__ import annotations
@@ -21,127 +19,93 @@ from pyspark.sql import functions as F
 from .io import stage
 from .rsem import ColumnLike, as_column, null_safe_join
 
-ROWS_SAMPLED_PER_RANGE = 16
-MAX_RANGES = 4096
-
+#: Rows that one task sorts. A group up to this size is numbered in one piece.
+RANGE_ROWS = 1_000_000
+#: Below that, a few ranges keep several cores busy.
+LEAST_RANGE_ROWS, FEW_RANGES = 20_000, 8
+_INSIDE = (1 << 33) - 1  # monotonically_increasing_id: partition above, row of it below
+_TIES = "the order of the numbering does not end in a unique key"
 
-def _range_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 8
-    while ranges < min(wanted, MAX_RANGES):
-        ranges *= 2
-    return ranges
 
-
-def _sort_key(order: Sequence[Column]) -> Column:
-    """Struct that compares like ``ORDER BY ... NULLS LAST``."""
-    parts: list[Column] = []
-    for i, col in enumerate(order):
-        parts += [col.isNull().alias(f"n{i}"), col.alias(f"v{i}")]
-    return F.struct(*parts)
+def range_count(rows: int) -> int:
+    return max(1, -(-rows // RANGE_ROWS), min(FEW_RANGES, -(-rows // LEAST_RANGE_ROWS)))
 
 
 def _window_order(order: Sequence[Column]) -> list[Column]:
     return [c.asc_nulls_last() for c in order]
 
 
-def _cut_points(df: DataFrame, order: Sequence[Column], ranges: int) -> DataFrame:
-    """One row holding the ``ranges - 1`` cut points as a sorted array of sort keys.
-
-    A row is sampled when its hash, modulo the row count, is below the sample size:
-    about ``ROWS_SAMPLED_PER_RANGE * ranges`` rows whatever the table size. The cut points
-    are stored, so that the branches which use them do not each sample ``df`` again.
-    """
-    wanted = ROWS_SAMPLED_PER_RANGE * ranges
-    rows = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
-    sample = df.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).where(
-        F.pmod(F.xxhash64(*[f"o{i}" for i in range(len(order))]), rows) < wanted
-    )
-    key = _sort_key([F.col(f"o{i}") for i in range(len(order))])
-    sorted_keys = sample.agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.lit(ranges - 1)),
-        lambda i: F.get("keys", F.floor(i * F.size("keys") / ranges).cast("int")),
-    )
-    return stage(sorted_keys.select(cuts.alias("cuts")))
-
-
-def _with_range(
-    df: DataFrame, order: Sequence[Column], ranges: int, cuts: DataFrame, where: Column | None = None
-) -> DataFrame:
-    """Add ``__range``, the number of cut points at or below the row; 0 where ``where`` is
-    not true. A binary search, one projection per halving."""
-    jump = ranges // 2
-    df = df.withColumns({"__cuts": cuts.scalar(), "__key": _sort_key(order), "__range": F.lit(0)})
-    while jump:
-        past = F.get("__cuts", F.col("__range") + (jump - 1)) <= F.col("__key")
-        if where is not None:
-            past = where & past
-        df = df.withColumn("__range", F.col("__range") + F.when(past, jump).otherwise(0))
-        jump //= 2
-    return df.drop("__cuts", "__key")
+def _ranged(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """The rows, written down in ranges of the order, with ``__range`` and the place in it."""
+    by = _window_order(order)
+    dealt = df.repartitionByRange(ranges or range_count(df.count()), *by)
+    placed = dealt.sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    return stage(placed).withColumns({
+        "__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit(_INSIDE)),
+    }).drop("__at")
+
+
+def _untied(value: Column, tied: Column) -> Column:
+    return F.when(tied, F.raise_error(F.lit(_TIES)).cast("long")).otherwise(value)
 
 
 def number_global(
     df: DataFrame, order: Sequence[ColumnLike], out: str = "row_no", start: int = 1
 ) -> DataFrame:
-    """Number all rows ``start, start+1, ...`` in ``order`` (ascending, missing last;
-    negate a rank for descending). ``df`` is read several times on its sort columns, once
-    right away for the cut points, so hand over a stored table rather than a pipeline."""
+    """Number all rows ``start, start+1, ...`` in ``order`` (ascending, missing last; negate a
+    rank for descending). The rows are written down once, in order, when this is called."""
     order = [as_column(c) for c in order]
-    ranges = _range_count(df)
-    ranged = _with_range(df, order, ranges, _cut_points(df, order, ranges))
-    # At most MAX_RANGES rows reach this unpartitioned window.
+    ranged = _ranged(df, order)
+    # One row per range reaches this window. Equal keys are in one range, so they are seen there.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__range")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    )
-    inside = Window.partitionBy("__range").orderBy(*_window_order(order))
-    return (
-        ranged.join(F.broadcast(offsets), "__range")
-        .withColumn(out, F.col("__before") + F.row_number().over(inside) + (start - 1))
-        .drop("__range", "__before")
-    )
+    counts = ranged.groupBy("__range").agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_distinct(F.xxhash64(*order)).alias("__keys"))
+    offsets = counts.select(
+        "__range", _untied(F.coalesce(F.sum("__rows").over(before), F.lit(0)),
+                           F.col("__rows") != F.col("__keys")).alias("__before"))
+    return ranged.join(offsets, "__range").withColumn(
+        out, F.col("__before") + F.col("__place") + start
+    ).drop("__range", "__place", "__before")
+
+
+def _number_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Plain numbering; each group is one task's."""
+    inside = Window.partitionBy(*keys).orderBy(*_window_order(order))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    tied = F.lag(key).over(inside).eqNullSafe(key)
+    return df.withColumn(out, _untied(F.row_number().over(inside).cast("long"), tied))
 
 
 def number_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], out: str = "row_no"
+    df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], out: str = "row_no",
+    largest: int = RANGE_ROWS,
 ) -> DataFrame:
     """Number rows 1, 2, ... inside each key group, in ``order``.
 
-    Ranges are cut over (keys, order). A group is split only where a cut point falls
-    inside it, so only the keys seen among the cut points (fewer than MAX_RANGES) need
-    ranges and shifts, and both tables are small enough to broadcast. Every other group
-    holds less than about one range of rows and is numbered in one piece."""
+    Groups of up to ``largest`` rows are numbered in one piece each. The rows of larger groups are
+    written down in ranges over (keys, order); a range's share of a group is shifted by the group's
+    rows in earlier ranges. Group sizes are counted when this is called, so hand over a stored
+    table rather than a pipeline."""
     order = [as_column(c) for c in order]
-    ranges = _range_count(df)
-    full_order = [F.col(k) for k in keys] + order
-    cuts = _cut_points(df, full_order, ranges)
-    split_keys = (
-        cuts.select(F.explode("cuts").alias("c"))
-        .select(*[F.col(f"c.v{i}").alias(k) for i, k in enumerate(keys)], F.lit(True).alias("__split"))
-        .distinct()
-    )
-    marked = null_safe_join(df, F.broadcast(split_keys), keys, "left")
-    split = F.coalesce("__split", F.lit(False))
-    ranged = _with_range(marked, full_order, ranges, cuts, split)
-    before = (
-        Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifts = (
-        ranged.where(split)
-        .groupBy(*keys, "__range")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, "__range", F.sum("__rows").over(before).alias("__before"))
-        .where(F.col("__before").isNotNull())
-    )
-    inside = Window.partitionBy(*keys, "__range").orderBy(*_window_order(order))
-    numbered = null_safe_join(ranged, F.broadcast(shifts), [*keys, "__range"], "left")
-    return numbered.withColumn(
-        out, F.coalesce("__before", F.lit(0)) + F.row_number().over(inside)
-    ).drop("__range", "__before", "__split")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    large = stage(sizes.where(F.col("__rows") > largest))
+    rows = large.agg(F.sum("__rows")).first()[0]
+    if rows is None:
+        return _number_groups(df, keys, order, out)
+    large = large.select(*keys)
+    rest = _number_groups(null_safe_join(df, large, keys, "left_anti"), keys, order, out)
+    ranged = _ranged(null_safe_join(df, large, keys, "left_semi"), [*map(F.col, keys), *order],
+                     max(range_count(rows), -(-rows // largest)))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shares = ranged.groupBy(*keys, "__range").agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"),
+        F.count_distinct(F.xxhash64(*order)).alias("__keys"))
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1
+    shares = shares.select(*keys, "__range", _untied(
+        shift, F.col("__n") != F.col("__keys")).alias("__shift"))
+    numbered = null_safe_join(ranged, shares, [*keys, "__range"], "left").withColumn(
+        out, F.col("__place") + F.col("__shift"))
+    return rest.unionByName(numbered.select(*rest.columns))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], n: int = 1) -> DataFrame:

@@ -179,6 +179,17 @@ def person_ids(df: DataFrame, incident: str, unit: str, order: Sequence[ColumnLi
     )
 
 
+def with_previous(
+    df: DataFrame, keys: Sequence[str], number: str, cols: Mapping[str, str]
+) -> DataFrame:
+    """Values of the previous record in the group (new name -> column), NULL for the first one.
+    ``number`` is the running number; records meet their predecessor by key and number, so a
+    group of any size is spread over tasks."""
+    before = df.select(*keys, (F.col(number) + 1).alias(number),
+                       *[F.col(c).alias(out) for out, c in cols.items()])
+    return null_safe_join(df, before, [*keys, number], "left")
+
+
 def known_victims(df: DataFrame) -> DataFrame:
     """Victim groups outside the fixed level list become NULL."""
     return df.withColumn("victim", known_level("victim", names.VICTIM_LEVELS))

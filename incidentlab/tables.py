@@ -33,16 +33,20 @@ def with_share(counts: DataFrame, n: str = "Number", out: str = "Percent", base:
     return counts.withColumn(out, F.col(n) / (grand_total(counts, n) if base is None else base))
 
 
-def with_total(counts: DataFrame, dim: str, measures: Sequence[str], label: str = "Total") -> DataFrame:
+def with_total(
+    counts: DataFrame, dim: str, measures: Sequence[str], label: str = "Total",
+    largest_first: bool = False,
+) -> DataFrame:
     """Append a row with the sum of every measure. The counts are small, and the rollup
-    produces rows and total from one evaluation of them."""
+    produces rows and total from one evaluation of them. ``largest_first`` orders the rows by the
+    first measure, descending, then by name, with the total last."""
     key = F.col(dim).cast("string")
-    return (
-        counts.select(key.alias("__dim"), *measures)
-        .rollup("__dim")
-        .agg(F.grouping("__dim").alias("__is_total"), *[F.sum(m).alias(m) for m in measures])
-        .select(F.when(F.col("__is_total") == 1, label).otherwise(F.col("__dim")).alias(dim), *measures)
-    )
+    rows = counts.select(key.alias("__dim"), *measures).rollup("__dim").agg(
+        F.grouping("__dim").alias("__is_total"), *[F.sum(m).alias(m) for m in measures])
+    if largest_first:
+        rows = rows.orderBy("__is_total", F.desc(measures[0]), F.asc_nulls_last("__dim"))
+    return rows.select(
+        F.when(F.col("__is_total") == 1, label).otherwise(F.col("__dim")).alias(dim), *measures)
 
 
 def percent_text(col: Column, digits: int = 1) -> Column:
@@ -51,9 +55,9 @@ def percent_text(col: Column, digits: int = 1) -> Column:
 
 
 def share_table(df: DataFrame, dim: str, digits: int = 1) -> DataFrame:
-    """Number and formatted percent per category with a Total row."""
+    """Number and formatted percent per category, the largest first, with a Total row last."""
     counts = with_share(count_by(df, dim))
-    return with_total(counts, dim, ["Number", "Percent"]).withColumn(
+    return with_total(counts, dim, ["Number", "Percent"], largest_first=True).withColumn(
         "Percent", percent_text(F.col("Percent"), digits)
     )
 
@@ -157,6 +161,12 @@ def victim_counts(df: DataFrame, *by: str, levels: Mapping[str, str] | None = No
     )
 
 
+def incident_ratio(incidents: DataFrame) -> DataFrame:
+    """The share of incidents that are related to a pursuit."""
+    related = F.count_if(matches("incident_type", "Pursuit|pursuit"))
+    return incidents.agg(F.try_divide(related, _count()).alias("pct_i_p"))
+
+
 def summary_ratios(deaths: DataFrame) -> DataFrame:
     """The report's headline person ratios in one pass."""
     pursuit = matches("incident_type", "Pursuit|pursuit")

@@ -7,7 +7,7 @@ from incidentlab.flows.report import build_incidents, number_incidents
 from incidentlab.geo import markers
 from incidentlab.io import stage
 from incidentlab.ordering import number_within
-from incidentlab.rollup import attach_group, first_by, nth_by, person_ids
+from incidentlab.rollup import attach_group, first_by, nth_by, person_ids, with_previous
 from incidentlab.rsem import level_rank, strict_count
 
 from .base import SQL_TYPE_RANK, cases, deaths, fatalities, persons, query
@@ -142,16 +142,17 @@ def agg_total_row(t):
 
 @query("""
 SELECT *, l_orderkey || 'u' || l_linenumber || 'p' || person_no AS record_id,
-  CAST(person_no > 1 AS INT) AS same_unit_as_previous FROM (
+  lag(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY person_no) AS previous_partkey FROM (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag, l_partkey, l_suppkey) AS person_no FROM lineitem)
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS person_no FROM lineitem)
 """)
 def running_number(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    numbered = person_ids(rows, "l_orderkey", "l_linenumber", ["l_returnflag", "l_partkey", "l_suppkey"])
-    return numbered.withColumn(
-        "same_unit_as_previous", (F.col("person_no") > 1).cast("int")
-    ).drop("l_returnflag")
+    order = ["l_returnflag", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *order)
+    numbered = person_ids(rows, "l_orderkey", "l_linenumber", order)
+    return with_previous(
+        numbered, ["l_orderkey", "l_linenumber"], "person_no", {"previous_partkey": "l_partkey"}
+    ).drop("l_returnflag", "l_quantity", "l_extendedprice")
 
 
 @query(f"""

@@ -6,6 +6,7 @@ stand next to each other; queries build on them.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -37,12 +38,24 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
+def name_folder(spark: SparkSession) -> None:
+    """Name a folder for stored stages in a session that has none, if it is one process."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined()
+    if not named and context.master.partition("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="incidentlab-"))
+
+
 def query(sql: str | None = None, ctes: str = "") -> Callable:
     """Register a query under its function name. ``ctes`` names the views, in order, that
     are put in front of the SQL."""
 
     def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            name_folder(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             views = ",\n".join(f"{v} AS ({SQL_VIEWS[v].strip()})" for v in _closure(ctes.split()))
             body = sql.strip()

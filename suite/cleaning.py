@@ -162,7 +162,7 @@ SELECT case_id, agency1, agency2, agency3, agency4, agency5, agency6 FROM (
     coalesce(p[4], '') AS agency4, coalesce(p[5], '') AS agency5, coalesce(p[6], '') AS agency6) x
 """, "cases")
 def multivalue_wide(t):
-    return widen_members(cases(t).select("case_id", "agency")).drop("agency")
+    return widen_members(cases(t).select("case_id", "agency"), n=6).drop("agency")
 
 
 @query("""
@@ -174,7 +174,7 @@ def multivalue_explode(t):
     df = cases(t).select("case_id", "agency")
     direct = explode_members(df)
     wide = widen_members(df).drop("agency")
-    long = narrow_members(wide, ["case_id"], [f"agency{i}" for i in range(1, 7)])
+    long = narrow_members(wide, ["case_id"], [c for c in wide.columns if c != "case_id"])
     long = long.withColumnsRenamed({"seq": "column_name", "agency": "__agency"}).withColumn(
         "seq", F.substring("column_name", 7, 1).cast("int")
     )
@@ -183,6 +183,19 @@ def multivalue_explode(t):
     ).drop("__agency")
 
 
+@query("""
+SELECT case_id, CAST(2 * len(string_split(agency, ', ')) AS BIGINT) AS n_wide, CAST(2 * len(string_split(agency, ', ')) AS BIGINT) AS n_long FROM cases
+""", "cases")
+def multivalue_long_lists(t):
+    """Lists of up to twelve members: the wide and the exploded form hold the same number."""
+    df = cases(t).select("case_id", F.concat_ws(", ", "agency", "agency").alias("agency"))
+    wide = widen_members(df).drop("agency")
+    cells = [c for c in wide.columns if c != "case_id"]
+    narrow = narrow_members(wide, ["case_id"], cells).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_wide"))
+    long = explode_members(df).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_long"))
+    return narrow.join(long, "case_id")
+
+
 SQL_RETYPE = """
 CASE WHEN coalesce(regexp_matches(agency_type, 'Multiple'), false) THEN
   CASE WHEN regexp_matches(member, 'Police') THEN 'Local PD' WHEN regexp_matches(member, 'Tribal') THEN 'Tribal PD'

@@ -205,15 +205,22 @@ SIDE = ["record_id", "pcat_v", "pcat_p", "injury", "parked_empty_car", "city_cod
 _BOTH = "coalesce(a.incident, b.incident) AS incident, coalesce(a.county_code, b.county_code) AS county_code, coalesce(a.age, b.age) AS age, coalesce(a.sex, b.sex) AS sex, " + ", ".join(
     f"{s}.{c} AS {c}_{s}" for s in "ab" for c in SIDE
 )
-_FIRST_ONLY = "QUALIFY a.record_id IS NULL OR row_number() OVER (PARTITION BY a.record_id ORDER BY b.record_id) = 1"
+
+
+def _pairs_sql(left: str, right: str) -> str:
+    """Both sides numbered inside the keys, in the order of their ids."""
+    nth = "row_number() OVER (PARTITION BY incident, county_code, age, sex ORDER BY record_id) AS nth"
+    return (f"SELECT {_BOTH} FROM (SELECT *, {nth} FROM {left}) a FULL JOIN (SELECT *, {nth} FROM {right}) b "
+            f"ON {SAME} AND a.nth = b.nth")
+
 
 SQL_VIEWS["consensus"] = f"""
 WITH ta AS (SELECT * FROM pa WHERE pursuit_tag = 1), tb AS (SELECT * FROM pb WHERE pursuit_tag = 1),
-first_pass AS (SELECT {_BOTH} FROM ta a FULL JOIN tb b ON {SAME} {_FIRST_ONLY}),
+first_pass AS ({_pairs_sql("ta", "tb")}),
 touched AS (SELECT DISTINCT incident FROM first_pass WHERE record_id_a IS NOT NULL AND record_id_b IS NOT NULL),
 left_a AS (SELECT * FROM ta WHERE record_id IN (SELECT record_id_a FROM first_pass WHERE record_id_b IS NULL)),
 pool_b AS (SELECT * FROM pb WHERE incident IN (SELECT incident FROM first_pass) AND incident NOT IN (SELECT incident FROM touched)),
-second_pass AS (SELECT {_BOTH} FROM left_a a FULL JOIN pool_b b ON {SAME} {_FIRST_ONLY}),
+second_pass AS ({_pairs_sql("left_a", "pool_b")}),
 every AS (SELECT *, 2 AS status_a, 2 AS status_b FROM first_pass WHERE record_id_a IS NOT NULL AND record_id_b IS NOT NULL
   UNION ALL SELECT *, CASE WHEN record_id_a IS NULL THEN 0 ELSE 2 END, CASE WHEN record_id_b IS NULL THEN 0 ELSE 1 END FROM second_pass
   UNION ALL SELECT *, 0, 2 FROM first_pass WHERE record_id_a IS NULL AND incident IN (SELECT incident FROM touched))
@@ -256,19 +263,29 @@ def flow_agency_incidents(t):
 CROWD_KEYS = ["date", "county_code", "age", "city"]
 C_SAME = "c.date = p.date AND c.county_code = p.county_code AND c.age IS NOT DISTINCT FROM p.age AND c.city = p.city"
 
+
+
+def _crowd_tier(name: str, tier: int, left: str) -> str:
+    nth = "row_number() OVER (PARTITION BY date, county_code, age, city ORDER BY c_id) AS nth"
+    return (f"{name} AS (SELECT c.c_id, c.date, c.county_code, c.age, c.city, p.tier, p.id, p.persons, p.status_a, p.status_b "
+            f"FROM (SELECT *, {nth} FROM sc {left}) c JOIN pools p ON {C_SAME} AND p.tier = {tier} AND p.nth = c.nth)")
+
+
 SQL_VIEWS["crowd_linked"] = f"""
-WITH pools AS (
+WITH pools AS (SELECT *, row_number() OVER (PARTITION BY tier, date, county_code, age, city ORDER BY id) AS nth FROM (
   SELECT 1 AS tier, a_id AS id, date, county_code, age, city, persons, 2 AS status_a, a_id % 3 AS status_b FROM sa WHERE tag = 1
   UNION ALL SELECT 2, a_id, date, county_code, age, city, persons, 1, 1 FROM sa WHERE tag = 0
-  UNION ALL SELECT 3, b_id, date, county_code, age, city, persons, 0, 1 FROM sb WHERE tag = 0),
-hit AS (SELECT c.c_id, c.date, c.county_code, c.age, c.city, p.tier, p.id, p.persons, p.status_a, p.status_b FROM sc c JOIN pools p ON {C_SAME}
-  QUALIFY row_number() OVER (PARTITION BY c.c_id ORDER BY p.tier, p.id) = 1),
+  UNION ALL SELECT 3, b_id, date, county_code, age, city, persons, 0, 1 FROM sb WHERE tag = 0)),
+{_crowd_tier("h1", 1, "")},
+{_crowd_tier("h2", 2, "WHERE c_id NOT IN (SELECT c_id FROM h1)")},
+{_crowd_tier("h3", 3, "WHERE c_id NOT IN (SELECT c_id FROM h1 UNION ALL SELECT c_id FROM h2)")},
+hit AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3),
 every AS (
   SELECT c_id, date, county_code, age, city, CASE tier WHEN 1 THEN 'FE+W' WHEN 2 THEN 'FE+untagged-WTSC' ELSE 'FE+untagged-WSDOT' END AS inclusion, id, persons,
     status_a, status_b, 2 AS status_fe FROM hit
   UNION ALL SELECT c_id, date, county_code, age, city, 'FE-only', NULL, NULL, 0, 0, 2 FROM sc WHERE c_id NOT IN (SELECT c_id FROM hit)
   UNION ALL SELECT NULL, date, county_code, age, city, 'WTSC-only', a_id, persons, 2, a_id % 3, 0 FROM sa p WHERE tag = 1
-    AND NOT EXISTS (SELECT 1 FROM sc c WHERE {C_SAME}))
+    AND a_id NOT IN (SELECT id FROM h1))
 SELECT *, CASE WHEN status_fe = 2 AND status_a < 2 AND status_b < 2 THEN 'FE-only' WHEN status_fe = 0 AND (status_a = 2 OR status_b = 2) THEN 'W-only'
   WHEN status_fe = 2 THEN 'FE+W' ELSE 'Other' END AS tag_status, CAST(status_a <> 0 OR status_b <> 0 AS INT) AS status_w FROM every
 """
@@ -285,7 +302,7 @@ def _pool(df, record, *extra):
 
 
 def crowd_links(t):
-    a, b = stage(source_a(t)), source_b(t)
+    a, b = stage(source_a(t)), stage(source_b(t))
     crowd = stage(source_c(t)).select(
         F.col("c_id").alias("fe_id"), *CROWD_KEYS, F.col("c_id").alias("incident_fe"),
         F.lit("Active pursuit").alias("vpursuit_fe"), F.lit(2).alias("status_fe"),
@@ -311,12 +328,12 @@ def flow_crowd_linkage(t):
 
 @query("""
 WITH found AS (SELECT id, min_by(inclusion, c_id) AS inclusion, min(c_id) AS c_id FROM crowd_linked WHERE inclusion LIKE 'FE+untagged%' GROUP BY id),
-ma AS (SELECT rec_id, case_id AS id, person_age AS age, victim FROM persons WHERE cod <> 'Vehicle' AND case_id IN (SELECT id FROM found)),
-mb AS (SELECT rec_id, case_id AS id, person_age AS age, victim FROM persons WHERE cod <> 'Vehicle' AND unit <= 4 AND case_id IN (SELECT id FROM found)),
+ma AS (SELECT rec_id, case_id AS id, person_age AS age, victim, {nth} FROM persons WHERE cod <> 'Vehicle' AND case_id IN (SELECT id FROM found)),
+mb AS (SELECT rec_id, case_id AS id, person_age AS age, victim, {nth} FROM persons WHERE cod <> 'Vehicle' AND unit <= 4 AND case_id IN (SELECT id FROM found)),
 x AS (SELECT coalesce(ma.id, mb.id) AS id, ma.rec_id AS rec_a, mb.rec_id AS rec_b FROM ma FULL JOIN mb ON ma.id = mb.id AND ma.age IS NOT DISTINCT FROM mb.age
-  AND ma.victim IS NOT DISTINCT FROM mb.victim QUALIFY ma.rec_id IS NULL OR row_number() OVER (PARTITION BY ma.rec_id ORDER BY mb.rec_id) = 1)
+  AND ma.victim IS NOT DISTINCT FROM mb.victim AND ma.nth = mb.nth)
 SELECT x.id AS incident, rec_a, rec_b, inclusion, c_id FROM x JOIN found USING (id)
-""", "persons crowd_linked")
+""".replace("{nth}", "row_number() OVER (PARTITION BY case_id, person_age, victim ORDER BY rec_id) AS nth"), "persons crowd_linked")
 def flow_crowd_members(t):
     from .base import persons
 
@@ -405,7 +422,7 @@ def national_persons(t):
 
 @query(f'SELECT {", ".join(chr(34) + c + chr(34) for c in NATIONAL_OUT)} FROM national WHERE pursuit_crash = 1 OR pursuit_driver = 1', "national")
 def flow_national(t):
-    return national.pursuits(national_persons(t)).select(*NATIONAL_OUT)
+    return national.flagged(national_persons(t)).select(*NATIONAL_OUT)
 
 
 # --- newspaper list --------------------------------------------------------------------------
@@ -421,19 +438,16 @@ DEPENDS["coded"] = ["cases"]
 
 SQL_VIEWS["news"] = """
 SELECT case_id, county, year(date) AS year, month(date) AS mo, day(date) AS day, CASE city WHEN 'BUILDING' THEN 'Lynnwood' ELSE city END AS city_name
-FROM cases WHERE district = 'ASIA' QUALIFY row_number() OVER (PARTITION BY county, date ORDER BY case_id) = 1
+FROM cases WHERE district = 'ASIA'
 """
 DEPENDS["news"] = ["cases"]
 
 
 def news_cases(t):
     c = F.col
-    first = cases(t).groupBy("county", "date", "district").agg(
-        F.min_by(F.struct("case_id", "city"), "case_id").alias("r")
-    )
-    raw = first.select(
-        c("r.case_id").alias("Seq"), F.when(c("district") == "ASIA", "XX").otherwise("YY").alias("ST"),
-        c("county").alias("County"), F.when(c("r.city") == "BUILDING", "Lynwood").otherwise(c("r.city")).alias("City"),
+    raw = cases(t).select(
+        c("case_id").alias("Seq"), F.when(c("district") == "ASIA", "XX").otherwise("YY").alias("ST"),
+        c("county").alias("County"), F.when(c("city") == "BUILDING", "Lynwood").otherwise(c("city")).alias("City"),
         F.year("date").alias("Year"), F.month("date").alias("Mo"), F.dayofmonth("date").alias("Date"),
     )
     return newspaper.prepare(raw, "XX").withColumnRenamed("case_id", "news_id")
@@ -448,7 +462,9 @@ f AS (SELECT *, CASE coalesce(final, vpursuit_draft) WHEN 'terminated pursuit' T
 d AS (SELECT *, CASE WHEN coalesce(regexp_matches(vpursuit, 'Active|Terminated'), false) THEN 'Pursuit' ELSE vpursuit END AS pursuit_type FROM f)
 SELECT fe_id, pursuit_tag, vpursuit, pursuit_type, n.case_id AS news_id, CASE WHEN n.case_id IS NULL THEN 0 ELSE 1 END AS newspaper,
   coalesce(d.county, n.county) AS county, n.city_name
-FROM (SELECT * FROM d WHERE pursuit_type <> 'Reviewed Not Related') d FULL JOIN news n ON d.county = n.county AND d.year = n.year AND d.mo_num = n.mo AND d.day = n.day
+FROM (SELECT *, row_number() OVER (PARTITION BY county, date ORDER BY fe_id) AS nth FROM d WHERE pursuit_type <> 'Reviewed Not Related') d
+FULL JOIN (SELECT *, row_number() OVER (PARTITION BY county, year, mo, day ORDER BY case_id) AS nth FROM news) n
+  ON d.county = n.county AND d.year = n.year AND d.mo_num = n.mo AND d.day = n.day AND d.nth = n.nth
 """, "coded news")
 def flow_newspaper(t):
     c = F.col
@@ -464,7 +480,7 @@ def flow_newspaper(t):
         F.lit("x").alias("victim_final"), F.lit("u").alias("url_info"), F.lit(None).cast("string").alias("url_additional"),
     )
     final = newspaper.apply_coding(newspaper.tag_candidates(people), coded)
-    return newspaper.compare(final, news_cases(t)).select(
+    return newspaper.compare(final, news_cases(t), case_id="news_id").select(
         "fe_id", "pursuit_tag", "vpursuit", "pursuit_type", "news_id", "newspaper", "county", "city_name"
     )
 
@@ -510,10 +526,10 @@ def _victims(alias: str, value: str) -> str:
 
 @query(f"""
 SELECT policy_period, {_victims("Subjects", "Subject")}, {_victims("Bystanders", "Bystander")}, {_victims("Passengers", "Passenger")},
-  {_victims("Officers", "Officer")}, {COUNT} AS "Total" FROM fatalities WHERE {SQL_AFTER} AND victim IS NOT NULL GROUP BY policy_period
+  {_victims("Officers", "Officer")}, {COUNT} AS "Total" FROM fatalities WHERE {SQL_AFTER} GROUP BY policy_period
 """, "fatalities")
 def report_period_victims(t):
-    return report.period_victims(fatalities(t).where(F.col("victim").isNotNull()), "after")
+    return report.period_victims(fatalities(t), "after")
 
 
 ABBREVIATED = ("replace(replace(replace(replace(agency, 'Washington State Patrol', 'WSP'), 'Washington', 'WA'), "

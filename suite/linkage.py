@@ -11,14 +11,15 @@ from .base import LINK_KEYS, cases, deaths, query, source_a, source_b, source_c
 
 SAME = "a.date = b.date AND a.district = b.district AND a.age IS NOT DISTINCT FROM b.age"
 
-# One row per left record (its first partner) and every right record without partner.
+# Records of one key are paired in the order of their ids; every record occurs once.
 LINKED_SQL = f"""
-WITH linked AS (
+WITH na AS (SELECT *, row_number() OVER (PARTITION BY date, district, age ORDER BY a_id) AS nth FROM sa),
+nb AS (SELECT *, row_number() OVER (PARTITION BY date, district, age ORDER BY b_id) AS nth FROM sb),
+linked AS (
   SELECT coalesce(a.date, b.date) AS date, coalesce(a.district, b.district) AS district, coalesce(a.age, b.age) AS age,
     a_id, b_id, a.county_code AS county_code_a, b.county_code AS county_code_b, a.city AS city_a, b.city AS city_b,
     a.persons AS persons_a, b.persons AS persons_b, a.tag AS tag_a, b.tag AS tag_b
-  FROM sa a FULL JOIN sb b ON {SAME}
-  QUALIFY a_id IS NULL OR row_number() OVER (PARTITION BY a_id ORDER BY b_id) = 1)
+  FROM na a FULL JOIN nb b ON {SAME} AND a.nth = b.nth)
 """
 
 
@@ -86,12 +87,12 @@ def join_natural(t):
 
 @query("""
 SELECT coalesce(c.county, s.n_name) AS county, coalesce(c.year, s.year) AS year, c.cases, s.lines, CASE WHEN s.lines IS NULL THEN 0 ELSE 1 END AS shipped
-FROM (SELECT county, year(date) AS year, count(*) AS cases FROM cases WHERE order_status = 'P' AND age = 1 GROUP BY ALL) c
+FROM (SELECT county, year(date) AS year, count(*) AS cases FROM cases GROUP BY ALL) c
 FULL JOIN (SELECT n_name, year(l_shipdate) AS year, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) s ON c.county = s.n_name AND c.year = s.year
 """, "cases")
 def join_full_presence(t):
-    left = cases(t).where((F.col("order_status") == "P") & (F.col("age") == 1)).groupBy(
+    left = cases(t).groupBy(
         "county", F.year("date").alias("year")
     ).agg(F.count(F.lit(1)).alias("cases"))
     by_supplier = t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").alias("ship_year")).agg(
@@ -175,21 +176,22 @@ def link_status(t):
     return df.withColumn("tag_status", link.tag_status("status_fe", "status_a", "status_b"))
 
 
-@query("""
-WITH t1 AS (
-  SELECT c_id, a_id AS match_id, a.county_code, a.persons FROM sc c JOIN sa a ON c.date = a.date AND c.county_code = a.county_code
-    AND c.age IS NOT DISTINCT FROM a.age AND a.tag = 1 AND c.city = a.city
-  QUALIFY row_number() OVER (PARTITION BY c_id ORDER BY a_id) = 1),
+def _tier_sql(name, left, pool, pool_id, keys):
+    """One tier: both sides numbered inside the key, paired by key and number."""
+    by = ", ".join(keys)
+    on = " AND ".join(f"c.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)
+    return f"""{name} AS (
+  SELECT c.c_id, p.{pool_id} AS match_id, p.county_code, p.persons
+  FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY c_id) AS nth FROM {left}) c
+  JOIN (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {pool_id}) AS nth FROM {pool}) p ON {on} AND c.nth = p.nth)"""
+
+
+@query(f"""
+WITH {_tier_sql("t1", "sc", "(SELECT * FROM sa WHERE tag = 1)", "a_id", ["date", "county_code", "age", "city"])},
 r1 AS (SELECT * FROM sc WHERE c_id NOT IN (SELECT c_id FROM t1)),
-t2 AS (
-  SELECT c_id, a_id AS match_id, a.county_code, a.persons FROM r1 c JOIN sa a ON c.date = a.date AND c.district = a.district
-    AND c.age IS NOT DISTINCT FROM a.age AND a.tag = 0
-  QUALIFY row_number() OVER (PARTITION BY c_id ORDER BY a_id) = 1),
+{_tier_sql("t2", "r1", "(SELECT * FROM sa WHERE tag = 0)", "a_id", LINK_KEYS)},
 r2 AS (SELECT * FROM r1 WHERE c_id NOT IN (SELECT c_id FROM t2)),
-t3 AS (
-  SELECT c_id, b_id AS match_id, b.county_code, b.persons FROM r2 c JOIN sb b ON c.date = b.date AND c.district = b.district
-    AND c.age IS NOT DISTINCT FROM b.age AND b.tag = 0
-  QUALIFY row_number() OVER (PARTITION BY c_id ORDER BY b_id) = 1),
+{_tier_sql("t3", "r2", "(SELECT * FROM sb WHERE tag = 0)", "b_id", LINK_KEYS)},
 r3 AS (SELECT * FROM r2 WHERE c_id NOT IN (SELECT c_id FROM t3))
 SELECT c_id, 'both' AS tier, CAST(match_id AS VARCHAR) AS match_id, county_code, persons FROM t1
 UNION ALL SELECT c_id, 'untagged a', CAST(match_id AS VARCHAR), county_code, persons FROM t2
@@ -197,14 +199,15 @@ UNION ALL SELECT c_id, 'untagged b', CAST(match_id AS VARCHAR), county_code, per
 UNION ALL SELECT c_id, 'crowd only', NULL, NULL, NULL FROM r3
 """, "sa sb sc")
 def link_cascade(t):
-    crowd = source_c(t).select("c_id", "date", "district", "age", "city", F.col("county_code").alias("place"))
+    crowd = stage(source_c(t).select(
+        "c_id", "date", "district", "age", "city", F.col("county_code").alias("place")))
     a = stage(source_a(t)).withColumn("place", F.col("county_code"))
-    b = source_b(t)
+    b = stage(source_b(t))
     return link.cascade(crowd, [
         ("both", a.where(F.col("tag") == 1), "a_id", ["date", "place", "age", "city"]),
         ("untagged a", a.where(F.col("tag") == 0), "a_id", LINK_KEYS),
         ("untagged b", b.where(F.col("tag") == 0), "b_id", LINK_KEYS),
-    ], carry=["county_code", "persons"], rest="crowd only").select(
+    ], carry=["county_code", "persons"], rest="crowd only", left_id="c_id").select(
         "c_id", "tier", "match_id", "county_code", "persons"
     )
 
@@ -241,11 +244,12 @@ def link_crosstab(t):
 
 @query("""
 WITH m AS (SELECT case_id, min(rec_id) AS lead FROM deaths WHERE vpursuit = 'Active pursuit' AND victim = 'Officer' GROUP BY case_id),
-pa AS (SELECT rec_id, case_id, person_age AS age, victim FROM deaths WHERE cod IS NOT NULL AND case_id IN (SELECT case_id FROM m)),
-pb AS (SELECT 'b' || rec_id AS rec_id, case_id, person_age AS age, victim FROM deaths WHERE unit > 2 AND case_id IN (SELECT case_id FROM m)),
+pa AS (SELECT rec_id, case_id, person_age AS age, victim,
+    row_number() OVER (PARTITION BY case_id, person_age, victim ORDER BY rec_id) AS nth FROM deaths WHERE cod IS NOT NULL AND case_id IN (SELECT case_id FROM m)),
+pb AS (SELECT 'b' || rec_id AS rec_id, case_id, person_age AS age, victim,
+    row_number() OVER (PARTITION BY case_id, person_age, victim ORDER BY rec_id) AS nth FROM deaths WHERE unit > 2 AND case_id IN (SELECT case_id FROM m)),
 x AS (SELECT coalesce(pa.case_id, pb.case_id) AS case_id, pa.rec_id AS rec_a, pb.rec_id AS rec_b FROM pa FULL JOIN pb
-  ON pa.case_id = pb.case_id AND pa.age IS NOT DISTINCT FROM pb.age AND pa.victim IS NOT DISTINCT FROM pb.victim
-  QUALIFY pa.rec_id IS NULL OR row_number() OVER (PARTITION BY pa.rec_id ORDER BY pb.rec_id) = 1)
+  ON pa.case_id = pb.case_id AND pa.age IS NOT DISTINCT FROM pb.age AND pa.victim IS NOT DISTINCT FROM pb.victim AND pa.nth = pb.nth)
 SELECT case_id, rec_a, rec_b, CASE WHEN rec_a IS NULL THEN 0 ELSE 1 END AS status_a,
   CASE WHEN rec_b IS NULL THEN 0 ELSE 1 END AS status_b, lead FROM x JOIN m USING (case_id)
 """, "deaths")

@@ -8,6 +8,7 @@ from incidentlab import names, periods, tables
 from incidentlab.flows import report
 from incidentlab.io import union_sources
 
+from .aggregation import incidents
 from .base import POLICY, SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, cases, deaths, fatalities, query
 from .cleaning import SQL_RETYPE
 
@@ -143,13 +144,30 @@ def source_coverage(t):
 
 
 @query(f"""
-WITH v AS (SELECT *, NULLIF(victim, 'none') AS vic FROM fatalities WHERE victim IS NOT NULL)
+WITH v AS (SELECT * FROM fatalities)
 SELECT count(*) FILTER ({SQL_PURSUIT}) / count(*) AS pct_p, count(*) FILTER ({SQL_VEHICULAR}) / count(*) AS pct_pvf,
   count(*) FILTER ({SQL_AFTER} AND cod = 'Gunshot') / count(*) FILTER ({SQL_AFTER}) AS pct_shot_apf,
-  count(*) FILTER ({SQL_VEHICULAR} AND victim = 'Subject') / count(*) FILTER ({SQL_VEHICULAR}) AS pct_subject_pvf FROM v
+  CASE WHEN count(*) FILTER ({SQL_VEHICULAR} AND victim IS NULL) = 0
+    THEN count(*) FILTER ({SQL_VEHICULAR} AND victim = 'Subject') / count(*) FILTER ({SQL_VEHICULAR}) END AS pct_subject_pvf FROM v
 """, "fatalities")
 def summary_ratios(t):
-    return tables.summary_ratios(fatalities(t).where(F.col("victim").isNotNull()))
+    return tables.summary_ratios(fatalities(t))
+
+
+@query(f"""
+SELECT count(DISTINCT case_id) FILTER ({SQL_PURSUIT}) / count(DISTINCT case_id) AS pct_i_p FROM fatalities
+""", "fatalities")
+def summary_incident_ratio(t):
+    return tables.incident_ratio(incidents(t))
+
+
+@query(f"""
+WITH g AS (SELECT CAST(n AS VARCHAR) AS fatalities, {COUNT} AS n FROM (SELECT case_id, count(*) AS n FROM fatalities GROUP BY 1) GROUP BY 1)
+SELECT fatalities, n AS "Number", format('{{:.1f}}%', round(100 * n / (SELECT sum(n) FROM g), 1)) AS "Percent" FROM g
+UNION ALL SELECT 'Total', CAST(sum(n) AS BIGINT), format('{{:.1f}}%', 100.0) FROM g
+""", "fatalities")
+def report_deaths_per_incident(t):
+    return tables.share_table(incidents(t), "fatalities")
 
 
 @query("""
@@ -165,15 +183,14 @@ def period_lengths(t):
 
 
 @query("""
-WITH m AS (SELECT date_trunc('month', o_orderdate) AS d, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+WITH m AS (SELECT date_trunc('month', o_orderdate) AS d, count(*) AS n FROM orders GROUP BY 1),
 spine AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS index_date)
 SELECT index_date, CAST(year(index_date) AS INT) AS year, strftime(index_date, '%b') AS mon, strftime(index_date, '%b.%Y') AS mon_yr, n AS num,
   CASE WHEN index_date < DATE '1998-07-01' THEN 'pre' WHEN index_date < DATE '2000-06-01' THEN 'reform' ELSE 'rollback' END AS policy_period
 FROM spine LEFT JOIN m ON index_date = CAST(d AS DATE)
 """)
 def month_spine(t):
-    done = t.orders.where(F.col("o_orderstatus") == "F")
-    return periods.monthly_counts(done, "o_orderdate", POLICY)
+    return periods.monthly_counts(t.orders, "o_orderdate", POLICY)
 
 
 @query(f"""
@@ -204,10 +221,9 @@ def prepost_reform(t):
     return report.reform_comparison(fatalities(t), POLICY)
 
 
-@query(_side_sql(f"{SQL_AFTER} AND victim IS NOT NULL", "1999-04-02", "2000-06-01", "", ("Pre-rollback", "Post-rollback")), "fatalities")
+@query(_side_sql(SQL_AFTER, "1999-04-02", "2000-06-01", "", ("Pre-rollback", "Post-rollback")), "fatalities")
 def prepost_rollback(t):
-    known = fatalities(t).where(F.col("victim").isNotNull())
-    return report.rollback_comparison(known, POLICY, "after")
+    return report.rollback_comparison(fatalities(t), POLICY, "after")
 
 
 CHANGE_SQL = """

@@ -69,18 +69,30 @@ def union_harmonized(t):
 
 @query("""
 SELECT o_orderkey AS "order no", strftime(o_orderdate, '%m/%d/%y') AS "date", o_totalprice AS price FROM orders
-WHERE o_orderstatus = 'F'
 """)
 def export_table(t):
-    done = t.orders.where(F.col("o_orderstatus") == "F")
     return io.export_view(
-        done,
+        t.orders,
         {"order no": F.col("o_orderkey"), "date": F.date_format("o_orderdate", "MM/dd/yy"),
          "price": F.col("o_totalprice")},
         [F.col("o_orderdate").desc(), F.col("o_orderkey")],
     )
 
 
+@query("""
+SELECT CAST(n_nationkey AS INT) AS "no", n_name AS "nation name", r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
+def export_csv_roundtrip(t):
+    """The CSV side of an export, read back."""
+    path = io.shared_folder(t.spark) + "/nations.csv"
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    io.export_view(
+        places, {"no": F.col("n_nationkey"), "nation name": F.col("n_name"), "region": F.col("r_name")},
+        [F.col("r_name"), F.col("n_nationkey")], out=path,
+    )
+    return io.read_table(t.spark, path, "no int, `nation name` string, region string")
+
+
 @query("""
 SELECT c_custkey AS "custkey.cust", c_name AS "name.cust", n_name AS nation,
   CAST(trunc(c_acctbal) AS INT) AS balance, TRY_CAST(c_mktsegment AS INT) AS segment_no
@@ -138,9 +150,9 @@ UNION ALL SELECT 'stop', count(*), count(DISTINCT case_id) FROM fatalities WHERE
 def subset_counts(t):
     """Persons and incidents of each nested subset in one pass: persons per incident first,
     then one array of tags per incident."""
-    per_incident = fatalities(t).groupBy("case_id", "incident_type").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    people = fatalities(t).groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("incident_type").alias("incident_type"))
+    per_incident = people
     tags = F.array_compact(F.array(*[F.when(cond, name) for name, cond in subset_tags().items()]))
     return per_incident.select("n", F.explode(tags).alias("subset")).groupBy("subset").agg(
         F.sum("n").alias("persons"), F.count(F.lit(1)).alias("incidents")

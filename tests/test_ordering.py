@@ -29,25 +29,40 @@ def expected(rows, key):
     return out
 
 
-def test_within_equals_brute_force(skewed):
-    got = {r.id: r.row_no for r in number_within(skewed, ["k"], ["day", "id"]).collect()}
+@pytest.mark.parametrize("largest", [1_000_000, 1000, 10])
+def test_within_equals_brute_force(skewed, largest):
+    out = number_within(skewed, ["k"], ["day", "id"], largest=largest)
+    got = {r.id: r.row_no for r in out.collect()}
     assert got == expected(skewed.collect(), lambda r: r["k"])
 
 
-def test_global_equals_brute_force(skewed):
+@pytest.mark.parametrize("rows", [1_000_000, 700])
+def test_global_equals_brute_force(skewed, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", rows)
     got = {r.id: r.row_no for r in number_global(skewed, ["day", "id"], start=101).collect()}
     want = expected(skewed.collect(), lambda r: 0)
     assert got == {i: n + 100 for i, n in want.items()}
 
 
 def test_the_hot_group_is_split(skewed):
-    order = [F.col("k"), F.col("day"), F.col("id")]
-    cuts = ordering._cut_points(skewed, order, 8)
-    ranged = ordering._with_range(skewed, order, 8, cuts)
+    ranged = ordering._ranged(skewed, [F.col("k"), F.col("day"), F.col("id")], 8)
     sizes = [r["count"] for r in ranged.where("k = 'hot'").groupBy("__range").count().collect()]
     assert len(sizes) >= 4 and max(sizes) < 3000
 
 
+def test_more_rows_give_more_ranges():
+    counts = [ordering.range_count(n) for n in (0, 1, 10**5, 10**7, 10**9, 10**12)]
+    assert counts == sorted(counts) and counts[0] == 1
+    assert counts[-1] == 10**12 // ordering.RANGE_ROWS
+
+
+def test_ties_are_an_error(skewed):
+    for out in (number_global(skewed, ["day"]), number_within(skewed, ["k"], ["day"]),
+                number_within(skewed, ["k"], ["day"], largest=10)):
+        with pytest.raises(Exception, match="unique key"):
+            out.collect()
+
+
 def test_small_and_empty_inputs(spark, skewed):
     one = skewed.limit(1)
     assert [r.row_no for r in number_global(one, ["id"]).collect()] == [1]

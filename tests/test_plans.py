@@ -5,13 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from incidentlab.geo import project_points
 from incidentlab.rollup import attach_group
+from suite import catalog
 
 # Queries that build their plan without writing an intermediate table first.
 PLANNED = sorted(
-    n for n in entry.queries()
+    n for n in catalog.queries()
     if not n.startswith(("flow_", "link_", "scan_csv", "sink_")) and n not in ("survivorship", "global_sequence")
 )
 
@@ -22,13 +22,13 @@ def plan(df):
 
 @pytest.mark.parametrize("name", PLANNED)
 def test_no_cartesian_and_no_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(catalog.queries()[name](spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in text
 
 
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
-    text = plan(entry.queries()["scan_filtered"](spark, sf_dir))
+    text = plan(catalog.queries()["scan_filtered"](spark, sf_dir))
     assert "EqualTo(n_regionkey,1)" in text
     assert "ReadSchema: struct<n_name:string,n_regionkey:int>" in text
 

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from suite import catalog
 from suite.check import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
 
 @pytest.fixture(scope="module")

@@ -9,9 +9,9 @@ rarity among them: two that link share one of the first shingles of each in any
 lists are cut into blocks by set size; blocks too far apart, and entries whose positions leave too
 little to share, are skipped.
 Within a list, answers are derived from those of similar sets: every set is first compared with a
-leader, the one with the fewest shingles of its own; sets already connected are not compared again,
-and the distances to a common leader rule out pairs that differ from it by too different amounts.
-Pairs that remain are verified on whole texts, and components spread over the links by least labels.
+leader, the one with the fewest shingles of its own, and sets already connected are not compared
+again. Two sets with a common leader differ by just what their differences from it do not share, so
+these small differences are joined in place of the sets. Pairs that remain are verified on whole texts, and components spread over the links by least labels.
 No step lists all pairs of a group.
 """
 
@@ -269,7 +269,7 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
             break
         labels = components(checked.where("linked"))
     checked = stage(checked)
-    pairs = _not_in(_remaining(lists, labels, checked, how), checked)
+    pairs = _not_in(_remaining(lists, texts, labels, checked, how), checked)
     links = stage(_verify(pairs, texts, how).where("linked"))
     if not links.isEmpty():
         labels = components(checked.where("linked").select("a", "b").unionAll(
@@ -311,29 +311,78 @@ def _not_in(pairs: DataFrame, checked: DataFrame) -> DataFrame:
     return pairs.join(turned, ["a", "b"], "left_anti")
 
 
-def _remaining(lists: DataFrame, labels: DataFrame | None, checked: DataFrame,
+def _remaining(lists: DataFrame, texts: DataFrame, labels: DataFrame | None, checked: DataFrame,
                how: Join) -> DataFrame:
-    """Pairs of sets in one list that no relation decides: not connected yet, of fitting sizes and
-    positions, and not ruled out by their distances to a common leader."""
-    pivots = checked.groupBy(F.col("b").alias("id")).agg(
-        F.min(F.struct("apart", "a")).alias("pivot"))
-    entries = _open(lists, labels).join(pivots, "id", "left").select(
-        "shingle", "id", "n", "pos", "label", F.col("pivot.a").alias("leader"),
-        F.col("pivot.apart").alias("apart"))
-    block = F.floor(F.log("n") / math.log(100 / how.percent)).cast("int")
-    entries = stage(entries.withColumn("block", block))
+    """Pairs of sets that no relation decides: not connected yet, of fitting sizes and positions.
+    Sets with a common leader meet in the lists of their differences from it, all others in the
+    lists of their shingles."""
+    votes = checked.groupBy("a").agg(F.count("*").alias("votes"))
+    leaders = checked.join(votes, "a").groupBy(F.col("b").alias("id")).agg(
+        F.max(F.struct("votes", "a")).alias("first")).select("id", F.col("first.a").alias("leader"))
+    entries = stage(_open(lists, labels).join(leaders, "id", "left"))
+    led = stage(entries.where("leader IS NOT NULL").select("id", "label", "leader").distinct())
+    apart = stage(_apart_lists(led, texts, how))
+    same = _meet(apart, ["leader", "shingle"], F.lit(True), how)
+    other = _meet(entries, ["shingle"], ~F.col("leader_a").eqNullSafe(F.col("leader_b"))
+                  | F.col("leader_a").isNull(), how)
+    return same.unionAll(other).distinct()
+
+
+def _meet(entries: DataFrame, keys: list[str], condition: Column, how: Join) -> DataFrame:
+    """Pairs (a, b) of sets of one list. Lists are cut into blocks of sizes; each entry meets those
+    of its own block and of the next larger one."""
+    block = F.floor(F.log("n") / math.log(100 / how.percent) + 1e-9).cast("int")
+    entries = entries.withColumn("block", block)
     left = entries.select(*[F.col(c).alias(f"{c}_a") for c in entries.columns])
     right = entries.withColumn("block", F.explode(F.array("block", F.col("block") + 1)))
     right = right.select(*[F.col(c).alias(f"{c}_b") for c in right.columns])
-    # each set meets those of its own block and of the next larger one
-    met = left.join(right, (F.col("shingle_a") == F.col("shingle_b"))
-                    & (F.col("block_a") == F.col("block_b"))
-                    & (F.col("label_a") != F.col("label_b")))
+    on = F.lit(True)
+    for key in [*keys, "block"]:
+        on = on & (F.col(f"{key}_a") == F.col(f"{key}_b"))
+    met = left.join(right, on & (F.col("label_a") != F.col("label_b")))
     limit = _least_apart(F.col("n_a") + F.col("n_b"), how)
-    far = ((F.col("leader_a") == F.col("leader_b"))
-           & (F.abs(F.col("apart_a") - F.col("apart_b")) > limit))
-    kept = met.where((F.col("id_a") != F.col("id_b"))
+    kept = met.where(condition & (F.col("id_a") != F.col("id_b"))
                      & (100 * F.least("n_a", "n_b") >= how.percent * F.greatest("n_a", "n_b"))
-                     & (F.col("pos_a") + F.col("pos_b") <= limit) & ~F.coalesce(far, F.lit(False)))
+                     & (F.col("pos_a") + F.col("pos_b") <= limit))
     return kept.select(F.least("id_a", "id_b").alias("a"),
                        F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _apart_lists(led: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
+    """Index entries (leader, shingle, id, n, pos, label) of each set's difference from its leader,
+    in the order of rarity among the sets with that leader. Of two sets, what stands before their
+    first common entry is in one of them only, so positions bound how much they differ."""
+    both = led.join(texts.select("id", F.col("packed").alias("right")), "id").join(
+        texts.select(F.col("id").alias("leader"), F.col("packed").alias("left")), "leader")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            leaders = batch.column(0).to_pylist()
+            for i in range(batch.num_rows):
+                if leaders[i] != at:
+                    at = leaders[i]
+                    known = shingles(zlib.decompress(batch.column(3)[i].as_py()).decode(), how)
+                own = shingles(zlib.decompress(batch.column(4)[i].as_py()).decode(), how)
+                only = np.setxor1d(own, known, assume_unique=True)
+                same = pa.array(np.full(len(only), i))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(same) for c in (0, 1, 2)],
+                     pa.array(np.full(len(only), len(own), np.int32)),
+                     pa.array(np.full(len(only), len(only), np.int32)), pa.array(_signed(only))],
+                    ["leader", "id", "label", "n", "size", "shingle"])
+
+    full = both.select("leader", "id", "label", "left", "right").mapInArrow(
+        emit, "leader long, id long, label long, n int, size int, shingle long")
+    often = full.groupBy("leader", "shingle").agg(F.count("*").alias("m")).where("m > 1")
+    per_set = full.join(often, ["leader", "shingle"]).groupBy("leader", "id", "label").agg(
+        F.first("n").alias("n"), F.first("size").alias("size"),
+        F.sort_array(F.collect_list(F.struct("m", "shingle"))).alias("common"))
+    own = F.col("size") - F.size("common")
+    most = _least_apart(F.col("n") * (1 + 100 / how.percent), how).cast("int") + 1
+    head = per_set.where(most > own).select(
+        "leader", "id", "label", "n", own.alias("own"),
+        F.slice("common", F.lit(1), most - own).alias("head"))
+    return head.select("leader", "id", "label", "n", "own", F.posexplode("head").alias("i", "entry")
+                       ).select("leader", F.col("entry.shingle").alias("shingle"), "id", "n",
+                                (F.col("own") + F.col("i")).alias("pos"), "label")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlab.llm import decontaminate, jaccard_join, langid, packing, pii
-from incidentlab.llm.common import stage
+from incidentlab.llm.common import bounded_batches, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,6 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model is fitted on the labelled rows of ``docs`` that are not held out. Null, empty and
     letterless texts are rejected, and so are texts that no language fits (``MIN_SCORE``).
     """
+    bounded_batches(spark)
     learn = ~langid.held_out("doc_id") & F.col("doc_id").isNotNull()
     model = langid.train(docs, learn=learn)
     named = langid.predict(docs, model)
@@ -39,6 +40,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked documents (five words,
     similarity 0.8). Documents without words or without an id have no group and stay."""
+    bounded_batches(spark)
     groups = jaccard_join.link(docs, NEAR)
     extra = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(stage(extra), "doc_id", "left_anti").select(*docs.columns)
@@ -46,11 +48,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage like a benchmark item."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes placeholders over personal data; ``n_chars`` follows. Null texts stay null."""
+    bounded_batches(spark)
     mask = pii.masker()
     text, size = docs.columns.index("text"), docs.columns.index("n_chars")
 
@@ -67,6 +71,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places in them."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -43,6 +43,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound what a Python worker holds of the rows at a time: by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def text_key(text: str = "text") -> Column:
     """Tells apart rows that share an id: 64 bits of the text. Rows equal in id and text have
     equal results, so either may take the result of the other."""

@@ -9,6 +9,7 @@ one group is left or merging no longer helps. Only ids, lengths and checksums mo
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,11 +48,9 @@ def encoder(tokenizer: str, ranks: str | None):
     vocabulary in the other library's format encodes plain Latin texts: the ids are the same at a
     third of the time. A text that names a special token always takes the tokenizer file."""
     if (tokenizer, ranks) not in _loaded:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(tokenizer)
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
-        fast = None
+        with open(tokenizer) as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
+        fast, loaded = None, []
         if ranks:
             import tiktoken
 
@@ -63,7 +62,11 @@ def encoder(tokenizer: str, ranks: str | None):
         def encode(text: str) -> list[int]:
             if fast and _PLAIN.fullmatch(text) and not any(s in text for s in special):
                 return fast.encode_ordinary(text)
-            return slow.encode(text, add_special_tokens=False).ids
+            if not loaded:  # most workers never need it
+                from tokenizers import Tokenizer
+
+                loaded.append(Tokenizer.from_file(tokenizer))
+            return loaded[0].encode(text, add_special_tokens=False).ids
 
         _loaded[tokenizer, ranks] = encode
     return _loaded[tokenizer, ranks]

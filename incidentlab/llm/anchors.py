@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_key
+from .common import stage
 
 CHUNK = 1 << 20
 #: Windows of one run: their flags fit a 64-bit mask.
@@ -181,7 +181,7 @@ def _runs(docs: DataFrame, spec: Windows) -> DataFrame:
                 ["key", "whole", "id", "row", "start", "count", "again"])
 
     return docs.select("id", "row", "text").mapInArrow(
-        emit, "key long, whole long, id long, row long, start int, count smallint, again boolean")
+        emit, "key long, whole long, id long, row int, start int, count smallint, again boolean")
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame, spec: Windows) -> DataFrame:
@@ -269,7 +269,7 @@ def find(docs: DataFrame, spec: Windows, compare: Compare, group_rows: int = 100
     """Rows (id, row, start, count, mask) of the runs with windows that occur earlier: mask -1
     stands for all ``count`` windows from ``start`` on, else bit j for the window at start + j.
 
-    ``docs`` has id (long), row (tells apart rows with one id) and text.
+    ``docs`` has id (long), row (a short hash that tells apart rows with one id) and text.
     """
     counts = _keys(docs, spec).groupBy("key").agg(F.count("*").alias("n"))
     repeated = stage(counts.where("n > 1").select("key"))
@@ -300,7 +300,8 @@ def prepare(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Rows as ``find`` takes them. A null id is larger than all others."""
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-        docs[id_col].alias("own_id"), docs[text].alias("text")).withColumn("row", text_key())
+        docs[id_col].alias("own_id"), docs[text].alias("text")).withColumn(
+        "row", F.hash(F.coalesce("text", F.lit("\0null"))))
 
 
 def marked(docs: DataFrame, found: DataFrame) -> DataFrame:

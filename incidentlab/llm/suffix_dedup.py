@@ -50,7 +50,7 @@ def ranks_by_doubling(units: np.ndarray, places: np.ndarray, counts: np.ndarray,
     return rank[windows]
 
 
-def duplicates(docs: DataFrame, size: int = 50, gram: int = 20, id_col: str = "doc_id",
+def duplicates(docs: DataFrame, size: int = 50, gram: int = 16, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
     """Runs of windows of ``size`` bytes that also start in a document with a smaller id."""
     spec = anchors.Windows(size, gram, anchors.raw_bytes, within=False)
@@ -59,7 +59,7 @@ def duplicates(docs: DataFrame, size: int = 50, gram: int = 20, id_col: str = "d
                             units, places, counts, size))
 
 
-def remove(docs: DataFrame, size: int = 50, gram: int = 20, id_col: str = "doc_id",
+def remove(docs: DataFrame, size: int = 50, gram: int = 16, id_col: str = "doc_id",
            text: str = "text") -> DataFrame:
     """Id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row.
 

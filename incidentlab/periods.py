@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -105,6 +105,25 @@ def pct_change(
     return counts.withColumn("pct_change", F.try_divide("n_after", "n_before") - 1)
 
 
+def pct_changes(
+    df: DataFrame, day: str, windows: Mapping[str, tuple[date, int, date | None]],
+    inclusive: bool = False,
+) -> DataFrame:
+    """``pct_change`` for several boundaries (label -> boundary, length, end) from one pass over
+    the rows: boundary, n_before, n_after, pct_change."""
+    counts = {}
+    for label, (boundary, length, end) in windows.items():
+        inside = _window(day, boundary, length, end, inclusive)
+        counts[f"{label}__before"] = F.count_if(inside & (F.col(day) < F.lit(boundary)))
+        counts[f"{label}__after"] = F.count_if(inside & (F.col(day) >= F.lit(boundary)))
+    rows = F.array(*[
+        F.struct(F.lit(label).alias("boundary"), F.col(f"{label}__before").alias("n_before"),
+                 F.col(f"{label}__after").alias("n_after")) for label in windows])
+    wide = df.agg(*[c.alias(n) for n, c in counts.items()])
+    long = wide.select(F.explode(rows).alias("e")).select("e.*")
+    return long.withColumn("pct_change", F.try_divide("n_after", "n_before") - 1)
+
+
 def month_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
     """Every month from ``start`` to ``end``: year, mon (Jan..Dec), mon_yr, index_date."""
     months = spark.range(1).select(

@@ -7,22 +7,25 @@ from incidentlab.rollup import first_by
 
 from .base import query
 
-PLANE = geo.WASHINGTON_SOUTH_FT
-E, N, SCALE, RHO0 = PLANE.constants()
-
-
-def num(x: float) -> str:
-    """DOUBLE literal; without an exponent it would be a DECIMAL."""
-    return f"({x!r}e0)"
+# The cone's constants, worked out in SQL from the published parameters of the plane: NAD83,
+# Washington South, standard parallels 45 50' and 47 20', origin 45 20' N 120 30' W, US survey feet.
+CONE_SQL = """
+p AS (SELECT radians(45 + 50 / 60e0) AS p1, radians(47 + 20 / 60e0) AS p2, radians(45 + 20 / 60e0) AS p0,
+  sqrt(2 / 298.257222101e0 - 1 / (298.257222101e0 * 298.257222101e0)) AS ec),
+q AS (SELECT ec, cos(p1) / sqrt(1 - pow(ec * sin(p1), 2)) AS m1, cos(p2) / sqrt(1 - pow(ec * sin(p2), 2)) AS m2,
+  tan(pi() / 4 - p1 / 2) / pow((1 - ec * sin(p1)) / (1 + ec * sin(p1)), ec / 2) AS t1,
+  tan(pi() / 4 - p2 / 2) / pow((1 - ec * sin(p2)) / (1 + ec * sin(p2)), ec / 2) AS t2,
+  tan(pi() / 4 - p0 / 2) / pow((1 - ec * sin(p0)) / (1 + ec * sin(p0)), ec / 2) AS t0 FROM p),
+c AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS cone FROM q),
+k AS (SELECT ec, cone, 6378137e0 * m1 / (cone * pow(t1, cone)) AS scale,
+  6378137e0 * m1 / (cone * pow(t1, cone)) * pow(t0, cone) AS rho0 FROM c)"""
 
 
 def _latitude_sql(steps: int) -> str:
     """The iterative form of the inverse, as an independent check on the series."""
     sql = "SELECT *, pi() / 2 - 2 * atan(t) AS phi FROM t"
     for _ in range(steps):
-        sql = (
-            f"SELECT * REPLACE (pi() / 2 - 2 * atan(t * pow((1 - {num(E)} * sin(phi)) / (1 + {num(E)} * sin(phi)), {num(E / 2)})) AS phi) FROM ({sql})"
-        )
+        sql = f"SELECT * REPLACE (pi() / 2 - 2 * atan(t * pow((1 - ec * sin(phi)) / (1 + ec * sin(phi)), ec / 2)) AS phi) FROM ({sql})"
     return sql
 
 
@@ -30,9 +33,10 @@ def _latitude_sql(steps: int) -> str:
 WITH first_line AS (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1),
 xy AS (SELECT l_orderkey AS incident, 900000 + 1000e0 * (l_suppkey % 1000) AS x, 300000 + 50e0 * (l_partkey % 9000) AS y FROM first_line),
-m AS (SELECT incident, x * {num(geo.US_SURVEY_FOOT)} - {num(PLANE.false_easting)} AS e, {num(RHO0)} - y * {num(geo.US_SURVEY_FOOT)} AS n FROM xy),
-t AS (SELECT *, pow(sqrt(e * e + n * n) / {num(SCALE)}, {num(1 / N)}) AS t FROM m),
-ll AS (SELECT incident, degrees(atan2(e, n) / {num(N)}) + {num(PLANE.lon0)} AS longitude, degrees(phi) AS latitude FROM ({_latitude_sql(6)}))
+{CONE_SQL.strip()},
+m AS (SELECT incident, ec, cone, scale, x * (1200e0 / 3937e0) - 500000e0 AS e, rho0 - y * (1200e0 / 3937e0) AS n FROM xy, k),
+t AS (SELECT *, pow(sqrt(e * e + n * n) / scale, 1 / cone) AS t FROM m),
+ll AS (SELECT incident, degrees(atan2(e, n) / cone) - 120.5e0 AS longitude, degrees(phi) AS latitude FROM ({_latitude_sql(6)}))
 SELECT incident, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
   round((SELECT avg(longitude) FROM ll), 6) AS mean_lon, round((SELECT avg(latitude) FROM ll), 6) AS mean_lat FROM ll
 """)

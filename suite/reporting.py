@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from incidentlab import names, periods, tables
 from incidentlab.flows import report
-from incidentlab.io import union_sources
 
 from .aggregation import incidents
 from .base import POLICY, SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, cases, deaths, fatalities, query
@@ -237,11 +236,10 @@ UNION ALL SELECT 'rollback', n_before, n_after, n_after / n_before - 1 FROM (
 
 
 def _changes(df):
-    reform = periods.pct_change(df, "date", POLICY.reform, POLICY.days["reform"], POLICY.rollback)
-    rollback = periods.pct_change(df, "date", POLICY.rollback, POLICY.days["rollback"])
-    return union_sources([
-        reform.withColumn("boundary", F.lit("reform")), rollback.withColumn("boundary", F.lit("rollback"))
-    ])
+    return periods.pct_changes(df, "date", {
+        "reform": (POLICY.reform, POLICY.days["reform"], POLICY.rollback),
+        "rollback": (POLICY.rollback, POLICY.days["rollback"], None),
+    })
 
 
 @query("WITH src AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders)" + CHANGE_SQL)
@@ -260,7 +258,8 @@ def prepost_sensitivity(t):
     doubtful = base.where((F.col("age") == 1) & (F.col("order_status") == "F")).select(
         "case_id", F.lit("vpursuit").alias("column_name"), F.lit("Attempted stop").alias("new_value")
     )
-    recoded = apply_fixes(base.select("case_id", "date", "vpursuit"), doubtful, "case_id")
+    recoded = apply_fixes(
+        base.select("case_id", "date", "vpursuit"), doubtful, "case_id", ["vpursuit"])
     return _changes(recoded.where(F.col("vpursuit").rlike("Active|Terminated")))
 
 

@@ -49,6 +49,7 @@ def case_date(month: str, day: str) -> Column:
 
 def role() -> Column:
     """Person role; NULL for people in crashes without any pursuit flag."""
+    # The tests below and their order decide the result.
     driver, crash = F.col("pursuit_driver") == 1, F.col("pursuit_crash") == 1
     return first_match([
         (F.col("PER_TYP") == 99, "Unknown"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import names
 from ..clean import any_match, apply_fixes, exclude, fill_zero, recode_values
 from ..geo import project_points
+from ..io import stage
 from ..rollup import firsts, person_ids, propagate
 from ..rsem import first_match, matches
 
@@ -26,6 +27,7 @@ MIN_COLUMNS = [
 
 def injury_label(text: str) -> Column:
     """Order matters: "Non-incapacitating" must be seen before "No"."""
+    # The tests below and their order decide the result.
     return first_match([
         (matches(text, "Dead|Died"), "fatal"),
         (matches(text, "Serious"), "serious injury"),
@@ -35,10 +37,12 @@ def injury_label(text: str) -> Column:
 
 
 def sex_label(text: str) -> Column:
+    # The tests below and their order decide the result.
     return first_match([(F.col(text) == "Male", "M"), (F.col(text) == "Female", "F")], "O/U")
 
 
 def person_category() -> Column:
+    # The tests below and their order decide the result.
     return first_match([
         (F.col("officer") == "Yes", "Officer"),
         (F.col("parked_empty_car") == 1, "Parked empty car"),
@@ -48,6 +52,7 @@ def person_category() -> Column:
 
 
 def pursuit_role() -> Column:
+    # The tests below and their order decide the result.
     return first_match([
         (F.col("pursuit_tag") == 0, "Not tagged pursuit"),
         (F.col("officer") == "Yes", "Officer"),
@@ -71,6 +76,7 @@ def build(
         "pursuit_driver": any_match(ACTIONS, "pursuit"),
         "parked_empty_car": matches("Vehicle Action 1", "Unoccupied").cast("int"),
     })
+    df = stage(df)  # numbering and every branch of propagate read it
     order = ["Involved Person Type", *tie]
     df = propagate(
         person_ids(df, ID, UNIT, order), ID, F.col("pursuit_driver") == 1, UNIT, source=df,

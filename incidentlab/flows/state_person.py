@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import names
 from ..clean import any_code, apply_fixes, fill_zero, recode_values
-from ..io import union_sources
+from ..io import stage, union_sources
 from ..rollup import propagate
 from ..rsem import first_match, if_else_na
 
@@ -40,6 +40,7 @@ def record_id() -> Column:
 
 
 def injury_label(code: str) -> Column:
+    # The tests below and their order decide the result.
     c = F.col(code)
     return first_match([
         (c == 4, "fatal"), (c == 3, "serious injury"), (c.isin(1, 2, 5), "minor injury"),
@@ -48,6 +49,7 @@ def injury_label(code: str) -> Column:
 
 
 def sex_label(code: str) -> Column:
+    # The tests below and their order decide the result.
     return first_match([(F.col(code) == 1, "M"), (F.col(code) == 2, "F")], "O/U")
 
 
@@ -56,6 +58,7 @@ def _police() -> Column:
 
 
 def person_category() -> Column:
+    # The tests below and their order decide the result.
     ptype = F.col("ptype")
     return first_match([
         (_police(), "Officer"),
@@ -68,6 +71,7 @@ def person_category() -> Column:
 
 
 def pursuit_role() -> Column:
+    # The tests below and their order decide the result.
     ptype = F.col("ptype")
     return first_match([
         (F.col("pursuit_tag") == 0, "Not tagged pursuit"),
@@ -118,7 +122,7 @@ def build(
     if fixes is not None:
         df = apply_fixes(df, fixes, "record_id")
     # Rows without a person type are leftovers unless they are a parked empty car.
-    df = df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1))
+    df = stage(df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1)))
 
     df = propagate(
         df, "par", F.col("pursuit_driver") == 1, "vnumber", aggs={"records": F.count(F.lit(1))}

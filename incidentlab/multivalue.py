@@ -50,6 +50,7 @@ def narrow_members(df: DataFrame, ids: Sequence[str], cols: Sequence[str], out:
 
 def member_type(name: ColumnLike = "agency") -> Column:
     """Agency type read off a single agency's name; the order of the tests matters."""
+    # The tests below and their order decide the result.
     return first_match(
         [
             (matches(name, "Police"), "Local PD"),

@@ -83,6 +83,7 @@ def nth_by(
 
 def incident_type() -> Column:
     """Incident type from the pursuit coding (``vpursuit``) and the suicide flag."""
+    # The tests below and their order decide the result.
     return first_match(
         [
             (matches("vpursuit", "Active|Terminated"), "Pursuit vehicular fatality"),

@@ -81,10 +81,10 @@ DEPENDS["pa"] = ["lines"]
 A_OUT = [c for c in state_person.MIN_COLUMNS if c not in ("race", "hispanic")]
 
 
-def state_persons(t):
+def state_persons(t, rows=None):
     c = F.col
     empty = F.lit(None).cast("int")
-    rows = lines(t)
+    rows = lines(t) if rows is None else rows
     base = rows.select(
         c("case_id").cast("string").alias("par"), "year", c("date").alias("crash_dt"),
         F.month("date").alias("accmon"), F.dayofmonth("date").alias("accday"),
@@ -157,9 +157,9 @@ LEFT JOIN (SELECT DISTINCT c_mktsegment AS seg, length(c_mktsegment) AS city_cod
 DEPENDS["pb"] = ["lines"]
 
 
-def state_crashes(t):
+def state_crashes(t, rows=None):
     c = F.col
-    rows = lines(t)
+    rows = lines(t) if rows is None else rows
     raw = rows.select(
         c("case_id").cast("string").alias("Collision Report Number"), c("unit").alias("Unit Number"),
         first_match([(c("q") % 3 == 0, "MV Driver"), (c("q") % 3 == 1, "MV Passenger")], "Pedestrian").alias("Involved Person Type"),
@@ -234,8 +234,10 @@ W_OUT = ["incident", "record_id_a", "record_id_b", "status_a", "status_b", "coun
 
 
 def agency_links(t):
+    rows = lines(t)
     return agency_linkage.build(
-        stage(state_person.minimal(state_persons(t))), stage(state_crash.minimal(state_crashes(t)))
+        stage(state_person.minimal(state_persons(t, rows))),
+        stage(state_crash.minimal(state_crashes(t, rows))),
     )
 
 

@@ -9,11 +9,7 @@ from incidentlab.geo import project_points
 from incidentlab.rollup import attach_group
 from suite import catalog
 
-# Queries that build their plan without writing an intermediate table first.
-PLANNED = sorted(
-    n for n in catalog.queries()
-    if not n.startswith(("flow_", "link_", "scan_csv", "sink_")) and n not in ("survivorship", "global_sequence")
-)
+PLANNED = sorted(catalog.queries())
 
 
 def plan(df):

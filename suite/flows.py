@@ -16,7 +16,7 @@ from incidentlab.rsem import first_match
 
 from .aggregation import SQL_ROLLUP, incidents
 from .base import (
-    DEPENDS, POLICY, SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, SQL_VIEWS, cases, deaths, fatalities, query,
+    DEPENDS, POLICY, SQL_AFTER, SQL_PURSUIT, SQL_VEHICULAR, SQL_VIEWS, cases, deaths, fatalities, persons, query,
     source_a, source_b, source_c,
 )
 from .reporting import COUNT, LONG_SQL, _cells
@@ -328,26 +328,67 @@ def flow_crowd_linkage(t):
     )
 
 
-@query("""
+SQL_VIEWS["crowd_members"] = """
 WITH found AS (SELECT id, min_by(inclusion, c_id) AS inclusion, min(c_id) AS c_id FROM crowd_linked WHERE inclusion LIKE 'FE+untagged%' GROUP BY id),
 ma AS (SELECT rec_id, case_id AS id, person_age AS age, victim, {nth} FROM persons WHERE cod <> 'Vehicle' AND case_id IN (SELECT id FROM found)),
 mb AS (SELECT rec_id, case_id AS id, person_age AS age, victim, {nth} FROM persons WHERE cod <> 'Vehicle' AND unit <= 4 AND case_id IN (SELECT id FROM found)),
 x AS (SELECT coalesce(ma.id, mb.id) AS id, ma.rec_id AS rec_a, mb.rec_id AS rec_b FROM ma FULL JOIN mb ON ma.id = mb.id AND ma.age IS NOT DISTINCT FROM mb.age
   AND ma.victim IS NOT DISTINCT FROM mb.victim AND ma.nth = mb.nth)
 SELECT x.id AS incident, rec_a, rec_b, inclusion, c_id FROM x JOIN found USING (id)
-""".replace("{nth}", "row_number() OVER (PARTITION BY case_id, person_age, victim ORDER BY rec_id) AS nth"), "persons crowd_linked")
-def flow_crowd_members(t):
-    from .base import persons
+""".replace("{nth}", "row_number() OVER (PARTITION BY case_id, person_age, victim ORDER BY rec_id) AS nth")
+DEPENDS["crowd_members"] = ["persons", "crowd_linked"]
+
 
+def crowd_members(t, linked):
     people = persons(t).select(
         "rec_id", F.col("case_id").alias("incident"), F.col("person_age").alias("age"), "victim", "unit",
         F.when(F.col("cod") == "Vehicle", "fatal").when(F.col("cod").isNotNull(), "no injury").alias("injury"),
     ).withColumnRenamed("rec_id", "record_id")
-    out = crowd_linkage.nonfatal_members(
-        stage(crowd_links(t)), people.drop("unit"), people.where(F.col("unit") <= 4).drop("unit"), ["age", "victim"]
+    return crowd_linkage.nonfatal_members(
+        linked, people.drop("unit"), people.where(F.col("unit") <= 4).drop("unit"), ["age", "victim"]
+    )
+
+
+@query("SELECT * FROM crowd_members", "crowd_members")
+def flow_crowd_members(t):
+    return crowd_members(t, stage(crowd_links(t))).select(
+        "incident", F.col("record_id_a").alias("rec_a"), F.col("record_id_b").alias("rec_b"),
+        "inclusion", F.col("fe_id").alias("c_id"))
+
+
+@query("""
+SELECT inclusion, status_w2, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT inclusion, status_w AS status_w2 FROM crowd_linked UNION ALL SELECT inclusion, 1 FROM crowd_members) GROUP BY ALL
+""", "crowd_linked crowd_members")
+def flow_crowd_all_records(t):
+    """Deaths and surviving members together, by how they were found."""
+    fatal = stage(crowd_links(t))
+    both = crowd_linkage.all_records(fatal, crowd_members(t, fatal))
+    return both.groupBy("inclusion", "status_w2").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH d AS (SELECT case_id AS fe_id, custkey AS incident_fe, date, county_code, age, CASE age % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'O/U' END AS sex,
+    CASE WHEN city <> 'FURNITURE' THEN length(city) END AS city_code_fe, vpursuit AS vpursuit_fe, priority AS pcat_p_fe,
+    row_number() OVER (PARTITION BY custkey ORDER BY case_id) AS i FROM cases WHERE vpursuit <> 'Reviewed not related'),
+g AS (SELECT incident_fe, CAST(count(*) AS BIGINT) AS persons_fe, max(CASE WHEN i = 1 THEN pcat_p_fe END) AS pcat_p1_fe,
+  max(CASE WHEN i = 2 THEN pcat_p_fe END) AS pcat_p2_fe FROM d GROUP BY 1)
+SELECT d.* EXCLUDE (i), persons_fe, pcat_p1_fe, pcat_p2_fe FROM d JOIN g USING (incident_fe)
+""", "cases")
+def flow_crowd_prepare(t):
+    c = F.col
+    deaths_ = cases(t).select(
+        c("case_id").alias("fe_id"), c("custkey").alias("incident_num"), "date", "age", "city", "county", "vpursuit",
+        c("vpursuit").alias("pursuit_type"), c("priority").alias("victim"), F.lit("x").alias("cod"), F.lit("y").alias("injury"),
+        first_match([(c("age") % 3 == 0, "Male"), (c("age") % 3 == 1, "Female")]).alias("gender"),
     )
-    return out.select("incident", F.col("record_id_a").alias("rec_a"), F.col("record_id_b").alias("rec_b"),
-                      "inclusion", F.col("fe_id").alias("c_id"))
+    cities = t.customer.where(c("c_mktsegment") != "FURNITURE").select(
+        c("c_mktsegment").alias("city_name"), F.length("c_mktsegment").alias("city_code")).distinct()
+    counties = t.nation.select(c("n_name").alias("county_name"), c("n_nationkey").alias("county_code"))
+    crowd = stage(crowd_linkage.prepare(deaths_, cities, counties))
+    return crowd_linkage.with_incident_summary(crowd).select(
+        "fe_id", "incident_fe", "date", "county_code", "age", "sex", "city_code_fe", "vpursuit_fe", "pcat_p_fe",
+        "persons_fe", "pcat_p1_fe", "pcat_p2_fe")
 
 
 # --- national files ------------------------------------------------------------------------
@@ -602,6 +643,18 @@ def report_exclusions(t):
     return report.exclusion_summary(deaths(t), incidents(t))
 
 
+_CODINGS = ", ".join(f"'{v}'" for v in names.CODING_LEVELS)
+
+
+@query(f"""
+SELECT CASE WHEN vpursuit IN ({_CODINGS}) THEN vpursuit END AS vpursuit,
+  {", ".join(f"CAST(count(*) FILTER (incident_type = '{v}') AS BIGINT) AS {chr(34)}{v}{chr(34)}" for v in names.INCIDENT_TYPE_LEVELS)}
+FROM fatalities GROUP BY 1
+""", "fatalities")
+def report_coding_crosstab(t):
+    return report.coding_crosstab(fatalities(t))
+
+
 @query(f"""
 SELECT policy_period, "Number", "Number" / sum("Number") FILTER (policy_period <> 'Total') OVER () AS "Percent" FROM (
   SELECT policy_period, {COUNT} AS "Number" FROM fatalities GROUP BY 1 UNION ALL SELECT 'Total', {COUNT} FROM fatalities)

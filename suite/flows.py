@@ -7,11 +7,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from incidentlab import names
+from incidentlab import names, schemas
 from incidentlab.flows import (
     agency_linkage, crowd_linkage, national, newspaper, report, state_crash, state_person,
 )
-from incidentlab.io import stage
+from incidentlab.io import read_table, shared_folder, stage
 from incidentlab.rsem import first_match
 
 from .aggregation import SQL_ROLLUP, incidents
@@ -496,6 +496,32 @@ def news_cases(t):
     return newspaper.prepare(raw, "XX").withColumnRenamed("case_id", "news_id")
 
 
+@query("""
+SELECT case_id, county AS county_name, CASE city WHEN 'BUILDING' THEN 'Lynnwood' ELSE city END AS city_name, date, n_nationkey AS county_code,
+  CAST(length(city) AS INT) AS city_code
+FROM cases JOIN nation ON n_name = county WHERE district = 'ASIA'
+""", "cases")
+def scan_declared_schemas(t):
+    """Agency files written as CSV and read with their declared schemas."""
+    c = F.col
+    raw = cases(t).select(
+        c("case_id").alias("Seq"), F.when(c("district") == "ASIA", "XX").otherwise("YY").alias("ST"), c("county").alias("County"),
+        F.when(c("city") == "BUILDING", "Lynwood").otherwise(c("city")).alias("City"), F.year("date").alias("Year"),
+        F.month("date").alias("Mo"), F.dayofmonth("date").alias("Date"), F.lit(1).alias("Deaths"), F.lit(2).alias("People"),
+        F.lit(1).alias("Vehs"), F.lit("x").alias("Fleeing driver"), F.lit("y").alias("Pursuing agency"),
+    )
+    counties = t.nation.select(c("n_name").alias("county_name"), c("n_nationkey").alias("county_code"))
+    cities = t.customer.select(c("c_mktsegment").alias("city_name"), F.length("c_mktsegment").alias("city_code")).distinct()
+    cities = cities.withColumn("city_name", F.when(c("city_name") == "BUILDING", "Lynnwood").otherwise(c("city_name")))
+    folder, read = shared_folder(t.spark), {}
+    for name, df, schema in (("news", raw, schemas.NEWSPAPER), ("counties", counties, schemas.COUNTY_CODES),
+                             ("cities", cities, schemas.CITY_CODES)):
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+        read[name] = read_table(t.spark, f"{folder}/{name}.csv", schema)
+    return newspaper.prepare(read["news"], "XX", read["counties"], read["cities"]).select(
+        c("case_id").cast("long").alias("case_id"), "county_name", "city_name", "date", "county_code", "city_code")
+
+
 @query("""
 WITH k AS (SELECT *, CASE WHEN vpursuit_draft IS NOT NULL THEN 1 WHEN regexp_matches(description, 'vehicle|car|crash|speed|chase|pursuit|flee|fled') THEN 2
     WHEN cod = 'Vehicle' THEN 3 END AS pursuit_tag FROM coded),

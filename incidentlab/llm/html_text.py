@@ -41,6 +41,10 @@ BOILERPLATE = frozenset((
     "topbar comment comments disqus discussion reply replies respond share sharing social related "
     "recommended newsletter subscribe subscription signup login search searchbox form pagination "
     "pager widget copyright complementary contentinfo paywall").split())
+#: Words that on an article element itself tell of the page's layout, not of what it holds.
+LAYOUT = frozenset("header footer sidebar nav navbar navigation menu toolbar topbar search".split())
+#: Words that inside an article mark its own heading.
+HEADING = frozenset("header masthead".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = ("class", "id", "role")
 
@@ -101,7 +105,8 @@ class _Lines(HTMLParser):
         if not dropped:
             dropped = tag in DROPPED or (tag == "header" and not region)
             if not dropped and attrs:
-                dropped = self.marked(tag, attrs)
+                allowed = LAYOUT if tag in REGIONS else HEADING if region else frozenset()
+                dropped = self.marked(tag, attrs, allowed)
             if not region and (tag in REGIONS or ("role", "main") in attrs):
                 self.serial += 1
                 region = self.serial
@@ -112,7 +117,7 @@ class _Lines(HTMLParser):
             self.in_link += 1
         stack.append((tag, dropped, region, path))
 
-    def marked(self, tag: str, attrs: list) -> bool:
+    def marked(self, tag: str, attrs: list, allowed: frozenset) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
@@ -120,9 +125,10 @@ class _Lines(HTMLParser):
                 continue
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in _MARKS and not BOILERPLATE.isdisjoint(
-                    w.lower() for w in _WORD.findall(value)):
-                return True
+            if name in _MARKS:
+                words = BOILERPLATE.intersection(w.lower() for w in _WORD.findall(value))
+                if not words <= allowed:
+                    return True
         return False
 
     def handle_endtag(self, tag: str) -> None:

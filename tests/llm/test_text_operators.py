@@ -226,6 +226,12 @@ def test_article_and_plain_layouts():
         assert html_text.main_text(PAGE.format(body=body)) == want
 
 
+def test_layout_words_on_the_article():
+    body = (f"<main class='with-sidebar'><div class='article-header'><h1>Title</h1></div><p>{LONG}</p>"
+            f"<article class='comment'><p>{LONG}</p></article><div class='share-bar'>Share</div></main>")
+    assert html_text.main_text(PAGE.format(body=body)) == "Title " + LONG.strip()
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
 

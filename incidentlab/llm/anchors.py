@@ -288,7 +288,9 @@ def find(docs: DataFrame, spec: Windows, compare: Compare, group_rows: int = 100
     masks = stage(_flags(contexts, spec, compare, groups))
     judged = firsts.join(masks.groupBy("whole").agg(F.bit_or("mask").alias("mask")), "whole",
                          "left").where("n > 1 OR mask IS NOT NULL")
-    judged = judged.select("whole", "first", "mask")
+    # written, so that both sides of the next join are plain shuffles, which can be split where
+    # a third of all runs are equal
+    judged = stage(judged.select("whole", "first", "mask"))
     own = F.struct("id", "start") if spec.within else F.struct("id")
     head = F.struct("first.id", "first.start") if spec.within else F.struct("first.id")
     mask = F.when(own > head, F.lit(-1).cast("long")).otherwise(F.coalesce("mask", F.lit(0)))

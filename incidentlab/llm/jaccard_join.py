@@ -251,11 +251,11 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
 
     checked = labels = None
     for number in range(how.leaders):
-        open_ = _open(lists, labels)
+        open_ = stage(_open(lists, labels))
         order = F.struct("pos", F.xxhash64("id", F.lit(number)), "id", "n", "label")
-        leaders = open_.groupBy("shingle").agg(F.min(order).alias("first")).select(
+        leaders = stage(open_.groupBy("shingle").agg(F.min(order).alias("first")).select(
             "shingle", F.col("first.id").alias("a"), F.col("first.n").alias("na"),
-            F.col("first.label").alias("la"), F.col("first.pos").alias("pa"))
+            F.col("first.label").alias("la"), F.col("first.pos").alias("pa")))
         pairs = open_.join(leaders, "shingle").where(
             (F.col("label") != F.col("la"))
             & (100 * F.least("n", "na") >= how.percent * F.greatest("n", "na"))
@@ -295,12 +295,13 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Index entries of the lists whose sets are not all connected yet."""
+    """Index entries of the lists whose sets are not all connected yet. Aggregates are written
+    before they are joined back: plain shuffles on both sides can be split at a hot shingle."""
     if labels is None:
         return lists.withColumn("label", F.col("id"))
-    named = lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("shingle").agg(
-        F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    named = stage(lists.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    mixed = stage(named.groupBy("shingle").agg(
+        F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most"))
     return named.join(mixed.select("shingle"), "shingle", "left_semi")
 
 

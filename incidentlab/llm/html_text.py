@@ -2,7 +2,8 @@
 
 The standard library's parser streams its events once over a page. They make lines (blocks), each
 with its text, the tags and link characters in it, the containers around it and whether one of them
-is boilerplate by its element, role or class. Ratios of text to tags are smoothed along the page by
+is boilerplate by its element, role or class. What a word marks is settled at the end of the page: a
+wrapper around the article or around most of the page's text is no boilerplate. Ratios of text to tags are smoothed along the page by
 a Gaussian and split into two clusters; regions (containers) that reach the upper cluster are the
 content, and a region is taken whole, short lines included.
 """
@@ -10,6 +11,7 @@ content, and a region is taken whole, short lines included.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -45,6 +47,13 @@ BOILERPLATE = frozenset((
 LAYOUT = frozenset("header footer sidebar nav navbar navigation menu toolbar topbar search".split())
 #: Words that inside an article mark its own heading.
 HEADING = frozenset("header masthead".split())
+#: Words before and after others of one class or id that make them tell of layout: has-sidebar,
+#: comments-open.
+BEFORE = frozenset("has no with without".split())
+AFTER = frozenset("open opened closed".split())
+#: Readers' words stay boilerplate under a heading of that name.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = ("class", "id", "role")
 
@@ -56,15 +65,19 @@ class Extraction:
     sigma: float = 1.0
     radius: int = 2
     apart: float = 2.0  # the clusters' centres differ at least by this factor, else all is one
+    least: int = 200  # unlinked characters of a marked wrapper without article that is main text
+    times: int = 4  # how much more text it holds than the page shows, beyond layout words
 
 
 class _Lines(HTMLParser):
-    """Lines of a page in order: [text, tags, link characters, region, path of containers]."""
+    """Lines of a page in order: [text, tags, link characters, region, path of containers, marks]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, dropped, region, path of containers
-        self.stack: list[tuple] = [("", False, 0, (0,))]
+        # tag, dropped, region, path of containers, marks above
+        self.stack: list[tuple] = [("", False, 0, (0,), ())]
+        self.marks: list[tuple] = []  # words and, inside an article, the id that bears them alone
+        self.regions: dict[int, tuple] = {}  # marks around it, and whether it is the main one
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = self.serial = 0
@@ -73,8 +86,8 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, path = self.stack[-1]
-                self.lines.append([text, self.tags, self.linked, region, path])
+                _, _, region, path, marks = self.stack[-1]
+                self.lines.append([text, self.tags, self.linked, region, path, marks])
             self.parts = []
             self.tags = self.linked = 0
 
@@ -101,35 +114,89 @@ class _Lines(HTMLParser):
                         break
         if tag in VOID:
             return
-        _, dropped, region, path = stack[-1]
+        _, dropped, region, path, marks = stack[-1]
         if not dropped:
+            around = marks
             dropped = tag in DROPPED or (tag == "header" and not region)
             if not dropped and attrs:
                 allowed = LAYOUT if tag in REGIONS else HEADING if region else frozenset()
-                dropped = self.marked(tag, attrs, allowed)
+                dropped, words, named = self.marked(tag, attrs, allowed)
+                if words and tag in INLINE:
+                    dropped = True
+                elif words:
+                    self.marks.append((words, named if region else ""))
+                    marks = (*marks, len(self.marks) - 1)
             if not region and (tag in REGIONS or ("role", "main") in attrs):
                 self.serial += 1
                 region = self.serial
+                self.regions[region] = (around, tag != "article")
             if tag in CONTAINERS or tag in REGIONS:
                 self.serial += 1
                 path = (*path, self.serial)
         if tag == "a":
             self.in_link += 1
-        stack.append((tag, dropped, region, path))
+        stack.append((tag, dropped, region, path, marks))
 
-    def marked(self, tag: str, attrs: list, allowed: frozenset) -> bool:
+    def marked(self, tag: str, attrs: list, allowed: frozenset) -> tuple[bool, frozenset, str]:
+        """Whether the element is hidden, its boilerplate words, and its id if only that has any."""
+        found, named = frozenset(), ""
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return True, found, ""
             if value is None or tag in ("html", "body"):
                 continue
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return True, found, ""
             if name in _MARKS:
-                words = BOILERPLATE.intersection(w.lower() for w in _WORD.findall(value))
-                if not words <= allowed:
-                    return True
-        return False
+                words = _read(value)
+                if not words or words <= allowed:
+                    continue
+                if name == "id" and (tag in HEADINGS or any(
+                        x[0] in HEADINGS for x in self.stack[-4:])):
+                    continue  # made from the heading's text
+                named = value if name == "id" and not found else ""
+                found |= words
+        return False, found, named
+
+    def settled(self, how: Extraction) -> list[list]:
+        """The lines that no mark drops. A mark is lifted from what holds the article or most of the
+        page's text, and from an article's section whose id is its heading."""
+        size: Counter = Counter()
+        holds: dict[tuple, int] = {}
+        starts: dict[int, list] = {}
+        for x in self.lines:
+            marks, region = x[5], x[3]
+            size[marks] += max(0, len(x[0]) - x[2])
+            if marks:
+                around, main = self.regions.get(region, (None, False))
+                if around == marks:
+                    holds[marks] = max(holds.get(marks, 0), 1 + main)
+                first = starts.setdefault(marks[-1], [x[0], 0, 0])
+                first[1] += len(x[0])
+                first[2] += x[2]
+        if not starts:
+            return self.lines
+        lifted = {m for m, (head, n, linked) in starts.items()
+                  if self.marks[m][1] and not self.marks[m][0] & READERS
+                  and _slug(head) == _slug(self.marks[m][1]) and 2 * linked <= n}
+        layout = {p: all(self.marks[m][0] <= LAYOUT for m in p) for p in size}
+        shown = sum(n for p, n in size.items() if lifted.issuperset(p))
+        for p in sorted(size, key=lambda p: (-holds.get(p, 0), not layout[p], -size[p], p)):
+            if lifted.issuperset(p):
+                continue
+            enough = max(0 if p in holds else how.least, (1 if layout[p] else how.times) * shown)
+            if size[p] and (holds.get(p) == 2 or size[p] >= enough):
+                lifted.update(p)
+                shown = sum(n for q, n in size.items() if lifted.issuperset(q))
+        out, tags = [], 0
+        for x in self.lines:
+            if lifted.issuperset(x[5]):
+                x[1] += tags
+                out.append(x)
+                tags = 0
+            else:
+                tags += x[1]
+        return out
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -151,6 +218,23 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
+def _read(value: str) -> frozenset:
+    """Boilerplate words of a class, id or role, without those that tell of layout only."""
+    found = set()
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        for i, w in enumerate(words):
+            if w in BEFORE and i + 1 < len(words):
+                break
+            if w in BOILERPLATE and AFTER.isdisjoint(words[i + 1:i + 2]):
+                found.add(w)
+    return frozenset(found)
+
+
+def _slug(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def _upper_cluster(values: np.ndarray, apart: float) -> np.ndarray:
     """Which values lie above the threshold between two clusters; all, if they are one."""
     low, high = values.min(), values.max()
@@ -173,7 +257,7 @@ def main_text(html: str, how: Extraction = Extraction()) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.settled(how)
     if any(line[3] for line in lines):
         lines = [line for line in lines if line[3]]
     if not lines:

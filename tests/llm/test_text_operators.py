@@ -232,6 +232,39 @@ def test_layout_words_on_the_article():
     assert html_text.main_text(PAGE.format(body=body)) == "Title " + LONG.strip()
 
 
+@pytest.mark.parametrize("name", [
+    "content has-sidebar", "no-sidebar", "site-with-header", "comments-open", "content sidebar-left",
+    "share-enabled"])
+def test_articles_in_marked_wrappers(name):
+    want = "Title " + LONG.strip()
+    inner = f"<h1>Title</h1><p>{LONG}</p>"
+    for body in (f"<article>{inner}</article>", f"<main>{inner}</main>"):
+        page = f"<div class='{name}'>{body}<div class='sidebar'><p>{LONG}</p></div></div>"
+        assert html_text.main_text(PAGE.format(body=page)) == want
+    page = f"<div class='{name}'>{inner}<p>{LONG * 5}</p></div>"
+    assert html_text.main_text(PAGE.format(body=page)) == want + " " + (LONG * 5).strip()
+
+
+def test_boilerplate_wrappers_with_articles_stay_out():
+    body = (f"<div id='comments'><article><p>{LONG * 3}</p></article></div>"
+            f"<div class='related'><article>{LONG * 3}</article></div>")
+    for own in (f"<article><p>{LONG}</p></article>", f"<div class='content'><p>{LONG}</p></div>"):
+        assert html_text.main_text(PAGE.format(body=own + body)) == LONG.strip()
+    assert html_text.main_text("<div class='cookie-notice'>We use cookies</div>") == ""
+
+
+@pytest.mark.parametrize("title", ["Search", "Social media", "Related work", "Notice", "Menu", "Form"])
+def test_ids_made_from_headings(title):
+    name = title.lower().replace(" ", "-")
+    want = f"Top {LONG.strip()} {title} {LONG.strip()}"
+    for part in (f"<h2 id='{name}'>{title}</h2><p>{LONG}</p>",
+                 f"<h2><span id='{name}'>{title}</span></h2><p>{LONG}</p>",
+                 f"<section id='{name}'><h2>{title}</h2><p>{LONG}</p></section>"):
+        body = (f"<article><h1>Top</h1><p>{LONG}</p>{part}"
+                f"<section id='comments'><h2>Comments</h2><p>{LONG}</p></section></article>")
+        assert html_text.main_text(PAGE.format(body=body)) == want
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
 

@@ -142,10 +142,13 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 CONTEXT = 2
 #: Words of one segment; a longer run of numbers goes on in the next one.
 SEGMENT = 64
+#: Words that two segments of one run share. Labels are taken over where both agree, near the middle.
+OVERLAP = 32
 
 
-def segments(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Places of words around digits and @ signs. Words elsewhere carry no label but O."""
+def segments(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
+    """Places of words around digits and @ signs, and whether the run goes on in the next segment.
+    Words elsewhere carry no label but O."""
     words: list[tuple[int, int]] = []
     wanted = -1
     for m in _WORD.finditer(text):
@@ -154,11 +157,26 @@ def segments(text: str) -> Iterator[list[tuple[int, int]]]:
             wanted = len(words) + CONTEXT
         elif wanted < 0:
             del words[:-CONTEXT]
-        if len(words) == wanted or (wanted > 0 and len(words) >= SEGMENT):
-            yield words
-            words, wanted = (words[-CONTEXT:] if len(words) == wanted else []), -1
+        if len(words) == wanted:
+            yield words, False
+            words, wanted = words[-CONTEXT:], -1
+        elif wanted > 0 and len(words) >= SEGMENT:
+            yield words, True
+            wanted -= len(words) - OVERLAP
+            words = words[-OVERLAP:]
     if wanted > 0:
-        yield words
+        yield words, False
+
+
+def _take_over(old: list[int], new: list[int]) -> int:
+    """From which of the shared words on the later segment's labels count: the one nearest to the
+    middle where no span goes on, in both if possible with one label."""
+
+    def rank(k: int) -> tuple:
+        a, b = LABELS[old[k]], LABELS[new[k]]
+        return a[0] == "I" or b[0] == "I", a != b, abs(k - len(old) // 2)
+
+    return min(range(len(old)), key=rank)
 
 
 def _shape(word: str) -> str:
@@ -225,7 +243,7 @@ def train(rows: list[tuple[str, list[Span]]], epochs: int = 15, rate: float = 0.
     index: dict[str, int] = {}
     data = []
     for text, spans in rows:
-        for words in segments(text):
+        for words, _ in segments(text):
             names = features([text[a:b] for a, b in words])
             data.append(([[index.setdefault(f, len(index)) for f in fs] for fs in names],
                          _codes(text, spans, words)))
@@ -307,13 +325,22 @@ def _valid(kind: str, value: str) -> bool:
 def field_spans(field: Field, texts: list[str], batch: int = 512) -> list[list[Span]]:
     """Valid spans that the random field finds in each text."""
     out: list[list[Span]] = [[] for _ in texts]
-    waiting: list[tuple[int, list[tuple[int, int]]]] = []
+    waiting: list[tuple[int, list[tuple[int, int]], bool]] = []
+    run: tuple[list, list] | None = None  # words and labels of a run that goes on
 
     def flush() -> None:
+        nonlocal run
         if not waiting:
             return
-        named = [features([texts[i][a:b] for a, b in words]) for i, words in waiting]
-        for (i, words), labels in zip(waiting, viterbi(field, named)):
+        named = [features([texts[i][a:b] for a, b in words]) for i, words, _ in waiting]
+        for (i, words, more), labels in zip(waiting, viterbi(field, named)):
+            if run is not None:
+                k = _take_over(run[1][-OVERLAP:], labels[:OVERLAP])
+                run[0][k - OVERLAP:], run[1][k - OVERLAP:] = words[k:], labels[k:]
+                words, labels = run
+            run = (words, labels) if more else None
+            if more:
+                continue
             text, t = texts[i], 0
             while t < len(labels):
                 kind, end = LABELS[labels[t]][2:], t + 1
@@ -332,8 +359,8 @@ def field_spans(field: Field, texts: list[str], batch: int = 512) -> list[list[S
 
     for i, text in enumerate(texts):
         if _TRIGGER.search(text):
-            for words in segments(text):
-                waiting.append((i, words))
+            for words, more in segments(text):
+                waiting.append((i, words, more))
                 if len(waiting) >= batch:
                     flush()
     flush()

@@ -78,6 +78,32 @@ def test_field_on_held_out_rows():
     assert np.mean([a == b for a, b in zip(found, want)]) >= 0.95
 
 
+def test_values_at_any_place_of_a_run_of_numbers():
+    field = pii.train(pii.labelled_table())
+    for value in ("tel. (555) 123-4567 today", "le 01 23 45 67 89 avant",
+                  "amex 37## ###### ##### paid"):
+        if "#" in value:
+            value = next(v for v in (value.replace("37##", "3782").replace("######", "822463", 1)
+                                     .replace("#####", f"1{n:04d}") for n in range(10000))
+                         if pii.luhn(pii._digits(v)))
+        for before in range(66):
+            text = "row 12 " * (before // 2) + "12 " * (before % 2) + value + " row 12" * 40
+            spans = {text[a:b] for _, a, b in pii.field_spans(field, [text])[0]}
+            assert any(s in value and sum(c.isdigit() for c in s) == sum(c.isdigit() for c in value)
+                       for s in spans), (before, value, spans)
+
+
+def test_segments_of_one_run_give_the_labels_of_the_whole(monkeypatch):
+    field, rng, rows = pii.train(pii.labelled_table()), random.Random(9), pii.labelled_table(1)
+    values = [text[a:b] for text, spans in rows for _, a, b in spans]
+    texts = [" ".join(f"{rng.choice(('tel.', 'row', 'fax'))} {rng.choice(values)}" for _ in range(90))
+             for _ in range(10)]
+    assert any(more for _, more in pii.segments(texts[0]))
+    cut = pii.field_spans(field, texts, batch=3)
+    monkeypatch.setattr(pii, "SEGMENT", 10**6)
+    assert cut == pii.field_spans(field, texts)
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(4)
     n = len(pii.LABELS)

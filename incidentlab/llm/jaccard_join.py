@@ -235,18 +235,20 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     rows = rows.withColumn("row", text_key()).select("id", "row", "text")
     sets = stage(_sets(rows, how))
     known = sets.where("id IS NOT NULL AND n > 0")
-    # one node for equal sets: the least id, and a row of it to take the text from
-    nodes = stage(known.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "row")).alias("node")))
-    firsts = nodes.select(F.col("node.id").alias("id"), F.col("node.row").alias("row"))
-    heads = known.dropDuplicates(["id", "row"]).join(firsts, ["id", "row"], "left_semi")
-    entries = heads.select("id", "need", F.explode("keys").alias("key"))
+    # one node for equal sets, by a number of its own, as several sets may have one id; up to the
+    # labels, ids are these numbers. A row of the least id gives the text
+    nodes = stage(known.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "row")).alias("first"))
+                  .withColumn("node", F.monotonically_increasing_id()))
+    firsts = nodes.select(F.col("first.id").alias("id"), F.col("first.row").alias("row"), "node")
+    heads = known.dropDuplicates(["id", "row"]).join(firsts, ["id", "row"])
+    entries = heads.select(F.col("node").alias("id"), "need", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     wanted = entries.join(stage(shared.select("key")).hint("shuffle_hash"), "key",
                           "left_semi").groupBy("id").agg(
         F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("id")
-    wanted = stage(firsts.join(wanted, "id", "left_semi"))
-    texts = stage(_packed(rows).join(wanted.hint("shuffle_hash"), ["id", "row"], "left_semi")
-                  .dropDuplicates(["id"]).select("id", "packed"))
+    wanted = stage(firsts.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi"))
+    texts = stage(_packed(rows).join(wanted.hint("shuffle_hash"), ["id", "row"])
+                  .dropDuplicates(["node"]).select(F.col("node").alias("id"), "packed"))
     lists = stage(_lists(texts, how))
 
     checked = labels = None
@@ -275,23 +277,25 @@ def link(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
         labels = components(checked.where("linked").select("a", "b").unionAll(
             links.select("a", "b")))
     if labels is None:
-        labels = firsts.select("id", F.col("id").alias("label")).limit(0)
+        labels = firsts.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
 
     # rows with one id join the components of all their sets
-    named = known.join(nodes, ["n", "h1", "h2"]).select("id", "row", F.col("node.id").alias("node"))
+    named = known.join(nodes, ["n", "h1", "h2"]).select("id", "node")
     named = named.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-        "id", "row", F.coalesce("label", "node").alias("label"))
+        "id", F.coalesce("label", "node").alias("label"))
     several = stage(named.groupBy("id").agg(
         F.min("label").alias("least"), F.max("label").alias("most")))
     if not several.where("least <> most").isEmpty():
         more = named.join(several.where("least <> most"), "id").select(
             F.col("label").alias("a"), F.col("least").alias("b")).where("a <> b")
         roots = components(more).select(F.col("id").alias("label"), F.col("label").alias("root"))
-        several = named.join(roots, "label", "left").groupBy("id").agg(
-            F.min(F.coalesce("root", "label")).alias("least"))
-    return sets.join(several.select("id", "least"), "id", "left").select(
+        several = stage(named.join(roots, "label", "left").groupBy("id").agg(
+            F.min(F.coalesce("root", "label")).alias("least")))
+    least = stage(several.groupBy("least").agg(F.min("id").alias("first")))
+    found = several.join(least, "least").select("id", "first")
+    return sets.join(found, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("least", "id").alias("component_id"))
+        F.coalesce("first", "id").alias("component_id"))
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -48,6 +48,22 @@ def test_jaccard_join(edge_docs, words, percent, first):
         (i, *want[i, t]) for i, t in rows)
 
 
+@pytest.mark.parametrize("first", ["blocks", "prefix"])
+def test_jaccard_texts_under_one_id(spark, first):
+    """Each of the texts under one id links with its own near copies."""
+    def text(k, tail=""):
+        return " ".join(f"t{k}w{j}" for j in range(50)) + tail
+
+    rows = [(1, text(0)), (1, text(1)), (1, text(2)), (1, text(2)), (5, text(0, " x")),
+            (6, text(1, " y")), (7, text(2, " z")), (8, text(3)), (9, text(3)), (9, text(4)),
+            (-3, text(4, " a")), (20, text(5)), (None, text(0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = join_sets(rows, 3, 90)
+    assert {want[i, t][1] for i, t in rows if i in (1, 5, 6, 7)} == {1} and want[8, text(3)][1] == -3
+    result = jaccard_join.link(docs, jaccard_join.Join(filter=first))
+    assert got(result, "n_shingles", "component_id") == Counter((i, *want[i, t]) for i, t in rows)
+
+
 @pytest.mark.parametrize("first", ["blocks", "prefix"])
 @pytest.mark.parametrize("percent", [60, 90])
 def test_jaccard_chains(spark, percent, first):

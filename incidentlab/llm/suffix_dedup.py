@@ -1,9 +1,11 @@
-"""Repeated byte strings by prefix doubling over sampled suffixes.
+"""Repeated byte strings over sampled suffixes, with prefix doubling inside groups.
 
-Suffixes are sampled by ``anchors``: the first round ranks them by their first bytes and drops the
-unique ones, the second ranks whole runs. What is still open is ranked by prefix doubling: positions
-are sorted by pairs of ranks at offsets 8, 16 and so on until a rank is unique or the length is
-reached. Spark deals the positions over groups by their first rank.
+Suffixes are sampled by ``anchors``: windows are represented by a sampled run of bytes inside them, and
+representatives found once drop out; then whole runs are compared by 64-bit hashes. What is still open
+is dealt over groups by the hash of the sampled run, and numpy ranks the positions of a group by prefix
+doubling: they are sorted by pairs of ranks at offsets 8, 16 and so on until a rank is unique or the
+length is reached. Representatives with too many contexts are compared by hashes of whole windows,
+without doubling. There are no rounds of doubling as Spark sorts.
 """
 
 from __future__ import annotations

@@ -1,10 +1,10 @@
-"""Repeated word passages by prefix-partitioned suffix trees.
+"""Repeated word passages by sorted windows in groups around sampled runs of words.
 
-Suffixes are sampled by ``anchors`` and partitioned by a prefix of words that all windows of a group
-share; a prefix that too many suffixes share is lengthened to whole windows. Groups of bounded size
-build their subtree as a sorted suffix list with the longest common prefixes of neighbours: runs of
-neighbours that share at least ``depth`` words are the suffixes below one deep internal node, the
-places of one repeat.
+Windows are sampled by ``anchors`` and grouped by the run of words of fixed length with the smallest hash
+that all windows of a group hold somewhere, which is no prefix. Groups of bounded size sort their
+windows with the longest common prefixes of neighbours: runs of neighbours that share at least ``depth``
+words are what lies below one internal node of that depth, the places of one repeat. Runs that too many
+contexts share are compared by hashes of whole windows. No tree is built, and no maximal repeats.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ from .common import SPACES, let, stage, text_key
 
 SYMBOLS = "#*$%&|<>"
 
-#: Fixed lists: frequent function words, the bins of the word histogram beside "other".
+#: Fixed lists: frequent function words, the bins of the word histogram.
 COMMON_WORDS = {
     "de": "der die das und in zu den von mit auf für ist im nicht ein eine sich dem des als auch",
     "en": "the of and to in that is was for it with as be on by at this are from or an have not",

@@ -98,6 +98,37 @@ def data_offset(file, member: Member) -> int:
     return member.header + 30 + n + x
 
 
+def places(file, size: int) -> list[tuple[int, int]]:
+    """Place and length in the package of every record that its indexes list, in order.
+
+    All members below archive/ and indexes/ count. An index entry is a JSON object at the end of its
+    line; it names its member (``filename``, below archive/) unless there is only one. Entries of
+    members that are not there, and archives without entries, are errors.
+    """
+    found = [m for m in members(file, size) if not m.name.endswith("/")]
+    archives = {m.name[len("archive/"):]: m for m in found if m.name.startswith("archive/")}
+    bases = {name: data_offset(file, m) for name, m in archives.items()}
+    listed: dict[str, set] = {name: set() for name in archives}
+    for index in (m for m in found if m.name.startswith("indexes/")):
+        file.seek(data_offset(file, index))
+        for line in file.read(index.size).splitlines():
+            if not line.strip():
+                continue
+            entry = json.loads(line[max(0, line.find(b"{")):])
+            name = entry.get("filename", next(iter(archives)) if len(archives) == 1 else None)
+            name = name[len("archive/"):] if name and name.startswith("archive/") else name
+            if name not in archives:
+                raise ValueError(f"{index.name} lists a record of no archive member: {name}")
+            at, length = int(entry["offset"]), int(entry["length"])
+            if at < 0 or at + length > archives[name].size:
+                raise ValueError(f"{index.name} lists a record beyond the end of {name}")
+            listed[name].add((bases[name] + at, length))
+    empty = sorted(name for name, own in listed.items() if not own)
+    if empty or not archives:
+        raise ValueError(f"archive without index entries: {', '.join(empty) or 'none in package'}")
+    return sorted(place for own in listed.values() for place in own)
+
+
 # ---- records
 
 def make_record(page_id: object, url: str | None, payload: bytes, digest: str,
@@ -220,19 +251,15 @@ def read_archives(packages: DataFrame, payload: bool = False) -> DataFrame:
             for folder, path, size in zip(*(c.to_pylist() for c in batch.columns)):
                 store, _ = fs.FileSystem.from_uri(folder)
                 with store.open_input_file(path) as file:
-                    found = {m.name: m for m in members(file, size)}
-                    base = data_offset(file, found[DATA])
-                    file.seek(data_offset(file, found[INDEX]))
-                    entries = [json.loads(x) for x in file.read(found[INDEX].size).splitlines()]
-                starts, lengths, held = [[]], [[]], 0
-                for entry in entries:
-                    if held and held + entry["length"] > RANGE:
+                    found = places(file, size)
+                starts, lengths = [[]], [[]]
+                for start, length in found:
+                    # a range is read whole: what lies between records counts as well
+                    if starts[-1] and start + length - starts[-1][0] > RANGE:
                         starts.append([])
                         lengths.append([])
-                        held = 0
-                    starts[-1].append(base + entry["offset"])
-                    lengths[-1].append(entry["length"])
-                    held += entry["length"]
+                    starts[-1].append(start)
+                    lengths[-1].append(length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([folder] * len(starts)), pa.array([path] * len(starts)),
                      pa.array(starts, pa.list_(pa.int64())),

@@ -65,6 +65,37 @@ def test_directories(monkeypatch, wide):
         assert body[at:at + m.size] == m.name.encode() * 100
 
 
+def make_package(path, parts, indexes):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, body in (parts | indexes).items():
+            z.writestr(zipfile.ZipInfo(name), body)
+    return path.stat().st_size
+
+
+def test_all_archives_and_indexes_of_a_package(spark, tmp_path):
+    import gzip
+    import json
+
+    records = [gzip.compress(warc.make_record(i, "u", b"x%d" % i, hashlib.sha1(b"x%d" % i).hexdigest(),
+                                              None)) for i in range(4)]
+    parts = {"archive/a.warc.gz": records[0] + records[1], "archive/b.warc.gz": records[2],
+             "archive/c.warc.gz": records[3]}
+
+    def entry(name, offset, n):
+        return json.dumps({"filename": name, "offset": offset, "length": len(records[n])})
+
+    first = "\n".join((entry("a.warc.gz", 0, 0), entry("a.warc.gz", len(records[0]), 1)))
+    second = "org,x)/ 2020 " + entry("b.warc.gz", 0, 2) + "\n" + entry("archive/c.warc.gz", 0, 3)
+    path = tmp_path / "p.wacz"
+    size = make_package(path, parts, {"indexes/1.jsonl": first, "indexes/2.cdxj": second})
+    packages = spark.createDataFrame([(str(tmp_path), str(path), size)],
+                                     "folder string, path string, size long")
+    assert sorted(r.page_id for r in warc.read_archives(packages).collect()) == list("0123")
+    size = make_package(path, parts, {"indexes/1.jsonl": first})
+    with open(path, "rb") as file, pytest.raises(ValueError, match="without index entries: b.warc.gz"):
+        warc.places(file, size)
+
+
 def test_what_is_no_package():
     with pytest.raises(ValueError, match="end of central directory"):
         warc.members(io.BytesIO(b"x" * 100), 100)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, html_text, jaccard_join, langid, packing, pii, quality_rules, substring_trees,
-    suffix_dedup, warc,
+    alignment, attention_lm, decontaminate, html_text, jaccard_join, langid, packing,
+    periodic_runs, pii, quality_rules, substring_trees, suffix_dedup, warc,
 )
 from .common import table
 
@@ -58,6 +58,19 @@ def op10_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.remove(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.analyse(table(spark, sf_dir, "documents"), planted=True).drop(
+        "runs", "collapsed")
+
+
 def quality_sql(rules: quality_rules.Rules = quality_rules.Rules()) -> str:
     """The verdict of ``quality_rules.judge`` as SQL; the parameters are written into it."""
     words = ", ".join(f"('{w}')" for w in quality_rules.vocabulary_of(rules))
@@ -147,6 +160,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_trees": op10_substring_trees,
+    "op11_attention_lm": op11_attention_lm,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 WARC_SQL = f"""

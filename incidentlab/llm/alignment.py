@@ -176,15 +176,14 @@ def _pass(docs: DataFrame, how: Tokenizers, id_col: str, text: str) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = chunks.Numbers()
         for part in chunks.in_slices(batches, 1, how.slice_bytes):
-            yield from _slice(part, numbers, how)
+            yield from _slice(part, int(numbers.take()[0]), how)
 
     return docs.select(docs[id_col].alias("id"), docs[text].alias("text")).mapInArrow(
-        work, f"{chunks.TEXT}, id {kind}, {', '.join(f'{s} long' for s in _STATISTICS)}, "
+        work, f"chunk long, local array<int>, times array<int>, id {kind}, {', '.join(f'{s} long' for s in _STATISTICS)}, "
               f"groups_sha256 string, {chunks.VOCABULARY.format(key='long')}")
 
 
-def _slice(part: pa.RecordBatch, numbers: chunks.Numbers, how: Tokenizers
-           ) -> Iterator[pa.RecordBatch]:
+def _slice(part: pa.RecordBatch, chunk: int, how: Tokenizers) -> Iterator[pa.RecordBatch]:
     count = part.num_rows
     sides = tokenize(part.column(1).to_pylist(), how)
     of_a, of_b, _ = sides.groups()
@@ -207,17 +206,15 @@ def _slice(part: pa.RecordBatch, numbers: chunks.Numbers, how: Tokenizers
     digests = [""] * count
     for i, own in zip(sides.valid.tolist(), _group_texts(sides, of_a, of_b)):
         digests[i] = hashlib.sha256(own).hexdigest()
-    chunk, rows = numbers.next_chunk(), numbers.rows(count)
-    names = ["chunk", "row", "local", "times", "id", *_STATISTICS, "groups_sha256", "keys",
-             "totals"]
+    names = ["chunk", "local", "times", "id", *_STATISTICS, "groups_sha256", "keys", "totals"]
     lists = pa.list_(pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(count, chunk)), pa.array(rows), codes, times, part.column(0),
+        [pa.array(np.full(count, chunk)), codes, times, part.column(0),
          *[pa.array(stats[s], pa.int64()) for s in _STATISTICS], pa.array(digests, pa.string()),
          pa.nulls(count, lists), pa.nulls(count, lists)], names)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, codes.type),
-         pa.nulls(1, times.type), pa.nulls(1, part.column(0).type),
+        [pa.array([chunk]), pa.nulls(1, codes.type), pa.nulls(1, times.type),
+         pa.nulls(1, part.column(0).type),
          *[pa.nulls(1, pa.int64())] * len(_STATISTICS), pa.nulls(1, pa.string()),
          pa.array([keys], lists), pa.array([totals], lists)], names)
 
@@ -239,13 +236,14 @@ def align(docs: DataFrame, how: Tokenizers = Tokenizers(), id_col: str = "doc_id
     best = stage(counts.groupBy(side_b.alias("b")).agg(F.max("n").alias("most")))
     values = stage(counts.join(best, side_b == best["b"]).select(
         "key", "n", (F.col("n") == F.col("most")).alias("best")))
-    keep = ["id", *_STATISTICS, "groups_sha256"]
+    keep = ["id", *_STATISTICS, "groups_sha256", "local", "times"]
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(own: pa.Table, bounds: np.ndarray, found: pa.Table, times: np.ndarray) -> pa.Table:
-        n, best = (found.column(c).to_numpy() for c in ("n", "best"))
-        sums = chunks.row_sums(bounds, times * n.astype(np.int64))
-        hits = chunks.row_sums(bounds, times * best.astype(np.int64))
+    def finish(own: pa.Table, found: pa.Table) -> pa.Table:
+        (local, bounds), (times, _) = (chunks.flat(own.column(c)) for c in ("local", "times"))
+        n, best = (found.column(c).to_numpy().astype(np.int64) for c in ("n", "best"))
+        sums = chunks.row_sums(bounds, times * n[local])
+        hits = chunks.row_sums(bounds, times * best[local])
         out = {c: own.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")}
         return pa.table(out | {"n_best": hits, "count_sum": sums,
                                "groups_sha256": own.column("groups_sha256"),
@@ -271,7 +269,7 @@ def links(docs: DataFrame, how: Tokenizers = Tokenizers(), kind: str = "overlap"
         numbers = chunks.Numbers()
         for part in chunks.in_slices(batches, 1, how.slice_bytes):
             sides = tokenize(part.column(1).to_pylist(), how)
-            rows = numbers.rows(part.num_rows)
+            rows = numbers.take(part.num_rows)
             owner = np.repeat(np.arange(len(sides.valid)), sides.n_a)
             first_a, first_b = (np.cumsum(n) - n for n in (sides.n_a, sides.n_b))
             found = sides.overlaps() if kind == "overlap" else product(*sides.shared_groups())

@@ -1,8 +1,7 @@
 """Values of a whole corpus brought to the texts that ask for them, a chunk of texts at a time.
 
 A first pass over the texts writes two kinds of rows to a table: one per text, with what it holds
-as places in the vocabulary of its chunk, and one per chunk, with this vocabulary and its counts
-(``row`` is null there). The vocabularies are summed to the counts of the corpus, which are joined
+as places in the vocabulary of its chunk, and one per chunk, with this vocabulary and its counts. The vocabularies are summed to the counts of the corpus, which are joined
 to the vocabularies by key; a chunk's texts and its answers then meet by the number of the chunk. A
 key travels once per chunk instead of once per text, and no table is broadcast or sent to the driver.
 """
@@ -17,24 +16,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a chunk's row, which are null in a text's row and the other way round.
 VOCABULARY = "keys array<{key}>, totals array<long>"
-TEXT = "chunk long, row long, local array<int>, times array<int>"
+IS_TEXT, IS_VOCABULARY = "keys IS NULL", "keys IS NOT NULL"
+
+#: Chunks that one task brings together, and the most tasks.
+PER_TASK, MOST_TASKS = 8, 100_000
 
 
 class Numbers:
-    """Numbers of chunks and rows, unique over the tasks of one pass."""
+    """Numbers of chunks, or of rows, unique over the tasks of one pass."""
 
     def __init__(self) -> None:
-        self.base = TaskContext.get().partitionId() << 40
-        self.chunk = self.row = self.base
-
-    def rows(self, count: int) -> np.ndarray:
-        self.row += count
-        return np.arange(self.row - count, self.row)
+        self.next = TaskContext.get().partitionId() << 40
 
-    def next_chunk(self) -> int:
-        self.chunk += 1
-        return self.chunk - 1
+    def take(self, count: int = 1) -> np.ndarray:
+        self.next += count
+        return np.arange(self.next - count, self.next)
 
 
 def sparse(owner: np.ndarray, codes: np.ndarray, texts: int, weight: np.ndarray | None = None
@@ -56,43 +54,43 @@ def sparse(owner: np.ndarray, codes: np.ndarray, texts: int, weight: np.ndarray
 
 def corpus_counts(table: DataFrame) -> DataFrame:
     """key, n: sums of the chunks' counts; keys with the sum 0 are left out."""
-    listed = table.where("row IS NULL").select(
+    listed = table.where(IS_VOCABULARY).select(
         F.explode(F.arrays_zip("keys", "totals")).alias("e")).where("e.totals > 0")
     return listed.groupBy(F.col("e.keys").alias("key")).agg(F.sum("e.totals").alias("n"))
 
 
-#: (rows of the texts, per text the values of its codes as (start of each text, code values,
-#: times)) to the columns of the result.
-Finish = Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pa.Table]
+#: (rows of a chunk's texts, the values of its vocabulary by place) to the columns of the result.
+Finish = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def answer(table: DataFrame, values: DataFrame, keep: Sequence[str], finish: Finish, schema: str,
-           asked: str = "true", texts: DataFrame | None = None) -> DataFrame:
-    """Bring the columns of ``values`` (by ``key``) to the texts. ``finish`` gets a chunk's rows
-    (``keep``), the bounds of each row's codes, the values of all its codes (null: no such key) and
-    how often each occurs. ``asked`` is a condition on the keys that are looked up; keys that are
-    not must stand at the end of the vocabularies. ``texts`` are the table's rows of texts, if
-    columns were added to them."""
-    vocabulary = table.where("row IS NULL").select(
-        "chunk", F.posexplode("keys").alias("place", "key")).where(asked)
-    answers = vocabulary.join(values, "key", "left").drop("key")
-    texts = table.where("row IS NOT NULL") if texts is None else texts
-    texts = texts.select(
-        F.col("chunk").alias("own_chunk"), *keep, "local", "times")
+def answer(table: DataFrame, values: DataFrame, keep: Sequence[str], finish: Finish, schema: str
+           ) -> DataFrame:
+    """Bring the columns of ``values`` (by ``key``) to the texts. ``finish`` gets the columns
+    ``keep`` of a chunk's texts, and the keys of its vocabulary with their values (null where a key
+    has none)."""
+    vocabulary = table.where(IS_VOCABULARY).select(
+        "chunk", F.posexplode("keys").alias("place", "key"))
+    answers = vocabulary.join(values, "key", "left")
+    tasks = min(MOST_TASKS, -(-table.where(IS_VOCABULARY).count() // PER_TASK))
+    texts = table.where(IS_TEXT).select(F.col("chunk").alias("own_chunk"), *keep)
+    texts = texts.repartition(max(1, tasks), "own_chunk")
 
     def meet(own: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("place")
-        local, times = (own.column(c).combine_chunks() for c in ("local", "times"))
-        if isinstance(local, pa.ChunkedArray):
-            local, times = (pa.concat_arrays(c.chunks) for c in (local, times))
-        bounds = np.concatenate(([0], np.cumsum(local.value_lengths().to_numpy(
-            zero_copy_only=False)))).astype(np.int64) if len(local) else np.zeros(1, np.int64)
-        return finish(own, bounds, found.take(local.flatten()),
-                      times.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        return finish(own, found.sort_by("place"))
 
     return texts.groupBy("own_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema)
 
 
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the bounds of each row's."""
+    lists = column.combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds
+
+
 def row_sums(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the values between neighbouring bounds."""
     total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))

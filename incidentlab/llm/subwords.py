@@ -17,6 +17,10 @@ _LATIN = re.compile("[\t\n\r\x20-\x7e¡-ſ]*")
 _loaded: dict = {}
 
 
+def is_latin(text: str) -> bool:
+    return _LATIN.fullmatch(text) is not None
+
+
 def byte_level(tokenizer: str, ranks: str | None = None, pattern: str | None = None) -> Encode:
     """Text to ids of a tokenizer file. With ``ranks`` (the same vocabulary in the other library's
     format) and its ``pattern``, plain Latin texts are encoded at a third of the time."""

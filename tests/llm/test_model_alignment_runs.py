@@ -254,7 +254,8 @@ def test_held_out_texts_gain_from_the_model(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     rows = attention_lm.score(docs).collect()
     encode, end = subwords.byte_level(attention_lm.Lm().tokenizer), attention_lm.Lm().end
-    texts = {r.doc_id: [*encode(r.text), end] for r in docs.select("doc_id", "text").collect()}
+    texts = {r.doc_id: [*encode(" " + " ".join(WORD.findall(r.text.lower()))), end]
+             for r in docs.select("doc_id", "text").collect()}
     count = Counter(t for r in rows if not r.held_out for t in texts[r.doc_id])
     total = sum(count.values()) + end + 1
     held = [r for r in rows if r.held_out]
@@ -265,6 +266,21 @@ def test_held_out_texts_gain_from_the_model(spark, sf_dir):
     assert len(held) > 100 and model > 0.8 * plain and model > 1.08 * base
 
 
+def test_words_have_the_ids_of_the_tokenizer():
+    how = attention_lm.Lm()
+    plain = subwords.byte_level(how.tokenizer)
+    keys = ["the", "ümlaut", "漢字", "a\xa0b", "\xa0", "end.,", attention_lm.END_KEY.decode(), "it's", "😀x"]
+    ids, bounds = attention_lm.word_ids([k.encode() for k in keys], how)
+    for i, key in enumerate(keys):
+        want = [how.end] if key == " " else plain(" " + key)
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == want
+    codes, ends = np.array([2, 0, 0, 6, 6, 1, 6]), np.array([0, 4, 5, 7])
+    texts = attention_lm.gather(ids, bounds, codes, ends)[1:]
+    assert [t.tolist() for t in texts] == [
+        sum((ids[bounds[c]:bounds[c + 1]].tolist() for c in own), [])
+        for own in ([2, 0, 0, 6], [6], [1, 6])]
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(1)

@@ -81,9 +81,11 @@ def build(
     df = propagate(
         person_ids(df, ID, UNIT, order), ID, F.col("pursuit_driver") == 1, UNIT, source=df,
         aggs={
-            "records": F.count(F.lit(1)),
-            "persons": F.count_if(F.col("parked_empty_car") == 0),
-            "point": firsts([UNIT, *order], {"x": "State Plane X", "y": "State Plane Y"}),
+            "records": (F.count(F.lit(1)), F.sum),
+            "persons": (F.count_if(F.col("parked_empty_car") == 0), F.sum),
+            # of the first person of the first unit; a missing unit comes last
+            "point": (firsts(order, {"x": "State Plane X", "y": "State Plane Y"}),
+                      lambda c: F.min_by(c, F.struct(F.col(UNIT).isNull(), F.col(UNIT)))),
         },
     )
     df = df.withColumn("pursuit_tag", (F.col("flagged_units") > 0).cast("int"))

@@ -125,7 +125,7 @@ def build(
     df = stage(df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1)))
 
     df = propagate(
-        df, "par", F.col("pursuit_driver") == 1, "vnumber", aggs={"records": F.count(F.lit(1))}
+        df, "par", F.col("pursuit_driver") == 1, "vnumber", aggs={"records": (F.count(F.lit(1)), F.sum)}
     )
     df = fill_zero(df, ["pursuit_driver", "pursuit_crash", "pursuit_tag", "is_officer"])
     df = df.withColumn(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,21 @@ def link_left(
     ).drop("__nth")
 
 
+def _met(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str],
+) -> DataFrame:
+    """Both sides, with no column but the keys in common, one to one: rows of a key are numbered on
+    either side in ``order`` (columns of both sides, NULL on the other one), and rows of one key
+    and number become one row. No join: the sides are stacked and numbered together."""
+    both = left.withColumn("__side", F.lit(0)).unionByName(
+        right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    numbered = number_within(both, [*keys, "__side"], order, "__nth")
+    # At most one row of each side is in a group.
+    cells = [c for c in both.columns if c not in keys and c != "__side"]
+    return numbered.groupBy(*keys, "__nth").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in cells]).drop("__nth")
+
+
 def link_full(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str,
     suffixes: tuple[str, str] = ("_a", "_b"), pairing: str = ONE_TO_ONE,
@@ -69,14 +85,14 @@ def link_full(
     match status is read from them. Hand over stored tables: both sides are read twice."""
     if left_id not in left.columns:
         raise ValueError(f"{left_id} is not a column of the left frame")
+    if pairing == ONE_TO_ONE:
+        a, b = _suffixed(left, keys, suffixes[0]), _suffixed(right, keys, suffixes[1])
+        return _met(a, b, keys, [left_id + suffixes[0], right_id + suffixes[1]])
     a, b, on = _ranked(left, right, keys, left_id, right_id, pairing)
     paired = null_safe_join(
         _suffixed(a, on, suffixes[0]), _suffixed(b, on, suffixes[1]), on, "left")
-    rest = right if pairing == FIRST else b
-    seen = a.select(*on)
-    alone = null_safe_join(rest, seen.distinct() if pairing == FIRST else seen, on, "left_anti")
-    both = paired.unionByName(_suffixed(alone, on, suffixes[1]), allowMissingColumns=True)
-    return both.drop("__nth")
+    alone = null_safe_join(right, a.select(*on).distinct(), on, "left_anti")
+    return paired.unionByName(_suffixed(alone, on, suffixes[1]), allowMissingColumns=True)
 
 
 def status(df: DataFrame, specs: Mapping[str, tuple[str, int]]) -> DataFrame:
@@ -115,9 +131,11 @@ def cascade(
     its columns, ``tier``, ``match_id`` (NULL for the unmatched rest) and the ``carry``
     columns of the matched pool record (present, with one type, in every pool).
 
-    One-to-one, every pool record is used once; the left records that a tier leaves over are
-    stored and go on to the next. Pools must not overlap, but one frame may serve several tiers:
-    what an earlier tier took from it is gone. With pairing "first" all tiers are attached in
+    One-to-one, every pool record is used once. Tiers that follow each other on the same keys are
+    one step: their pools are put one behind the other, in the order of the tiers, so that the
+    records that the first pool leaves over meet the next one without another exchange. What a step
+    leaves over is stored and goes on to the next. Pools must not overlap, but one frame may serve
+    several tiers: what an earlier one took from it is gone. With pairing "first" all tiers are attached in
     one pass and the earliest hit is kept, as a tier's hit then depends on its own keys alone."""
     if pairing != FIRST:
         return _cascade_pairs(left, tiers, carry, rest, left_id)
@@ -141,22 +159,35 @@ def _cascade_pairs(
     left: DataFrame, tiers: Sequence[tuple[str, DataFrame, str, Sequence[str]]],
     carry: Sequence[str], rest: str, left_id: str | None,
 ) -> DataFrame:
-    done: list[DataFrame] = []
+    if left_id is None:
+        raise ValueError("one-to-one pairing needs the left record id")
+    columns, done = left.columns, []
     taken: list[tuple[DataFrame, DataFrame]] = []
-    for label, pool, pool_id, keys in tiers:
-        own = pool.withColumn("match_id", F.col(pool_id).cast("string"))
-        for earlier, used in taken:
-            if earlier is pool:
-                own = null_safe_join(own, used, ["match_id"], "left_anti")
-        a, b, on = _ranked(left, own, keys, left_id, pool_id, ONE_TO_ONE)
-        record = F.struct("match_id", *carry).alias("__hit")
-        tried = stage(null_safe_join(a, b.select(*on, record), on, "left").drop("__nth"))
+    for keys, step in groupby(tiers, lambda tier: list(tier[3])):
+        pools, frames = [], []
+        for number, (label, pool, pool_id, _) in enumerate(step):
+            if any(pool is frame for frame in frames):
+                continue  # the same records under the same keys: nothing is left of them
+            frames.append(pool)
+            own = pool.withColumn("match_id", F.col(pool_id).cast("string"))
+            for earlier, used in taken:
+                if earlier is pool:
+                    own = null_safe_join(own, used, ["match_id"], "left_anti")
+            record = F.struct(F.lit(label).alias("tier"), "match_id", *carry)
+            pools.append(own.select(
+                *keys, F.lit(number).alias("__tier"), F.col(pool_id).alias(f"__id_{number}"),
+                record.alias("__hit")))
+        pool = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pools)
+        ids = [c for c in pool.columns if c.startswith("__id_")]
+        own = F.struct(*[F.col(c) for c in columns if c not in keys]).alias("__own")
+        tried = stage(_met(left.select(*keys, F.col(left_id).alias("__left"), own), pool, keys,
+                           ["__left", "__tier", *ids]).where(F.col("__own").isNotNull()))
+        back = [F.col(c) if c in keys else F.col(f"__own.{c}").alias(c) for c in columns]
         hit = tried.where(F.col("__hit").isNotNull())
-        won = {"tier": F.lit(label), "match_id": F.col("__hit.match_id"),
-               **{c: F.col(f"__hit.{c}") for c in carry}}
-        done.append(hit.withColumns(won).drop("__hit"))
-        taken.append((pool, hit.select("__hit.match_id")))
-        left = tried.where(F.col("__hit").isNull()).drop("__hit")
+        done.append(hit.select(*back, "__hit.*"))
+        used = hit.select("__hit.match_id")
+        taken += [(frame, used) for frame in frames]
+        left = tried.where(F.col("__hit").isNull()).select(*back)
     return reduce(
         lambda x, y: x.unionByName(y, allowMissingColumns=True),
         [*done, left.withColumns({"tier": F.lit(rest), "match_id": F.lit(None).cast("string")})],
@@ -235,20 +266,26 @@ def join_presence(
     a 0/1 column telling whether the right side is present.
 
     With ``ids`` (the record ids of both sides) repeated keys are paired one to one. Without,
-    both sides hold one row per key; a key that repeats is an error, not a product."""
+    both sides hold one row per key; a key that repeats on either is an error, not a product. Both
+    sides are stacked and grouped by key, so each is read once, and counted in the same step."""
     on = list(keys)
     renamed = right.withColumnsRenamed({r: k for k, r in keys.items()}).withColumn(marker, F.lit(1))
+    shared = [c for c in left.columns if c in renamed.columns and c not in on]
+    if shared:
+        raise ValueError(f"both sides have columns {shared}; rename them")
     if ids is not None:
-        left, renamed, on = _ranked(left, renamed, on, *ids, ONE_TO_ONE)
+        both = _met(left, renamed, on, ids)
     else:
-        once = renamed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-        once = once.select(*on, F.when(F.col("__n") > 1, F.raise_error(F.lit(
-            "the right side repeats a key; name the record ids")).cast("long")).alias("__n"))
-        renamed = null_safe_join(renamed, once, on, "left").where(F.col("__n").isNull()).drop("__n")
-    paired = null_safe_join(left, renamed, on, "left")
-    alone = null_safe_join(renamed, left.select(*on).distinct(), on, "left_anti")
-    both = paired.unionByName(alone, allowMissingColumns=True)
-    return both.drop("__nth").fillna(0, subset=[marker])
+        sides = left.withColumn("__left", F.lit(1)).unionByName(renamed, allowMissingColumns=True)
+        cells = [c for c in sides.columns if c not in on and c != "__left"]
+        both = sides.groupBy(*on).agg(
+            *[F.first(c, ignorenulls=True).alias(c) for c in cells],
+            F.greatest(F.count("__left"), F.count(marker)).alias("__most"))
+        # checked where the marker is read, so that no plan leaves it out
+        twice = F.raise_error(F.lit("a side repeats a key; name the record ids")).cast("int")
+        both = both.withColumn(
+            marker, F.when(F.col("__most") > 1, twice).otherwise(F.col(marker))).drop("__most")
+    return both.fillna(0, subset=[marker])
 
 
 def duplicate_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:

@@ -36,10 +36,14 @@ def _window_order(order: Sequence[Column]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
-    """The rows, written down in ranges of the order, with ``__range`` and the place in it."""
+    """The rows, written down in ranges of the order, with ``__range`` and the place in it.
+
+    Equal keys are dealt to one range. So they are counted there, without moving a row again."""
     by = _window_order(order)
     dealt = df.repartitionByRange(ranges or range_count(df.count()), *by)
-    placed = dealt.sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    same = F.count(F.lit(1)).over(Window.partitionBy(*order))
+    placed = dealt.withColumn("__same", same).sortWithinPartitions(*by).withColumn(
+        "__at", _untied(F.monotonically_increasing_id(), F.col("__same") > 1)).drop("__same")
     return stage(placed).withColumns({
         "__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit(_INSIDE)),
     }).drop("__at")
@@ -56,13 +60,11 @@ def number_global(
     rank for descending). The rows are written down once, in order, when this is called."""
     order = [as_column(c) for c in order]
     ranged = _ranged(df, order)
-    # One row per range reaches this window. Equal keys are in one range, so they are seen there.
+    # One row per range reaches this window.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").agg(
-        F.count(F.lit(1)).alias("__rows"), F.count_distinct(F.xxhash64(*order)).alias("__keys"))
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
     offsets = counts.select(
-        "__range", _untied(F.coalesce(F.sum("__rows").over(before), F.lit(0)),
-                           F.col("__rows") != F.col("__keys")).alias("__before"))
+        "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     return ranged.join(offsets, "__range").withColumn(
         out, F.col("__before") + F.col("__place") + start
     ).drop("__range", "__place", "__before")
@@ -87,6 +89,8 @@ def number_within(
     rows in earlier ranges. Group sizes are counted when this is called, so hand over a stored
     table rather than a pipeline."""
     order = [as_column(c) for c in order]
+    if df.count() <= largest:  # no group can be larger; of a stored table only footers are read
+        return _number_groups(df, keys, order, out)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     large = stage(sizes.where(F.col("__rows") > largest))
     rows = large.agg(F.sum("__rows")).first()[0]
@@ -98,11 +102,9 @@ def number_within(
                      max(range_count(rows), -(-rows // largest)))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shares = ranged.groupBy(*keys, "__range").agg(
-        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"),
-        F.count_distinct(F.xxhash64(*order)).alias("__keys"))
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1
-    shares = shares.select(*keys, "__range", _untied(
-        shift, F.col("__n") != F.col("__keys")).alias("__shift"))
+    shares = shares.select(*keys, "__range", shift.alias("__shift"))
     numbered = null_safe_join(ranged, shares, [*keys, "__range"], "left").withColumn(
         out, F.col("__place") + F.col("__shift"))
     return rest.unionByName(numbered.select(*rest.columns))

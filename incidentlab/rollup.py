@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import names
+from .io import stage
 from .ordering import keep_first, number_within
 from .rsem import ColumnLike, as_column, first_match, flag, known_level, matches, null_safe_join, strict_count
 
@@ -24,23 +25,28 @@ def attach_group(df: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Col
 
 def propagate(
     df: DataFrame, key: str, cond: Column, unit: str, out: str = "flagged_unit",
-    aggs: Mapping[str, Column] | None = None, source: DataFrame | None = None,
+    aggs: Mapping[str, tuple[Column, Callable[[str], Column]]] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Spread a flag on some member to all records of the incident.
 
     Adds, without multiplying rows when several units are flagged:
     ``<out>`` the lowest flagged unit of the incident, ``<out>s`` how many distinct units
     are flagged (0 if none), ``in_<out>`` 1 when the record's own unit is one of them, and
-    any further incident aggregates in ``aggs``. ``source`` may name an earlier state of
+    any further incident aggregates in ``aggs``: name to the aggregate of a unit and how the
+    units' values are combined. Records are brought to units once, written, and units to
+    incidents, so the rows are read twice in all. ``source`` may name an earlier state of
     ``df`` with the same rows, to aggregate from a shorter plan."""
-    source = df if source is None else source
-    per_unit = source.where(cond).select(key, unit).distinct()
-    flagged = per_unit.groupBy(key).agg(F.min(unit).alias(out), F.count(F.lit(1)).alias(f"{out}s"))
-    own = per_unit.withColumn(f"in_{out}", F.lit(1))
-    if aggs:
-        totals = source.groupBy(key).agg(*[a.alias(n) for n, a in aggs.items()])
-        df = null_safe_join(df, totals, [key], "left")
-    df = null_safe_join(df, flagged, [key], "left")
+    source, aggs = df if source is None else source, aggs or {}
+    units = stage(source.groupBy(key, unit).agg(
+        F.max(F.coalesce(cond, F.lit(False))).alias("__flag"),
+        *[own.alias(name) for name, (own, _) in aggs.items()]))
+    incidents = units.groupBy(key).agg(
+        F.min(F.when(F.col("__flag"), F.col(unit))).alias(out),
+        F.count_if("__flag").alias(f"{out}s"),
+        *[combine(name).alias(name) for name, (_, combine) in aggs.items()])
+    own = units.where("__flag").select(key, unit, F.lit(1).alias(f"in_{out}"))
+    df = null_safe_join(df, incidents, [key], "left")
     df = null_safe_join(df, own, [key, unit], "left")
     return df.fillna(0, subset=[f"{out}s", f"in_{out}"])
 

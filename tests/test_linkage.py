@@ -89,8 +89,28 @@ def test_presence_join_pairs_or_refuses_repeated_keys(spark):
     with pytest.raises(Exception, match="repeats a key"):
         link.join_presence(left, right, {"k": "kk"}, "there").collect()
     once = right.where("r <> 8 AND r <> 9")
-    rows = link.join_presence(left, once, {"k": "kk"}, "there").collect()
-    assert {(r.l, r.r, r.there) for r in rows} == {(1, 7, 1), (2, 7, 1), (3, 10, 1), (4, None, 0)}
+    with pytest.raises(Exception, match="repeats a key"):  # on the left side, too
+        link.join_presence(left, once, {"k": "kk"}, "there").collect()
+    rows = link.join_presence(left.where("l <> 2"), once, {"k": "kk"}, "there").collect()
+    assert {(r.l, r.r, r.there) for r in rows} == {(1, 7, 1), (3, 10, 1), (4, None, 0)}
+    with pytest.raises(Exception, match="repeats a key"):  # also where only the marker is read
+        link.join_presence(left, once, {"k": "kk"}, "there").agg(F.sum("there")).collect()
+
+
+def test_consecutive_tiers_on_one_key_are_one_step(spark):
+    """Pools of one step behind each other give what separate steps give."""
+    left, right = frames(spark)
+    low, high = right.where("b_id < 200"), right.where("b_id >= 200")
+    tiers = [("low", low, "b_id", ["age"]), ("again", low, "b_id", ["age"]), ("high", high, "b_id", ["age"])]
+    out = link.cascade(left, tiers, rest="none", left_id="a_id")
+    rows = {r.a_id: (r.tier, r.match_id and int(r.match_id)) for r in out.collect()}
+    first = {a: b for a, b in pairs_by_rank(left.collect(), low.collect(), ["age"]) if None not in (a, b)}
+    rest = [r for r in left.collect() if r.a_id not in first]
+    then = {a: b for a, b in pairs_by_rank(rest, high.collect(), ["age"]) if None not in (a, b)}
+    want = {a: ("low", b) for a, b in first.items()} | {a: ("high", b) for a, b in then.items()}
+    assert rows == {r.a_id: want.get(r.a_id, ("none", None)) for r in left.collect()}
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text  # one step was run and written; nothing is moved behind it
 
 
 def test_repeated_lookup_codes_do_not_multiply_rows(spark):

@@ -41,6 +41,28 @@ class Layout:
     crash_factors: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Files:
+    """One frame per kind of file, over all years, each with a ``year`` column. Layouts differ by
+    year, so every frame has the columns of all layouts, as one reader with a declared schema gives
+    them: what a year's files lack is NULL."""
+
+    person: DataFrame
+    vehicle: DataFrame
+    crash: DataFrame
+    race: DataFrame
+    driver_factors: DataFrame
+    crash_factors: DataFrame
+
+
+@dataclass(frozen=True)
+class Eras:
+    """First years of the later layouts: race in a file of its own, factors in long files."""
+
+    race_file: int = 2019
+    factor_files: int = 2020
+
+
 def case_date(month: str, day: str) -> Column:
     """Date in the row's own year; impossible parts (unknown-day codes) give NULL."""
     text = F.concat_ws("-", "year", month, day)
@@ -119,6 +141,44 @@ def build(
         person = person.join(union_sources(races), ["year", "ST_CASE", "VEH_NO", "PER_NO"], "left")
         known = F.coalesce("RACE", "__race") if "RACE" in person.columns else F.col("__race")
         person = person.withColumn("RACE", known).drop("__race")
+    return _together(person, vehicle, crash, county_codes, city_codes)
+
+
+def build_by_year(
+    files: Files, eras: Eras = Eras(), state: str | None = None,
+    county_codes: DataFrame | None = None, city_codes: DataFrame | None = None,
+) -> DataFrame:
+    """``build`` from one frame per kind of file: each is read once, and the year of a row, not
+    the file it came from, tells which layout's rule applies to it."""
+    if state is not None:
+        here = F.col("STATENAME") == state
+        files = Files(**{f.name: getattr(files, f.name).where(here) for f in fields(files)})
+    late_race, late_factors = F.col("year") >= eras.race_file, F.col("year") >= eras.factor_files
+    races = files.race.where(late_race).select(
+        "year", "ST_CASE", "VEH_NO", "PER_NO", F.col("RACE").alias("__race"))
+    person = _person(Layout(files.person, files.vehicle, files.crash)).join(
+        races, ["year", "ST_CASE", "VEH_NO", "PER_NO"], "left")
+    person = person.withColumn(
+        "RACE", F.when(late_race, F.col("__race")).otherwise(F.col("RACE"))).drop("__race")
+    driver = files.driver_factors.where(late_factors).groupBy("year", "ST_CASE", "VEH_NO").agg(
+        F.max(matches("DRIVERRFNAME", "Pursuing").cast("int")).alias("__long"))
+    fleeing = any_code([f"DR_SF{i}" for i in range(1, 5)], DRIVER_FLEEING_CODE)
+    vehicle = files.vehicle.join(driver, ["year", "ST_CASE", "VEH_NO"], "left").select(
+        "year", "ST_CASE", "VEH_NO", "SPEC_USE",
+        F.when(late_factors, F.col("__long")).otherwise(fleeing).alias("pursuit_driver"))
+    factors = files.crash_factors.where(late_factors).groupBy("year", "ST_CASE").agg(
+        F.max(matches("CRASHRFNAME", "Pursuit").cast("int")).alias("__long"))
+    flagged_crash = any_code([f"CF{i}" for i in range(1, 4)], CRASH_PURSUIT_CODE)
+    crash = files.crash.join(factors, ["year", "ST_CASE"], "left").select(
+        "year", *CRASH_COLUMNS, F.col("LONGITUD").alias("LONGITUDE"),
+        F.when(late_factors, F.col("__long")).otherwise(flagged_crash).alias("pursuit_crash"))
+    return _together(person, vehicle, crash, county_codes, city_codes)
+
+
+def _together(
+    person: DataFrame, vehicle: DataFrame, crash: DataFrame, county_codes: DataFrame | None,
+    city_codes: DataFrame | None,
+) -> DataFrame:
     out = person.join(vehicle, ["year", "ST_CASE", "VEH_NO"], "left").join(
         crash, ["year", "ST_CASE"], "left"
     )

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names
-from ..clean import any_match, apply_fixes, exclude, fill_zero, recode_values
+from ..clean import any_match, exclude, fill_zero, recode_values
+from ..corrections import correct
 from ..geo import project_points
 from ..io import stage
 from ..rollup import firsts, person_ids, propagate
@@ -25,6 +26,10 @@ MIN_COLUMNS = [
 ]
 
 
+#: Columns that corrections may touch.
+CORRECTED = ["sex", "pcat_v", "pcat_p", "persons"]
+
+
 def injury_label(text: str) -> Column:
     """Order matters: "Non-incapacitating" must be seen before "No"."""
     # The tests below and their order decide the result.
@@ -69,8 +74,9 @@ def build(
     city_codes: DataFrame | None = None,
 ) -> DataFrame:
     """All person records. ``tie`` lists the columns that, after the person type, order
-    persons inside a unit; ``excluded`` holds keys of rows to drop; ``fixes`` is a
-    corrections table keyed by record_id and applied to the finished columns."""
+    persons inside a unit; ``excluded`` holds keys of rows to drop; ``fixes`` are
+    rules of ``corrections`` by incident and, if they say so, record, unit (or several units) and
+    age; they are applied to the finished columns."""
     df = exclude(raw, excluded) if excluded is not None else raw
     df = df.withColumns({
         "pursuit_driver": any_match(ACTIONS, "pursuit"),
@@ -114,7 +120,9 @@ def build(
     )
     df = fill_zero(df, ["pursuit_driver"])
     df = df.withColumns({"pcat_v": person_category(), "pcat_p": pursuit_role()})
-    return df if fixes is None else apply_fixes(df, fixes, "record_id")
+    if fixes is None:
+        return df
+    return correct(df, fixes, "incident", CORRECTED, conditions=["record_id", "vnum", "age"])
 
 
 def minimal(records: DataFrame, pursuit_only: bool = False) -> DataFrame:

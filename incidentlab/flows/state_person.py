@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names
-from ..clean import any_code, apply_fixes, fill_zero, recode_values
+from ..clean import any_code, fill_zero, recode_values
+from ..corrections import correct
 from ..io import stage, union_sources
 from ..rollup import propagate
 from ..rsem import first_match, if_else_na
@@ -31,6 +32,10 @@ MIN_COLUMNS = [
 ]
 
 
+#: Columns that corrections may touch.
+CORRECTED = ["pursuit_driver", "pforms", "vforms", "is_officer"]
+
+
 def record_id() -> Column:
     """``<par>v<vehicle>p<person>``, person 999 where unnumbered."""
     return F.concat(
@@ -112,7 +117,8 @@ def build(
 ) -> DataFrame:
     """All person records. ``factors`` adds the contributing-factor columns delivered
     separately for early years, ``extra`` is a hand-transcribed supplement in the same
-    layout, ``fixes`` a corrections table keyed by record_id."""
+    layout, ``fixes`` rules of ``corrections`` by ``par`` and, if they say so, record: drivers and
+    officers that the factors do not show, counts that are too low."""
     raw = union_sources(years, {"accmon": "double", "accday": "double"})
     if factors is not None:
         raw = _add_factors(raw, factors)
@@ -120,7 +126,7 @@ def build(
         raw = union_sources([raw, extra])
     df = flags(raw.withColumn("record_id", record_id()))
     if fixes is not None:
-        df = apply_fixes(df, fixes, "record_id")
+        df = correct(df, fixes, "par", CORRECTED, conditions=["record_id"])
     # Rows without a person type are leftovers unless they are a parked empty car.
     df = stage(df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1)))
 

@@ -36,14 +36,14 @@ def _window_order(order: Sequence[Column]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
-    """The rows, written down in ranges of the order, with ``__range`` and the place in it.
-
-    Equal keys are dealt to one range. So they are counted there, without moving a row again."""
+    """The rows, written down in ranges of the order, with ``__range``, the place in it, and whether
+    another row has the same key. Equal keys are in one range, so ties are seen there, and no row is
+    moved again for it."""
     by = _window_order(order)
     dealt = df.repartitionByRange(ranges or range_count(df.count()), *by)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*order))
-    placed = dealt.withColumn("__same", same).sortWithinPartitions(*by).withColumn(
-        "__at", _untied(F.monotonically_increasing_id(), F.col("__same") > 1)).drop("__same")
+    tied = F.count(F.lit(1)).over(Window.partitionBy(*order)) > 1
+    placed = dealt.withColumn("__tied", tied).sortWithinPartitions(*by).withColumn(
+        "__at", F.monotonically_increasing_id())
     return stage(placed).withColumns({
         "__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit(_INSIDE)),
     }).drop("__at")
@@ -62,12 +62,13 @@ def number_global(
     ranged = _ranged(df, order)
     # One row per range reaches this window.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = counts.select(
-        "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    counts = ranged.groupBy("__range").agg(
+        F.count(F.lit(1)).alias("__rows"), F.max("__tied").alias("__ties"))
+    offsets = counts.select("__range", _untied(
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)), F.col("__ties")).alias("__before"))
     return ranged.join(offsets, "__range").withColumn(
         out, F.col("__before") + F.col("__place") + start
-    ).drop("__range", "__place", "__before")
+    ).drop("__range", "__place", "__before", "__tied")
 
 
 def _number_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -102,9 +103,10 @@ def number_within(
                      max(range_count(rows), -(-rows // largest)))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     shares = ranged.groupBy(*keys, "__range").agg(
-        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"),
+        F.max("__tied").alias("__ties"))
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1
-    shares = shares.select(*keys, "__range", shift.alias("__shift"))
+    shares = shares.select(*keys, "__range", _untied(shift, F.col("__ties")).alias("__shift"))
     numbered = null_safe_join(ranged, shares, [*keys, "__range"], "left").withColumn(
         out, F.col("__place") + F.col("__shift"))
     return rest.unionByName(numbered.select(*rest.columns))

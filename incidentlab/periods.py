@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .clean import period_of
@@ -68,6 +68,51 @@ def period_lengths(
     })
 
 
+def label_from_table(
+    df: DataFrame, day: str, periods: DataFrame, out: str = "period", overlap: str = "fail",
+    bucket_days: int = 32, horizon: tuple[date, date] = (date(1900, 1, 1), date(2100, 1, 1)),
+) -> DataFrame:
+    """Label every row by a table of periods (``period``, ``from_date``, ``to_date``, half open), of
+    any number of rows.
+
+    Days and periods are cut into buckets of ``bucket_days`` days and meet by the bucket, so that
+    only the few periods that touch it are compared with a day; there is no nested loop and no
+    list of literals. A missing bound is that of ``horizon``. Where periods overlap, that is an
+    error (``overlap="fail"``), or a period ends where a later one begins (``"later"``; of periods
+    with one beginning, the one with the greater label counts). Days in no period, missing days
+    and days outside the horizon have no label; empty periods (``to_date`` not after ``from_date``)
+    hold no day. Rows are never multiplied or lost."""
+    if overlap not in ("fail", "later"):
+        raise ValueError(f"unknown way to settle overlaps {overlap!r}")
+    low, high = (F.lit(d) for d in horizon)
+
+    def bucket(d: Column) -> Column:
+        return F.floor(F.datediff(d, low) / bucket_days)
+
+    bounds = periods.select(
+        F.col("period").alias("__label"),
+        F.greatest(F.coalesce("from_date", low), low).alias("__from"),
+        F.least(F.coalesce("to_date", high), high).alias("__to"),
+    ).where(F.col("__from") < F.col("__to"))
+    cut = bounds.withColumn("__bucket", F.explode(F.sequence(
+        bucket(F.col("__from")), bucket(F.date_sub("__to", 1)))))
+    # Periods that overlap share the bucket in which the later one begins. One bucket's periods
+    # are a window's rows.
+    later = F.lead("__from").over(Window.partitionBy("__bucket").orderBy("__from", "__label"))
+    overlaps = later < F.col("__to")
+    if overlap == "fail":
+        end = F.when(overlaps, F.raise_error(F.lit("periods overlap")).cast("date")).otherwise(
+            F.col("__to"))
+    else:
+        end = F.least("__to", later)
+    pieces = cut.withColumn("__to", end)
+    rows = df.withColumn("__bucket", bucket(F.col(day)))
+    inside = (rows["__bucket"] == pieces["__bucket"]) & (F.col("__from") <= F.col(day)) & (
+        F.col(day) < F.col("__to"))
+    return rows.join(pieces, inside, "left").select(
+        *df.columns, F.col("__label").alias(out))
+
+
 def _window(
     day: str, boundary: date, length: int, end: date | None, inclusive: bool
 ) -> Column:

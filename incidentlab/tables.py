@@ -77,6 +77,30 @@ def breakdown(
     return out.where(F.col("Total") >= min_total) if min_total else out
 
 
+def breakdowns(
+    df: DataFrame, dims: Sequence[str], cat: str, min_total: int = 0
+) -> DataFrame:
+    """``breakdown`` by each of several dimensions, from one read of the rows.
+
+    Grouping sets count all dimensions at once: dimension (its name), value (as text), the
+    category, Number, Total (of the value) and Percent (of all rows). A missing value is a value of
+    its own. ``min_total`` drops small values after the shares are formed."""
+    if len(set(dims)) != len(dims) or cat in dims:
+        raise ValueError("dimensions must differ from each other and from the category")
+    counts = df.select(*dims, cat).groupingSets([[d, cat] for d in dims], *dims, cat).agg(
+        _count().alias("Number"), *[F.grouping(d).alias(f"__not_{d}") for d in dims])
+    dimension = F.coalesce(*[F.when(F.col(f"__not_{d}") == 0, F.lit(d)) for d in dims])
+    # a column that is not grouped by is NULL, so at most one of them has a value
+    value = F.coalesce(*[F.col(d).cast("string") for d in dims])
+    long = counts.select(dimension.alias("dimension"), value.alias("value"), cat, "Number")
+    # One row per category is left for each value of a dimension.
+    out = long.withColumn("Total", F.sum("Number").over(Window.partitionBy("dimension", "value")))
+    # Every row is in each dimension once.
+    base = F.sum("Number").over(Window.partitionBy("dimension"))
+    out = out.withColumn("Percent", F.col("Total") / base)
+    return out.where(F.col("Total") >= min_total) if min_total else out
+
+
 def coverage_of(table: DataFrame) -> DataFrame:
     """Sum of the shares still shown after a breakdown dropped small dimensions."""
     return table.agg(F.sum("Percent").alias("coverage"))

@@ -1,9 +1,14 @@
 """Classification, recoding, corrections and strings."""
 
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentlab import clean, names
+from incidentlab import clean, corrections, names, periods
 from incidentlab.flows.report import cause_group
+from incidentlab.io import stage
 from incidentlab.multivalue import (
     abbreviate, collapse_multiple, explode_members, narrow_members, retype_members, widen_members,
 )
@@ -119,6 +124,65 @@ def apply_corrections(t):
     return clean.apply_fixes(base.drop("o_totalprice"), high.unionByName(low), "o_orderkey")
 
 
+@query("""
+SELECT k AS l_orderkey, unit, l_partkey, l_suppkey,
+  CASE WHEN k % 20 = 0 AND unit = 4 THEN NULL ELSE
+    CASE WHEN k % 8 = 0 AND unit IN (1, 2) THEN 7 ELSE qty + CASE WHEN k % 4 = 0 THEN 3 ELSE 0 END END
+    + CASE WHEN k % 8 = 0 AND flag = 'R' THEN 1 ELSE 0 END + CASE WHEN k % 20 = 0 THEN 2 ELSE 0 END END AS qty,
+  CASE WHEN k % 10 = 0 AND unit = 3 THEN 'X' WHEN k % 5 = 0 AND unit IN (2, 3) THEN NULL ELSE flag END AS flag
+FROM (SELECT l_orderkey AS k, l_linenumber AS unit, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS flag FROM lineitem)
+""")
+def corrections_in_order(t):
+    """Rules by case, by unit or list of units and by flag: added, set and made missing, in order."""
+    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("unit"), "l_partkey", "l_suppkey",
+                             F.col("l_quantity").cast("long").alias("qty"), F.col("l_returnflag").alias("flag"))
+    cases_ = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
+
+    def rule(number, every, column, op, value=None, unit=(), flag=None):
+        units = F.array(*map(F.lit, unit)).cast("array<int>") if unit else F.lit(None).cast("array<int>")
+        return cases_.where(F.col("l_orderkey") % every == 0).select(
+            "l_orderkey", F.lit(number).alias("rule"), F.lit(column).alias("column_name"), F.lit(op).alias("op"),
+            F.lit(value).cast("string").alias("value"), units.alias("unit"), F.lit(flag).cast("string").alias("flag"))
+
+    rules = stage(reduce(DataFrame.unionByName, [
+        rule(1, 4, "qty", "add", 3), rule(2, 8, "qty", "set", 7, unit=(1, 2)), rule(3, 8, "qty", "add", 1, flag="R"),
+        rule(4, 5, "flag", "missing", unit=(2, 3)), rule(5, 10, "flag", "set", "X", unit=(3,)),
+        rule(6, 20, "qty", "missing", unit=(4,)), rule(7, 20, "qty", "add", 2),
+    ]))
+    return corrections.correct(rows, rules, "l_orderkey", ["qty", "flag"], conditions=["unit", "flag"])
+
+
+# A period of two days from every other day on that some case has, so that there are gaps.
+SQL_PERIOD_TABLE = """
+periods AS (SELECT DISTINCT strftime(date, 'from %Y-%m-%d') AS period, date AS from_date, date + {days} AS to_date FROM cases
+  WHERE (date - DATE '1900-01-01') % {every} = 0)
+"""
+
+
+def period_table_of(t, every, days):
+    first = cases(t).where(F.datediff("date", F.lit(date(1900, 1, 1))) % every == 0)
+    return stage(first.select(F.concat(F.lit("from "), F.date_format("date", "yyyy-MM-dd")).alias("period"),
+                              F.col("date").alias("from_date"), F.date_add("date", days).alias("to_date")).distinct())
+
+
+@query("WITH " + SQL_PERIOD_TABLE.strip().format(every=3, days=2) + """
+SELECT case_id, date, period FROM cases LEFT JOIN periods ON date >= from_date AND date < to_date
+""", "cases")
+def period_from_table(t):
+    """Days labelled by a table of periods with gaps between them."""
+    return periods.label_from_table(cases(t).select("case_id", "date"), "date", period_table_of(t, 3, 2))
+
+
+@query("WITH " + SQL_PERIOD_TABLE.strip().format(every=1, days=40) + """
+SELECT rec_id, date, (SELECT max_by(period, from_date) FROM periods p WHERE p.from_date <= d.date AND d.date < p.to_date) AS period
+FROM deaths d
+""", "deaths")
+def period_overlaps(t):
+    """Periods of forty days that begin on every day: the latest one that has begun counts."""
+    return periods.label_from_table(
+        deaths(t).select("rec_id", "date"), "date", period_table_of(t, 1, 40), overlap="later")
+
+
 @query("""
 SELECT o_orderkey, o_custkey FROM orders
 WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)

@@ -4,14 +4,16 @@ The agencies' file layouts are filled from line items (persons) and orders (cras
 """
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentlab import names, schemas
 from incidentlab.flows import (
     agency_linkage, crowd_linkage, national, newspaper, report, state_crash, state_person,
 )
-from incidentlab.io import read_table, shared_folder, stage
+from incidentlab.io import read_table, shared_folder, stage, write_tables
 from incidentlab.rsem import first_match
 
 from .aggregation import SQL_ROLLUP, incidents
@@ -81,7 +83,7 @@ DEPENDS["pa"] = ["lines"]
 A_OUT = [c for c in state_person.MIN_COLUMNS if c not in ("race", "hispanic")]
 
 
-def state_persons(t, rows=None):
+def state_persons(t, rows=None, rules=None, supplement=None):
     c = F.col
     empty = F.lit(None).cast("int")
     rows = lines(t) if rows is None else rows
@@ -116,10 +118,39 @@ def state_persons(t, rows=None):
         {"accmon": c("accmon").cast("string"), "accday": c("accday").cast("string")}
     )
     late = base.where(c("year") >= 1999)
-    return state_person.build([early, late], factors=crash)
+    extra = None
+    if supplement is not None:
+        ids = rows.where(supplement).select(c("case_id").cast("string").alias("par")).distinct()
+        extra = base.join(ids, "par").join(crash, ["par", "year"]).withColumn("par", F.concat(F.lit("X"), "par"))
+    return state_person.build([early, late], factors=crash, extra=extra, fixes=rules)
 
 
-@query(f"SELECT {', '.join(A_OUT)} FROM pa", "pa")
+PA_OUT = ", ".join(A_OUT)
+
+
+@query(f"""
+SELECT {PA_OUT} FROM (SELECT * REPLACE (
+  CASE WHEN CAST(incident AS BIGINT) % 7 = 0 THEN persons + 3 ELSE persons END AS persons,
+  CASE WHEN CAST(incident AS BIGINT) % 14 = 0 THEN NULL WHEN CAST(incident AS BIGINT) % 7 = 0 THEN vehicles + 1 ELSE vehicles END AS vehicles) FROM pa)
+UNION ALL SELECT {PA_OUT} FROM (SELECT * REPLACE ('X' || incident AS incident, 'X' || record_id AS record_id) FROM pa
+  WHERE CAST(incident AS BIGINT) % 5 = 0)
+""", "pa")
+def flow_state_person_corrected(t):
+    """Counts corrected by incident, and a transcribed supplement in the layout of the files."""
+    ids = lines(t).select(F.col("case_id").alias("n")).distinct().withColumn("par", F.col("n").cast("string"))
+
+    def rule(number, where, column, op, value):
+        return ids.where(where).select("par", F.lit(number).alias("rule"), F.lit(column).alias("column_name"),
+                                       F.lit(op).alias("op"), F.lit(value).alias("value"))
+
+    rules = reduce(DataFrame.unionByName, [
+        rule(1, F.col("n") % 7 == 0, "pforms", "add", "3"), rule(2, F.col("n") % 7 == 0, "vforms", "add", "1"),
+        rule(3, F.col("n") % 14 == 0, "vforms", "missing", None),
+    ])
+    return state_person.minimal(state_persons(t, rules=stage(rules), supplement=F.col("case_id") % 5 == 0)).select(*A_OUT)
+
+
+@query(f"SELECT {PA_OUT} FROM pa", "pa")
 def flow_state_person(t):
     return state_person.minimal(state_persons(t)).select(*A_OUT)
 
@@ -157,7 +188,7 @@ LEFT JOIN (SELECT DISTINCT c_mktsegment AS seg, length(c_mktsegment) AS city_cod
 DEPENDS["pb"] = ["lines"]
 
 
-def state_crashes(t, rows=None):
+def state_crashes(t, rows=None, rules=None):
     c = F.col
     rows = lines(t) if rows is None else rows
     raw = rows.select(
@@ -190,10 +221,42 @@ def state_crashes(t, rows=None):
     cities = t.customer.where(c("c_mktsegment") != "FURNITURE").select(
         c("c_mktsegment").alias("city_name"), F.length("c_mktsegment").alias("city_code")
     ).distinct()
-    return state_crash.build(raw, ["person"], excluded, None, counties, cities)
+    return state_crash.build(raw, ["person"], excluded, rules, counties, cities)
+
 
+PB_OUT = ", ".join(state_crash.MIN_COLUMNS)
 
-@query(f"SELECT {', '.join(state_crash.MIN_COLUMNS)} FROM pb", "pb")
+
+@query(f"""
+SELECT {PB_OUT} FROM (SELECT * REPLACE (
+  CASE WHEN CAST(incident AS BIGINT) % 4 = 0 THEN 'M' WHEN CAST(incident AS BIGINT) % 4 = 1 AND age IN (2, 5) THEN 'F' ELSE sex END AS sex,
+  CASE WHEN CAST(incident AS BIGINT) % 6 = 1 AND vnum IN (3, 4) THEN 'Bystander' ELSE pcat_p END AS pcat_p,
+  CASE WHEN CAST(incident AS BIGINT) % 10 = 3 AND record_id = incident || 'u1p1' THEN 'Officer' ELSE pcat_v END AS pcat_v,
+  CASE WHEN CAST(incident AS BIGINT) % 9 = 2 THEN persons + 3 ELSE persons END AS persons) FROM pb)
+""", "pb")
+def flow_state_crash_corrected(t):
+    """The agency's records with corrections by incident, by age, by record and by a list of units."""
+    rows = lines(t)
+    ids = rows.select(F.col("case_id").alias("n")).distinct().withColumn("incident", F.col("n").cast("string"))
+    n, none = F.col("n"), F.lit(None)
+
+    def rule(number, where, column, op, value, age=none, record=none, units=none):
+        return ids.where(where).select(
+            "incident", F.lit(number).alias("rule"), F.lit(column).alias("column_name"), F.lit(op).alias("op"),
+            F.lit(value).alias("value"), age.cast("array<int>").alias("age"), record.cast("string").alias("record_id"),
+            units.cast("array<int>").alias("vnum"))
+
+    rules = reduce(DataFrame.unionByName, [
+        rule(1, n % 4 == 0, "sex", "set", "M"),
+        rule(2, n % 4 == 1, "sex", "set", "F", age=F.array(F.lit(2), F.lit(5))),
+        rule(3, n % 6 == 1, "pcat_p", "set", "Bystander", units=F.array(F.lit(3), F.lit(4))),
+        rule(4, n % 10 == 3, "pcat_v", "set", "Officer", record=F.concat("incident", F.lit("u1p1"))),
+        rule(5, n % 9 == 2, "persons", "add", "3"),
+    ])
+    return state_crash.minimal(state_crashes(t, rules=stage(rules)))
+
+
+@query(f"SELECT {PB_OUT} FROM pb", "pb")
 def flow_state_crash(t):
     return state_crash.minimal(state_crashes(t))
 
@@ -451,16 +514,22 @@ def national_persons(t):
     race = person.select("year", "ST_CASE", "VEH_NO", "PER_NO", "STATENAME", "RACE")
     bare, wide = person.drop("RACE"), crash.drop("priority")
     factors = ["DR_SF1", "DR_SF2", "DR_SF3", "DR_SF4"]
-    layouts = [
-        national.Layout(person.where(early), vehicle.where(early), wide.where(early)),
-        national.Layout(bare.where(middle), vehicle.where(middle), wide.where(middle), race.where(middle)),
-        national.Layout(
-            bare.where(late), vehicle.drop(*factors).where(late), wide.drop("CF1", "CF2", "CF3").where(late),
-            race.where(late), driver.where(late), factor.where(late),
-        ),
-    ]
+    # The files as the years deliver them, read as one table per kind with the columns of all years.
     counties = t.nation.select(c("n_name").alias("county_name"), c("n_nationkey").alias("county_code"))
-    return national.build(layouts, "Here", counties)
+    delivered = {
+        "person": [person.where(early), bare.where(~early)],
+        "vehicle": [vehicle.where(~late), vehicle.drop(*factors).where(late)],
+        "crash": [wide.where(~late), wide.drop("CF1", "CF2", "CF3").where(late)],
+        "race": [race.where(middle | late)], "driver_factors": [driver.where(late)],
+        "crash_factors": [factor.where(late)],
+    }
+    folder = shared_folder(t.spark)
+    files = {}
+    for kind, frames in delivered.items():
+        paths = write_tables({f"{kind}_{i}": df for i, df in enumerate(frames)}, folder)
+        files[kind] = read_table(t.spark, list(paths.values()), frames[0].schema)
+    return national.build_by_year(
+        national.Files(**files), national.Eras(1997, 1999), "Here", counties)
 
 
 @query(f'SELECT {", ".join(chr(34) + c + chr(34) for c in NATIONAL_OUT)} FROM national WHERE pursuit_crash = 1 OR pursuit_driver = 1', "national")

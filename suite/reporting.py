@@ -90,6 +90,20 @@ def breakdown_agency(t):
     return report.agency_breakdown(report.agency_cases(people), people, "vehicular", "agency", "victim")
 
 
+BREAKDOWN_DIMS = ["county", "city", "district", "policy_period", "year"]
+
+
+@query(f"""
+SELECT dimension, value, victim, "Number", "Total", "Total" / sum("Number") OVER (PARTITION BY dimension) AS "Percent" FROM (
+  SELECT *, CAST(sum("Number") OVER (PARTITION BY dimension, value) AS BIGINT) AS "Total" FROM (
+  {" UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, victim, {COUNT} AS Number FROM fatalities WHERE {SQL_PURSUIT} GROUP BY ALL"
+                      for d in BREAKDOWN_DIMS)}))
+""", "fatalities")
+def breakdown_dimensions(t):
+    """Place, period and year tables of the report from one read of the records."""
+    return tables.breakdowns(report.subset(fatalities(t), "pursuit"), BREAKDOWN_DIMS, "victim")
+
+
 @query(f"""
 WITH {LONG_SQL}
 SELECT *, "Total" / (SELECT count(*) FROM fatalities WHERE {SQL_AFTER}) AS "Percent" FROM (

@@ -36,11 +36,11 @@ def link_records(a: DataFrame, b: DataFrame) -> DataFrame:
     incident with pairs, but themselves without a partner, are kept as B-only."""
     tagged = F.col("pursuit_tag") == 1
     has_a, has_b = F.col("record_id_a").isNotNull(), F.col("record_id_b").isNotNull()
-    # Four branches read the first pass, so it is computed once.
-    first = attach_group(
+    # Four branches read the first pass and its counts, so both are computed once.
+    first = stage(attach_group(
         stage(link_full(a.where(tagged), b.where(tagged), KEYS, "record_id", "record_id")),
         "incident", {"pairs": F.count_if(has_a & has_b)},
-    )
+    ))
     matched = first.where(has_a & has_b).withColumns(
         {"status_a": F.lit(TAGGED), "status_b": F.lit(TAGGED)}
     )
@@ -51,7 +51,7 @@ def link_records(a: DataFrame, b: DataFrame) -> DataFrame:
         *KEYS, *[F.col(f"{c}_a").alias(c) for c in a.columns if c not in KEYS]
     )
     open_incidents = first.where(F.col("pairs") == 0).select("incident").distinct()
-    pool_b = null_safe_join(b, open_incidents, ["incident"], "left_semi")
+    pool_b = stage(null_safe_join(b, open_incidents, ["incident"], "left_semi"))
     second = status(
         link_full(left_a, pool_b, KEYS, "record_id", "record_id"),
         {"status_a": ("record_id_a", TAGGED), "status_b": ("record_id_b", UNTAGGED)},

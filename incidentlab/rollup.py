@@ -35,10 +35,12 @@ def propagate(
     are flagged (0 if none), ``in_<out>`` 1 when the record's own unit is one of them, and
     any further incident aggregates in ``aggs``: name to the aggregate of a unit and how the
     units' values are combined. Records are brought to units once, written, and units to
-    incidents, so the rows are read twice in all. ``source`` may name an earlier state of
+    incidents, so the rows are read twice in all; without ``aggs`` only the flagged records
+    are. ``source`` may name an earlier state of
     ``df`` with the same rows, to aggregate from a shorter plan."""
     source, aggs = df if source is None else source, aggs or {}
-    units = stage(source.groupBy(key, unit).agg(
+    members = source if aggs else source.where(cond)
+    units = stage(members.groupBy(key, unit).agg(
         F.max(F.coalesce(cond, F.lit(False))).alias("__flag"),
         *[own.alias(name) for name, (own, _) in aggs.items()]))
     incidents = units.groupBy(key).agg(

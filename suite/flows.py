@@ -13,7 +13,7 @@ from incidentlab import names, schemas
 from incidentlab.flows import (
     agency_linkage, crowd_linkage, national, newspaper, report, state_crash, state_person,
 )
-from incidentlab.io import read_table, shared_folder, stage, write_tables
+from incidentlab.io import read_table, shared_folder, stage
 from incidentlab.rsem import first_match
 
 from .aggregation import SQL_ROLLUP, incidents
@@ -492,7 +492,7 @@ def national_persons(t):
         F.max(F.when(c("q") == 37, 37).otherwise(0)).alias("DR_SF1"),
         *[F.lit(0).alias(f"DR_SF{i}") for i in (2, 3, 4)],
     )
-    crash = cases(t).select(
+    crash = stage(cases(t)).select(
         F.year("date").alias("year"), c("case_id").alias("ST_CASE"), state,
         *[F.lit(1).alias(n) for n in ("VE_TOTAL", "VE_FORMS", "PEDS", "PERSONS", "CITY", "FATALS")],
         c("county_code").alias("COUNTY"), F.lit("x").alias("RUR_URBNAME"),
@@ -512,24 +512,20 @@ def national_persons(t):
     )
     early, middle, late = c("year") < 1997, (c("year") >= 1997) & (c("year") < 1999), c("year") >= 1999
     race = person.select("year", "ST_CASE", "VEH_NO", "PER_NO", "STATENAME", "RACE")
-    bare, wide = person.drop("RACE"), crash.drop("priority")
     factors = ["DR_SF1", "DR_SF2", "DR_SF3", "DR_SF4"]
-    # The files as the years deliver them, read as one table per kind with the columns of all years.
+    # One table per kind of file, as a reader with the columns of all years gives them.
     counties = t.nation.select(c("n_name").alias("county_name"), c("n_nationkey").alias("county_code"))
-    delivered = {
-        "person": [person.where(early), bare.where(~early)],
-        "vehicle": [vehicle.where(~late), vehicle.drop(*factors).where(late)],
-        "crash": [wide.where(~late), wide.drop("CF1", "CF2", "CF3").where(late)],
-        "race": [race.where(middle | late)], "driver_factors": [driver.where(late)],
-        "crash_factors": [factor.where(late)],
-    }
-    folder = shared_folder(t.spark)
-    files = {}
-    for kind, frames in delivered.items():
-        paths = write_tables({f"{kind}_{i}": df for i, df in enumerate(frames)}, folder)
-        files[kind] = read_table(t.spark, list(paths.values()), frames[0].schema)
+
+    def lacking(df, columns, years):
+        return df.withColumns({x: F.when(~years, F.col(x)) for x in columns})
+
+    files = national.Files(
+        lacking(person, ["RACE"], ~early), lacking(vehicle, factors, late),
+        lacking(crash.drop("priority"), ["CF1", "CF2", "CF3"], late), race.where(middle | late),
+        driver.where(late), factor.where(late),
+    )
     return national.build_by_year(
-        national.Files(**files), national.Eras(1997, 1999), "Here", counties)
+        files, national.Eras(1997, 1999), "Here", counties)
 
 
 @query(f'SELECT {", ".join(chr(34) + c + chr(34) for c in NATIONAL_OUT)} FROM national WHERE pursuit_crash = 1 OR pursuit_driver = 1', "national")

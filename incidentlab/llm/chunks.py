@@ -93,6 +93,35 @@ def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds
 
 
+def packed(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The codes of each row in few bytes: seven bits a byte, the last one of a code below 128.
+    Give small codes to what is frequent."""
+    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21) + (codes >= 1 << 28)
+    last = np.cumsum(size)
+    out = np.empty(int(last[-1]) if len(last) else 0, np.uint8)
+    out[last - 1] = codes & 127
+    for k in range(1, 5):
+        own = np.flatnonzero(size > k)
+        out[last[own] - 1 - k] = codes[own] >> 7 * k & 127 | 128
+    offsets = np.concatenate(([0], last))[bounds].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1,
+                                 [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a column of ``packed`` rows, and the bounds of each row's."""
+    values = column.to_pylist()
+    data = np.frombuffer(b"".join(values), np.uint8)
+    last = np.flatnonzero(data < 128)
+    codes = data[last].astype(np.int64)
+    size = np.diff(last, prepend=-1)
+    for k in range(1, 5):
+        own = np.flatnonzero(size > k)
+        codes[own] |= (data[last[own] - k] & 127).astype(np.int64) << 7 * k
+    ends = np.cumsum([0, *map(len, values)])
+    return codes, np.searchsorted(last, ends)
+
+
 def row_sums(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the values between neighbouring bounds."""
     total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))

@@ -38,16 +38,14 @@ class Words:
     each text has."""
 
     raw: np.ndarray
+    inside: np.ndarray  # whether a byte belongs to a word
     starts: np.ndarray
     lengths: np.ndarray
     counts: np.ndarray
 
     def encoded(self) -> tuple[np.ndarray, pa.Array]:
         """A number for every word, equal where the words are equal, and the distinct words."""
-        inside = np.zeros(len(self.raw) + 1, np.int8)
-        np.add.at(inside, self.starts, 1)
-        np.add.at(inside, self.starts + self.lengths, -1)
-        data = self.raw[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        data = self.raw[self.inside]
         offsets = np.zeros(len(self.starts) + 1, np.int32)
         np.cumsum(self.lengths, out=offsets[1:])
         values = pa.Array.from_buffers(
@@ -92,4 +90,4 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     starts = np.flatnonzero(first)
     lengths = np.flatnonzero(last) + 1 - starts
     counts = np.diff(np.searchsorted(starts, edges))
-    return Words(raw, starts, lengths, counts if len(texts) else np.zeros(0, np.int64))
+    return Words(raw, word, starts, lengths, counts if len(texts) else np.zeros(0, np.int64))

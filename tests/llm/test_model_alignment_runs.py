@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from incidentlab.llm import alignment, attention_lm, periodic_runs, subwords, words
+from incidentlab.llm import alignment, attention_lm, chunks, periodic_runs, subwords, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SMALL = attention_lm.Lm(sample_texts=300, steps=60, epochs=1, slice_bytes=1 << 16)
@@ -225,6 +225,16 @@ def test_products_equal_dense_ones():
         assert (turned == right.T).all()
 
 
+def test_codes_survive_packing():
+    import pyarrow as pa
+
+    rows = [[], [0, 127, 128], [1 << 14, (1 << 14) - 1, 1 << 21, (1 << 31) - 1], [5] * 200, []]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    made = chunks.packed(np.array(sum(rows, []), np.int64), bounds)
+    codes, back = chunks.unpacked(pa.chunked_array([made]))
+    assert codes.tolist() == sum(rows, []) and back.tolist() == bounds.tolist()
+
+
 # ---- language model
 
 def plain_base(rows, folds=7, fold=2):

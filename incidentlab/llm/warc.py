@@ -193,7 +193,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = rows.where(F.octet_length("html") >= least)
     heads = large.groupBy("digest").agg(F.max("id").alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("digest", "head")
+    # written, so that both sides of the join are plain shuffles: a payload that a third of all
+    # pages have is split over tasks
+    heads = stage(heads.where("n > 1").select("digest", "head"))
     rows = rows.join(heads, "digest", "left").select(
         F.col("id").cast("string").alias("id"), "url", "html", "digest",
         F.when(F.coalesce(F.col("id") < F.col("head"), F.col("id").isNull()),

@@ -30,6 +30,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 LEAST_REVISIT = 1000
 MAX_PACKAGE = 256 << 20
 RANGE = 4 << 20
+#: Bytes of packages that one task reads.
+TASK_BYTES = 8 << 20
 
 
 # ---- ZIP directories
@@ -288,7 +290,10 @@ def read_archives(packages: DataFrame, payload: bool = False) -> DataFrame:
 
     ranges = packages.select("folder", "path", "size").mapInArrow(
         plan, "folder string, path string, starts array<long>, lengths array<long>")
-    dealt = ranges.repartition(F.col("path"), F.get("starts", F.lit(0)))
+    # A stated number of tasks by the bytes to read: the rows that name ranges are tiny, and would
+    # be merged into one task by their own size.
+    size = packages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    dealt = ranges.repartition(max(1, -(-size // TASK_BYTES)))
     fields = ("page_id string, url string, payload_bytes long, payload_digest string, "
               "record_type string, refers_to string")
     return dealt.mapInArrow(read, fields + ", payload binary" * payload)

@@ -259,7 +259,7 @@ def _flags(contexts: DataFrame, spec: Windows, compare: Compare, groups: int) ->
 
     many = contexts.where("hot").select("whole", "id", "start", "count", "units").mapInArrow(
         explode, "string long, whole long, id long, at long, j long")
-    first = many.groupBy("string").agg(F.min(F.struct("id", "at")).alias("first"))
+    first = stage(many.groupBy("string").agg(F.min(F.struct("id", "at")).alias("first")))
     far = many.join(first, "string").where(F.struct("id", "at") > F.col("first")).groupBy(
         "whole").agg(F.bit_or(F.expr("shiftleft(1L, cast(j AS int))")).alias("mask"))
     return near.where("mask <> 0").unionAll(far)
@@ -278,9 +278,11 @@ def find(docs: DataFrame, spec: Windows, compare: Compare, group_rows: int = 100
     firsts = stage(left.groupBy("whole").agg(
         F.min(F.struct("id", "start", "row")).alias("first"), F.min("key").alias("key"),
         F.max("count").alias("count"), F.max("again").alias("again"), F.count("*").alias("n")))
+    # aggregates are written before they are joined back: both sides of a join are then plain
+    # shuffles, which can be split at a key that a third of all runs share
     shared = firsts.groupBy("key").agg(F.count("*").alias("m"), F.max("again").alias("any"))
-    shared = shared.where(F.col("any") | (F.col("m") > 1)).select(
-        "key", (F.col("m") > group_rows).alias("hot"))
+    shared = stage(shared.where(F.col("any") | (F.col("m") > 1)).select(
+        "key", (F.col("m") > group_rows).alias("hot")))
     open_ = firsts.join(shared, "key").select(
         "key", "whole", "first.id", "first.row", "first.start", "count", "hot")
     contexts = stage(_contexts(docs, open_, spec))
@@ -288,8 +290,6 @@ def find(docs: DataFrame, spec: Windows, compare: Compare, group_rows: int = 100
     masks = stage(_flags(contexts, spec, compare, groups))
     judged = firsts.join(masks.groupBy("whole").agg(F.bit_or("mask").alias("mask")), "whole",
                          "left").where("n > 1 OR mask IS NOT NULL")
-    # written, so that both sides of the next join are plain shuffles, which can be split where
-    # a third of all runs are equal
     judged = stage(judged.select("whole", "first", "mask"))
     own = F.struct("id", "start") if spec.within else F.struct("id")
     head = F.struct("first.id", "first.start") if spec.within else F.struct("first.id")

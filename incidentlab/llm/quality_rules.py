@@ -16,7 +16,7 @@ from .common import SPACES, let, stage, text_key
 
 SYMBOLS = "#*$%&|<>"
 
-#: Fixed lists: frequent function words, the bins of the word histogram.
+#: Fixed lists: frequent function words, the bins of the word histogram; the rest is "other".
 COMMON_WORDS = {
     "de": "der die das und in zu den von mit auf für ist im nicht ein eine sich dem des als auch",
     "en": "the of and to in that is was for it with as be on by at this are from or an have not",
@@ -33,15 +33,18 @@ CHAR_CLASSES = {
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters of the verdict. A histogram is judged only from its minimum size on."""
+    """Parameters of the verdict. A histogram is judged only from its minimum size on. Words are
+    held to a distance of ``max_word_distance`` + ``word_scatter`` / sqrt(words), as the histogram
+    of a short text scatters more."""
 
     window: int = 5
     min_words: int = 10
     max_repeat_percent: int = 20
     min_chars: int = 300
     max_char_distance: float = 0.30
-    min_common_words: int = 100
-    max_word_distance: float = 0.50
+    min_text_words: int = 50
+    max_word_distance: float = 0.10
+    word_scatter: float = 2.8
     common_words: dict = field(default_factory=lambda: dict(COMMON_WORDS))
 
 
@@ -123,6 +126,10 @@ def _divergence(p: Column, q: Column) -> Column:
         parts, F.lit(0.0), lambda s, v: s + v) / 2))
 
 
+def _total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, v: s + v)
+
+
 def profile(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
             text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per input row: the base counts and both histograms (``classes``, ``commons``)."""
@@ -149,15 +156,18 @@ def profile(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     per_doc = per_doc.select(F.col("id").alias("id2"), F.col("key").alias("key2"),
                              bins.alias("commons"))
     none = F.array_repeat(F.lit(0.0), len(vocabulary))
-    return base.join(
+    listed = base.join(
         per_doc, base["id"].eqNullSafe(per_doc["id2"]) & (base["key"] == per_doc["key2"]), "left",
     ).select(*base.columns, F.coalesce("commons", none).alias("commons"))
+    # the last bin holds the words that are not listed
+    return listed.withColumn("commons", F.concat("commons", F.array(F.greatest(
+        F.lit(0.0), F.col("n_words") - _total("commons")))))
 
 
 def references(profiles: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list, list]]:
     """Summed histograms of each listed language, and of all documents under ''. Languages are a
     parameter, so this is a handful of rows whatever the size of the table."""
-    n_classes, n_words = len(CHAR_CLASSES) + 1, len(vocabulary_of(rules))
+    n_classes, n_words = len(CHAR_CLASSES) + 1, len(vocabulary_of(rules)) + 1
     listed = F.when(F.col("lang").isin(list(rules.common_words)), F.col("lang")).otherwise("")
     rows = profiles.groupBy(listed.alias("lang")).agg(
         F.array(*[F.sum(F.get("classes", F.lit(i))) for i in range(n_classes)]).alias("c"),
@@ -180,15 +190,15 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text:
     Distances are those to the nearest language reference, so that a wrong or missing language
     label costs nothing. A null or empty text has no words and fails. Null ids are kept. Repeated
     rows get equal results. Columns other than the three named are ignored, whatever their names.
-    An empty table gives no rows. A text with fewer characters or listed words than the guards
-    ask is not judged by that histogram (its distance is null).
+    An empty table gives no rows. A text with fewer characters or words than the guards ask is not
+    judged by that histogram (its distance is null); words are counted whether listed or not.
     """
     profiles = stage(profile(docs, rules, id_col, text, lang))
     refs = references(profiles, rules)
 
     def nearest(column: str, k: int, enough: int) -> Column:
         known = [r[k] for r in refs.values() if sum(r[k]) > 0]
-        total = F.aggregate(column, F.lit(0.0), lambda s, v: s + v)
+        total = _total(column)
         if not known:
             return F.lit(None).cast("double")
         apart = F.array_min(F.array(*[_divergence(F.col(column), F.lit(r)) for r in known]))
@@ -196,11 +206,14 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text:
 
     repeated = 100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     failed = (F.col("n_words") < rules.min_words) | repeated
+    most = rules.max_word_distance + rules.word_scatter / F.sqrt(
+        F.greatest(F.lit(1.0), _total("commons")))
     far = (F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False))
-           | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False)))
+           | F.coalesce(F.col("word_distance") > F.col("most"), F.lit(False)))
     return profiles.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", failed.alias("base_failed"),
         nearest("classes", 0, rules.min_chars).alias("char_distance"),
-        nearest("commons", 1, rules.min_common_words).alias("word_distance"),
-    ).withColumn("kept", ~F.col("base_failed") & ~far)
+        nearest("commons", 1, rules.min_text_words).alias("word_distance"),
+        most.alias("most"),
+    ).withColumn("kept", ~F.col("base_failed") & ~far).drop("most")

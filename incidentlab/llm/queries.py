@@ -106,8 +106,12 @@ listed AS (
   SELECT doc_id, w AS bin, count(*)::DOUBLE AS n
   FROM (SELECT doc_id, unnest(string_split_regex(lower(body), '[^\\p{{L}}]+')) AS w FROM src)
   SEMI JOIN vocabulary USING (w) GROUP BY ALL),
+others AS (
+  SELECT t.doc_id, '' AS bin, greatest(0, len(t.w) - coalesce(l.n, 0))::DOUBLE AS n
+  FROM tokens t LEFT JOIN (SELECT doc_id, sum(n) AS n FROM listed GROUP BY 1) l USING (doc_id)),
 histograms AS (
-  SELECT 'c' AS kind, * FROM chars UNION ALL SELECT 'w', * FROM listed),
+  SELECT 'c' AS kind, * FROM chars UNION ALL SELECT 'w', * FROM listed
+  UNION ALL SELECT 'w', * FROM others),
 refs AS (
   SELECT kind, lang, bin, sum(n) AS n FROM histograms JOIN src USING (doc_id) GROUP BY ALL
   UNION ALL SELECT kind, 'all', bin, sum(n) FROM histograms WHERE EXISTS (
@@ -141,8 +145,8 @@ judged AS (
          OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM counts)
 SELECT j.*, NOT base_failed
     AND NOT coalesce(c.total >= {rules.min_chars} AND c.d > {rules.max_char_distance}, false)
-    AND NOT coalesce(w.total >= {rules.min_common_words} AND w.d > {rules.max_word_distance},
-                     false) AS kept
+    AND NOT coalesce(w.total >= {rules.min_text_words} AND w.d >
+                     {rules.max_word_distance} + {rules.word_scatter} / sqrt(w.total), false) AS kept
 FROM judged j
 LEFT JOIN nearest c ON c.kind = 'c' AND c.doc_id = j.doc_id
 LEFT JOIN nearest w ON w.kind = 'w' AND w.doc_id = j.doc_id

@@ -2,10 +2,12 @@
 
 The standard library's parser streams its events once over a page. They make lines (blocks), each
 with its text, the tags and link characters in it, the containers around it and whether one of them
-is boilerplate by its element, role or class. What a word marks is settled at the end of the page: a
-wrapper around the article or around most of the page's text is no boilerplate. Ratios of text to tags are smoothed along the page by
-a Gaussian and split into two clusters; regions (containers) that reach the upper cluster are the
-content, and a region is taken whole, short lines included.
+is boilerplate by its element, role or class. What a word, a form or a menu marks is settled at the
+end of the page: a wrapper around the article or around most of the page's text is no boilerplate.
+Ratios of text to tags are smoothed along the page by a Gaussian and split into two clusters. The
+articles that reach the upper cluster are the content; where none does, the containers that reach it
+are. A region is taken whole, short lines included. Containers and marks are kept as links to what is
+around them, so that memory and time are linear in the page however deep it is.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ INLINE = frozenset((
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr img").split())
 DROPPED = frozenset((
-    "head script style noscript template nav footer aside form button select option textarea "
-    "input iframe object embed svg math canvas audio video dialog menu fieldset legend "
+    "head script style noscript template footer aside button select option textarea "
+    "input iframe object embed svg math canvas audio video dialog fieldset legend "
     "title").split())
+#: Elements that are left out unless they turn out to hold the article.
+HOLDERS = frozenset("form nav menu".split())
 REGIONS = frozenset("article main".split())
 CONTAINERS = frozenset(
     "body div section td th table center blockquote ul ol dl figure details".split())
@@ -54,6 +58,12 @@ AFTER = frozenset("open opened closed".split())
 #: Readers' words stay boilerplate under a heading of that name.
 READERS = frozenset("comment comments disqus reply replies respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose inline elements are words of a sentence or of code, whatever their class.
+SENTENCES = HEADINGS | frozenset("p pre dd blockquote td figcaption".split())
+#: Words that drop an inline element inside a sentence.
+ADVERTS = frozenset((
+    "ad ads adv advert adverts advertisement advertising adsense promo promotion sponsor "
+    "sponsored").split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = ("class", "id", "role")
 
@@ -70,14 +80,19 @@ class Extraction:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page in order: [text, tags, link characters, region, path of containers, marks]."""
+    """Lines of a page in order: [text, tags, link characters, region, container, mark]. Containers
+    and marks are numbers; 0 is the page, and what is around one has a smaller number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, dropped, region, path of containers, marks above
-        self.stack: list[tuple] = [("", False, 0, (0,), ())]
-        self.marks: list[tuple] = []  # words and, inside an article, the id that bears them alone
-        self.regions: dict[int, tuple] = {}  # marks around it, and whether it is the main one
+        # tag, dropped, region, container, innermost mark, innermost block, inside code
+        self.stack: list[tuple] = [("", False, 0, 0, 0, "", False)]
+        self.open: Counter = Counter()
+        self.around = [0]  # of each container the one around it
+        # the mark around, words, inside an article the id that bears them alone, and whether only
+        # an article inside lifts it
+        self.marks: list[tuple] = [(0, frozenset(), "", False)]
+        self.regions: dict[int, tuple] = {}  # mark around it, and whether it is the main one
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = self.serial = 0
@@ -86,11 +101,16 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, region, path, marks = self.stack[-1]
-                self.lines.append([text, self.tags, self.linked, region, path, marks])
+                _, _, region, held, mark, _, _ = self.stack[-1]
+                self.lines.append([text, self.tags, self.linked, region, held, mark])
             self.parts = []
             self.tags = self.linked = 0
 
+    def close_from(self, k: int) -> None:
+        for x in self.stack[k:]:
+            self.open[x[0]] -= 1
+        del self.stack[k:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.end_line()
@@ -98,44 +118,55 @@ class _Lines(HTMLParser):
         stack = self.stack
         if tag not in INLINE and len(stack) > 1:
             closes = CLOSED_BY_SAME.get(tag)
-            if closes:
+            if closes and not any(self.open[x] for x in closes):
+                pass
+            elif closes:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in closes:
-                        del stack[k:]
+                        self.close_from(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select", "body", "article"):
                         break
-            else:
+            elif self.open["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        self.close_from(k)
                         break
                     if stack[k][0] not in INLINE:
                         break
         if tag in VOID:
             return
-        _, dropped, region, path, marks = stack[-1]
+        _, dropped, region, held, mark, block, code = stack[-1]
         if not dropped:
-            around = marks
+            around = mark
             dropped = tag in DROPPED or (tag == "header" and not region)
+            if not dropped and tag in HOLDERS:
+                mark = self.add_mark(mark, frozenset(), "", tag != "form")
             if not dropped and attrs:
                 allowed = LAYOUT if tag in REGIONS else HEADING if region else frozenset()
                 dropped, words, named = self.marked(tag, attrs, allowed)
                 if words and tag in INLINE:
-                    dropped = True
+                    # a sentence, or a line that has begun, keeps its words
+                    spoken = block in SENTENCES or any(not x.isspace() for x in self.parts)
+                    dropped = not code and (not spoken or not words.isdisjoint(ADVERTS))
                 elif words:
-                    self.marks.append((words, named if region else ""))
-                    marks = (*marks, len(self.marks) - 1)
+                    mark = self.add_mark(mark, words, named if region else "", False)
             if not region and (tag in REGIONS or ("role", "main") in attrs):
                 self.serial += 1
                 region = self.serial
                 self.regions[region] = (around, tag != "article")
             if tag in CONTAINERS or tag in REGIONS:
-                self.serial += 1
-                path = (*path, self.serial)
+                self.around.append(held)
+                held = len(self.around) - 1
         if tag == "a":
             self.in_link += 1
-        stack.append((tag, dropped, region, path, marks))
+        code = code or tag in ("pre", "code")
+        self.open[tag] += 1
+        stack.append((tag, dropped, region, held, mark, block if tag in INLINE else tag, code))
+
+    def add_mark(self, around: int, words: frozenset, named: str, strict: bool) -> int:
+        self.marks.append((around, words, named, strict))
+        return len(self.marks) - 1
 
     def marked(self, tag: str, attrs: list, allowed: frozenset) -> tuple[bool, frozenset, str]:
         """Whether the element is hidden, its boilerplate words, and its id if only that has any."""
@@ -161,36 +192,52 @@ class _Lines(HTMLParser):
     def settled(self, how: Extraction) -> list[list]:
         """The lines that no mark drops. A mark is lifted from what holds the article or most of the
         page's text, and from an article's section whose id is its heading."""
+        marks = self.marks
         size: Counter = Counter()
-        holds: dict[tuple, int] = {}
+        holds: dict[int, int] = {}
         starts: dict[int, list] = {}
         for x in self.lines:
-            marks, region = x[5], x[3]
-            size[marks] += max(0, len(x[0]) - x[2])
-            if marks:
-                around, main = self.regions.get(region, (None, False))
-                if around == marks:
-                    holds[marks] = max(holds.get(marks, 0), 1 + main)
-                first = starts.setdefault(marks[-1], [x[0], 0, 0])
+            mark, region = x[5], x[3]
+            size[mark] += max(0, len(x[0]) - x[2])
+            if mark:
+                around, main = self.regions.get(region, (0, False))
+                if around == mark:
+                    holds[mark] = max(holds.get(mark, 0), 1 + main)
+                first = starts.setdefault(mark, [x[0], 0, 0])
                 first[1] += len(x[0])
                 first[2] += x[2]
         if not starts:
             return self.lines
         lifted = {m for m, (head, n, linked) in starts.items()
-                  if self.marks[m][1] and not self.marks[m][0] & READERS
-                  and _slug(head) == _slug(self.marks[m][1]) and 2 * linked <= n}
-        layout = {p: all(self.marks[m][0] <= LAYOUT for m in p) for p in size}
-        shown = sum(n for p, n in size.items() if lifted.issuperset(p))
-        for p in sorted(size, key=lambda p: (-holds.get(p, 0), not layout[p], -size[p], p)):
-            if lifted.issuperset(p):
+                  if marks[m][2] and not marks[m][1] & READERS
+                  and _slug(head) == _slug(marks[m][2]) and 2 * linked <= n}
+        layout, strict = [True], [False]
+        for around, words, _, only in marks[1:]:
+            layout.append(layout[around] and words <= LAYOUT)
+            strict.append(strict[around] or only)
+
+        def clear() -> list[bool]:
+            """Which marks are lifted with all around them."""
+            free = [True]
+            for m in range(1, len(marks)):
+                free.append(m in lifted and free[marks[m][0]])
+            return free
+
+        free = clear()
+        shown = sum(n for m, n in size.items() if free[m])
+        for m in sorted(size, key=lambda m: (-holds.get(m, 0), not layout[m], -size[m], m)):
+            if free[m] or (strict[m] and m not in holds):
                 continue
-            enough = max(0 if p in holds else how.least, (1 if layout[p] else how.times) * shown)
-            if size[p] and (holds.get(p) == 2 or size[p] >= enough):
-                lifted.update(p)
-                shown = sum(n for q, n in size.items() if lifted.issuperset(q))
+            enough = max(0 if m in holds else how.least, (1 if layout[m] else how.times) * shown)
+            if size[m] and (holds.get(m) == 2 or size[m] >= enough):
+                while not free[m]:
+                    lifted.add(m)
+                    m = marks[m][0]
+                free = clear()
+                shown = sum(n for q, n in size.items() if free[q])
         out, tags = [], 0
         for x in self.lines:
-            if lifted.issuperset(x[5]):
+            if free[x[5]]:
                 x[1] += tags
                 out.append(x)
                 tags = 0
@@ -202,11 +249,13 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 if tag == "a":
                     self.in_link = max(0, self.in_link - 1)
-                del self.stack[k:]
+                self.close_from(k)
                 break
             if tag in INLINE and self.stack[k][0] not in INLINE:
                 break  # an inline end tag closes nothing outside its block
@@ -258,29 +307,33 @@ def main_text(html: str, how: Extraction = Extraction()) -> str:
     parser.close()
     parser.end_line()
     lines = parser.settled(how)
-    if any(line[3] for line in lines):
-        lines = [line for line in lines if line[3]]
     if not lines:
         return ""
     ratio = np.array([max(0, len(x[0]) - x[2]) / (1 + x[1]) for x in lines])
     kernel = np.exp(-0.5 * (np.arange(-how.radius, how.radius + 1) / how.sigma) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel, "full")[how.radius:-how.radius]
     smooth = np.convolve(ratio, kernel, "full")[how.radius:-how.radius] / weight
-    content = _upper_cluster(smooth, how.apart)
-    regions = {lines[i][3] or lines[i][4][-1] for i in np.flatnonzero(content)}
-    # what stands between content lines of the same parent belongs to the text as well
+    content = np.flatnonzero(_upper_cluster(smooth, how.apart))
+    articles = {lines[i][3] for i in content} - {0}
+    if articles:
+        return " ".join(x[0] for x in lines if x[3] in articles)
+    # no article is dense: containers that reach the upper cluster, with all that is in them, and
+    # what stands between content lines of the same parent
+    around = parser.around
+    inside = [False] * len(around)
     span: dict = {}
-    for i in np.flatnonzero(content):
-        span.setdefault(lines[i][4][-2:][0], [i, i])[1] = i
-
-    def inside(i: int, region: int, path: tuple) -> bool:
-        if region or not regions.isdisjoint(path):
-            return region in regions if region else True
-        first, last = span.get(path[-2:][0], (1, 0))
+    for i in content:
+        inside[lines[i][4]] = True
+        span.setdefault(around[lines[i][4]], [i, i])[1] = i
+    for c in range(1, len(around)):
+        inside[c] = inside[c] or inside[around[c]]
+
+    def between(i: int, parent: int) -> bool:
+        first, last = span.get(parent, (1, 0))
         return first <= i <= last
 
-    kept = [x[0] for i, x in enumerate(lines) if inside(i, x[3], x[4])]
-    return " ".join(kept)
+    return " ".join(x[0] for i, x in enumerate(lines)
+                    if inside[x[4]] or between(i, around[x[4]]))
 
 
 def extract(pages: DataFrame, how: Extraction = Extraction(), id_col: str = "page_id",

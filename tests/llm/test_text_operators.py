@@ -307,6 +307,43 @@ def test_ids_made_from_headings(title):
         assert html_text.main_text(PAGE.format(body=body)) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<form id='aspnetForm'><nav><a>one</a></nav><article><p>{LONG * 3}</p></article></form>", LONG * 3),
+    (f"<form id='aspnetForm'><div><p>{LONG * 3}</p></div></form>", LONG * 3),
+    (f"<nav><a href=x>one</a><article><p>{LONG}</p></article>", LONG),
+    (f"<nav>Menu</nav><form>Name<input></form><article><p>{LONG}</p></article>", LONG),
+    (f"<article><p><a class='related'>See it</a> {LONG}</p></article>", "See it " + LONG),
+    (f"<article><p>{LONG}<span class='ad'>Buy</span></p><a class='share'>Share</a></article>", LONG),
+    ("<article><pre><code>x <span class='hljs-comment'># note</span> <span class='token comment'>y"
+     f"</span></code></pre><p>{LONG}</p></article>", "x # note y " + LONG)])
+def test_forms_menus_and_inline_words(page, want):
+    assert html_text.main_text(page) == want.strip()
+
+
+def test_clusters_choose_the_regions():
+    """Without two clusters, everything would be one region."""
+    teasers = "".join(f"<article><a href=x{i}>Teaser number {i}</a></article>" for i in range(4))
+    links = "".join(f"<div><a href=y{i}>Elsewhere {i}</a></div>" for i in range(6))
+    text = f"<p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    off = html_text.Extraction(apart=float("inf"))
+    for page in (f"{teasers}<div>{text}</div>{links}", f"{links}<div>{text}</div>{links}",
+                 f"{teasers}<article>{text}</article>{links}"):
+        assert html_text.main_text(page) == (LONG * 7).strip()
+        assert html_text.main_text(page, off) != (LONG * 7).strip()
+
+
+def test_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    for page in ("<div>" * 100000 + "deep", "<div class='menu'>" * 20000 + "deep " * 100,
+                 "<div>" * 50000 + "</b>" * 50000 + "<li>x" * 50000):
+        tracemalloc.start()
+        assert html_text.main_text(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400 * len(page)
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
 

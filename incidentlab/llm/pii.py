@@ -7,6 +7,7 @@ numpy. Its spans are added where they meet no base span; base spans always stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -367,16 +368,39 @@ def field_spans(field: Field, texts: list[str], batch: int = 512) -> list[list[S
     return out
 
 
+class _Taken:
+    """Places that spans cover: those known at first, joined where they overlap, and those taken
+    since, which come in the order of their starts."""
+
+    def __init__(self, places: Iterator[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.last = 0
+        for a, b in sorted(places):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        """Whether nothing covers a part of it; if so it is taken."""
+        k = bisect.bisect_left(self.starts, b)
+        if a < self.last or (k and self.ends[k - 1] > a):
+            return False
+        self.last = b
+        return True
+
+
 def find(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans and all spans, by kind as listed, then by start."""
     result = []
     for text, more in zip(texts, field_spans(field, texts)):
         base = base_spans(text)
-        spans, seen = set(base), sorted((a, b) for _, a, b in base)
+        spans, taken = set(base), _Taken((a, b) for _, a, b in base)
         for kind, a, b in more:
-            if not any(a < e and s < b for s, e in seen):
+            if taken.free(a, b):
                 spans.add((kind, a, b))
-                seen.append((a, b))
         result.append((base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return result
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,31 @@ def test_segments_of_one_run_give_the_labels_of_the_whole(monkeypatch):
     assert cut == pii.field_spans(field, texts)
 
 
+def test_added_spans_meet_no_other():
+    rng = random.Random(6)
+    for _ in range(2000):
+        known = [(a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), rng.randrange(6))]
+        more = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), rng.randrange(6)))
+        taken, want = pii._Taken(iter(known)), list(known)
+        for a, b in more:
+            free = not any(a < e and s < b for s, e in want)
+            assert taken.free(a, b) == free
+            if free:
+                want.append((a, b))
+
+
+def test_many_numbers_take_linear_time():
+    field = pii.train(pii.labelled_table())
+    times = []
+    for n in (4000, 16000):
+        text = " ".join(f"tel. 030 {i % 9}{i:06d} office" for i in range(n))
+        start = time.process_time()
+        _, spans = pii.find(field, [text])[0]
+        times.append(time.process_time() - start)
+        assert len(spans) > n / 2
+    assert times[1] < 8 * times[0]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(4)
     n = len(pii.LABELS)

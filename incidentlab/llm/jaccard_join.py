@@ -321,7 +321,7 @@ def _remaining(lists: DataFrame, texts: DataFrame, labels: DataFrame | None, che
     """Pairs of sets that no relation decides: not connected yet, of fitting sizes and positions.
     Sets with a common leader meet in the lists of their differences from it, all others in the
     lists of their shingles."""
-    votes = checked.groupBy("a").agg(F.count("*").alias("votes"))
+    votes = stage(checked.groupBy("a").agg(F.count("*").alias("votes")))
     leaders = checked.join(votes, "a").groupBy(F.col("b").alias("id")).agg(
         F.max(F.struct("votes", "a")).alias("first")).select("id", F.col("first.a").alias("leader"))
     entries = stage(_open(lists, labels).join(leaders, "id", "left"))
@@ -379,7 +379,7 @@ def _apart_lists(led: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
 
     full = both.select("leader", "id", "label", "left", "right").mapInArrow(
         emit, "leader long, id long, label long, n int, size int, shingle long")
-    often = full.groupBy("leader", "shingle").agg(F.count("*").alias("m")).where("m > 1")
+    often = stage(full.groupBy("leader", "shingle").agg(F.count("*").alias("m")).where("m > 1"))
     per_set = full.join(often, ["leader", "shingle"]).groupBy("leader", "id", "label").agg(
         F.first("n").alias("n"), F.first("size").alias("size"),
         F.sort_array(F.collect_list(F.struct("m", "shingle"))).alias("common"))

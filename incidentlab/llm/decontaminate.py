@@ -2,9 +2,10 @@
 
 Every window of as many words as a benchmark item has is a candidate for the items of that size. A
 window that shares no word shingle with them has similarity 0 and is passed over; each other one
-gets a SimHash fingerprint. Fingerprints are cut into blocks: two within the radius differ in some
-block by no more than radius // blocks bits, so looking each block up among the items' neighbours
-finds all items within the radius. Candidates are then verified by their exact weighted similarity.
+gets a SimHash fingerprint of 16-bit blocks. Two fingerprints within the radius agree, but for
+``reach`` bits each, in a number of blocks that follows from the radius (``_Size``). Each block is
+looked up among the items' neighbours; items found in so many blocks are all those within the radius
+and few others. Candidates are then verified by their exact weighted similarity.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Match:
-    """Parameters. A similarity of 0.8 is expected at about 10 of 64 bits; the radius leaves room.
-    ``block_bytes`` bounds the benchmark text that one pass over the documents carries."""
+    """Parameters. A similarity of 0.8 is expected at 29 of 192 bits with a deviation of 5; the
+    radius leaves room for three. ``block_bytes`` and ``block_items`` bound the benchmark that one
+    pass over the documents carries (some 50 kB of index an item)."""
 
     shingle: int = 5
     similarity: float = 0.8
-    bits: int = 64
-    radius: int = 24
-    blocks: int = 8
+    blocks: int = 12
+    radius: int = 43
     block_bytes: int = 4 << 20
+    block_items: int = 4000
 
 
 def words_of(text: str) -> list[str]:
@@ -68,14 +70,25 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _bits(values: np.ndarray, bits: int) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle's hash."""
-    return (((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.int32)
-            * 2 - 1)
+def _signs(values: np.ndarray, blocks: int) -> np.ndarray:
+    """+1 or -1 for each of the 16 bits a block of each shingle's hash."""
+    words = np.stack([_mix(values + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64)))
+                      for w in range(-(-blocks // 4))], axis=1)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, count=16 * blocks)
+    return bits.astype(np.int32) * 2 - 1
+
+
+def _fingerprints(sums: np.ndarray) -> np.ndarray:
+    """Rows of 16-bit blocks: where a sum is positive."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
 class _Size:
-    """The items of one size with the block index over their fingerprints."""
+    """The items of one size with the block index over their fingerprints.
+
+    If two fingerprints lie within the radius, at most radius // (reach + 1) blocks differ by more
+    than ``reach`` bits, so that the others, ``need`` at least, are found by their neighbours.
+    """
 
     def __init__(self, size: int, items: list[tuple[object, np.ndarray]], how: Match) -> None:
         self.size, self.k, self.how = size, min(how.shingle, size), how
@@ -83,39 +96,38 @@ class _Size:
         self.shingles = [_shingles(codes, self.k) for _, codes in items]
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         self.known = np.unique(np.concatenate(self.shingles))
-        self.prints = np.array([self.fingerprint(_bits(s, how.bits).sum(axis=0)[None])[0]
-                                for s in self.shingles])
-        self.cuts = np.linspace(0, how.bits, how.blocks + 1).astype(int)
-        self.index: list[dict[int, list[int]]] = []
-        for lo, hi in zip(self.cuts, self.cuts[1:]):
-            near: dict[int, list[int]] = {}
-            flips = [sum(1 << b for b in c) for d in range(how.radius // how.blocks + 1)
-                     for c in combinations(range(hi - lo), d)]
-            for i, value in enumerate(self.block(self.prints, lo, hi).tolist()):
-                for flip in flips:
-                    near.setdefault(value ^ flip, []).append(i)
-            self.index.append(near)
-
-    @staticmethod
-    def fingerprint(sums: np.ndarray) -> np.ndarray:
-        weights = np.uint64(1) << np.arange(sums.shape[1], dtype=np.uint64)
-        return ((sums > 0) * weights).sum(axis=1, dtype=np.uint64)
-
-    @staticmethod
-    def block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return (prints >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-
-    def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs of window and item within the radius, by the block index."""
-        values, own = np.unique(prints, return_inverse=True)
-        found: list[set[int]] = [set() for _ in values]
-        for (lo, hi), near in zip(zip(self.cuts, self.cuts[1:]), self.index):
-            for v, value in enumerate(self.block(values, lo, hi).tolist()):
-                found[v].update(near.get(value, ()))
-        for w, v in enumerate(own.tolist()):
-            for i in found[v]:
-                if int(values[v] ^ self.prints[i]).bit_count() <= self.how.radius:
-                    yield w, i
+        self.prints = _fingerprints(np.stack([_signs(s, how.blocks).sum(axis=0)
+                                              for s in self.shingles]))
+        reach = how.radius // how.blocks
+        self.need = how.blocks - how.radius // (reach + 1)
+        flips = np.array([sum(1 << b for b in c) for d in range(reach + 1)
+                          for c in combinations(range(16), d)], np.uint16)
+        owners = np.repeat(np.arange(len(items), dtype=np.int32), len(flips))
+        self.index: list[tuple[np.ndarray, np.ndarray]] = []
+        for values in self.prints.T:
+            near = (values[:, None] ^ flips).ravel()
+            order = np.argsort(near, kind="stable")
+            self.index.append((near[order], owners[order]))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items within the radius of each other, by the block index."""
+        values, own = np.unique(prints, axis=0, return_inverse=True)
+        n, pairs = len(self.ids), []
+        for block, (near, owners) in zip(values.T, self.index):
+            lo, hi = np.searchsorted(near, block), np.searchsorted(near, block, "right")
+            total = int((hi - lo).sum())
+            at = np.arange(total) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+            pairs.append(np.repeat(np.arange(len(values)), hi - lo) * n + owners[at])
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        v, item = np.divmod(pair[times >= self.need], n)
+        apart = np.bitwise_count(values[v] ^ self.prints[item]).sum(axis=1, dtype=np.int64)
+        v, item = v[apart <= self.how.radius], item[apart <= self.how.radius]
+        # from distinct fingerprints back to the windows that have them
+        order = np.argsort(own.ravel(), kind="stable")
+        first = np.searchsorted(own.ravel()[order], v)
+        size = np.searchsorted(own.ravel()[order], v, "right") - first
+        at = np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+        return order[at], np.repeat(item, size)
 
     def matches(self, codes: np.ndarray, shared: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """By item: the best similarity and the words (start, count) of its first window."""
@@ -136,10 +148,10 @@ class _Size:
             for at in range(0, len(run), 4096):
                 part = run[at:at + 4096]
                 lo, hi = int(part[0]), int(part[-1]) + per
-                sums = np.concatenate((np.zeros((1, self.how.bits), np.int32), np.cumsum(
-                    _bits(own[lo:hi], self.how.bits), axis=0, dtype=np.int32)))
-                prints = self.fingerprint(sums[per:] - sums[:-per])
-                for w, i in self.candidates(prints):
+                sums = np.concatenate((np.zeros((1, 16 * self.how.blocks), np.int32), np.cumsum(
+                    _signs(own[lo:hi], self.how.blocks), axis=0, dtype=np.int32)))
+                prints = _fingerprints(sums[per:] - sums[:-per])
+                for w, i in zip(*map(np.ndarray.tolist, self.candidates(prints))):
                     start = lo + w
                     likeness = self.similarity(values[start:start + per], i)
                     if likeness >= self.how.similarity and likeness > best.get(i, (0.0,))[0]:
@@ -198,7 +210,7 @@ def item_blocks(benchmark: DataFrame, how: Match = Match(), item_col: str = "ite
     block, held = [], 0
     rows = benchmark.select(item_col, text).where(benchmark[text].isNotNull())
     for item, body in rows.toLocalIterator():
-        if block and held + len(body) > how.block_bytes:
+        if block and (held + len(body) > how.block_bytes or len(block) == how.block_items):
             yield block
             block, held = [], 0
         block.append((item, body))

@@ -2,6 +2,7 @@ import random
 import re
 import time
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -254,7 +255,8 @@ def test_contamination_against_all_windows(spark):
             and best_window(t, x) >= 0.8}
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for how in (decontaminate.Match(), decontaminate.Match(block_bytes=300)):
+    for how in (decontaminate.Match(), decontaminate.Match(block_bytes=300),
+                decontaminate.Match(block_items=2)):
         rows = decontaminate.matches(frame, bench, how).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want
     texts = dict(docs)
@@ -265,6 +267,40 @@ def test_contamination_against_all_windows(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_index_holds_all_within_the_radius_and_little_else():
+    rng, how = np.random.default_rng(4), decontaminate.Match()
+    size = decontaminate._Size(
+        60, [(i, rng.integers(1, 1 << 40, 60).astype(np.uint64)) for i in range(200)], how)
+    for i in range(200):
+        near = size.prints[i].copy()
+        for bit in rng.choice(16 * how.blocks, how.radius, replace=False):
+            near[bit // 16] ^= np.uint16(1 << bit % 16)
+        for prints in (near[None], np.stack([near, near])):
+            windows, found = size.candidates(prints)
+            assert [w for w, j in zip(windows, found) if j == i] == list(range(len(prints)))
+    far = rng.integers(0, 1 << 16, (500, how.blocks)).astype(np.uint16)
+    assert len(size.candidates(far)[0]) == 0
+    free = replace(how, radius=16 * how.blocks)  # what the look-up alone lets through
+    size.how = free
+    assert len(size.candidates(far)[0]) < 0.05 * 500 * 200
+
+
+def test_radius_holds_windows_of_the_similarity():
+    rng, how, seen = np.random.default_rng(5), decontaminate.Match(), 0
+    for _ in range(400):
+        item = rng.integers(1, 1 << 40, 60).astype(np.uint64)
+        window = item.copy()
+        window[rng.integers(0, 60, rng.integers(1, 4))] = rng.integers(1 << 41, 1 << 42)
+        a, b = (decontaminate._shingles(x, how.shingle) for x in (item, window))
+        common = len(set(a.tolist()) & set(b.tolist()))
+        if common / (2 * len(a) - common) >= how.similarity:
+            x, y = decontaminate._fingerprints(np.stack(
+                [decontaminate._signs(s, how.blocks).sum(axis=0) for s in (a, b)]))
+            assert np.bitwise_count(x ^ y).sum() <= how.radius
+            seen += 1
+    assert seen > 50
+
+
 def test_contamination_edges(edge_docs, no_docs, spark):
     bench = spark.createDataFrame([(1, "zzz yyy xxx www vvv uuu")], "item_id long, text string")
     assert decontaminate.matches(edge_docs, bench).collect() == []

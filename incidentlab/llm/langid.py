@@ -22,16 +22,17 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Net:
-    """Parameters of the network and of its training. The sample has at most ``languages`` labels
-    (the most frequent ones) and about ``per_language`` rows of each, chosen by a hash, of which
-    ``per_text`` windows each are read."""
+    """Parameters of the network and of its training. The sample has about ``per_language`` rows of
+    each label, chosen by a hash, and ``sample_rows`` at most, so that fewer are read of each where
+    there are many labels; of a row ``per_text`` windows are read. A label is learned if it holds
+    one in ``sample_rows`` of the labelled rows or more; rarer ones have no share in such a sample."""
 
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8
     embedding: int = 8
-    languages: int = 64
     per_language: int = 1500
+    sample_rows: int = 96_000
     per_text: int = 4
     epochs: int = 8
     steps: int = 1000  # at least so many batches, however small the sample
@@ -153,16 +154,19 @@ def train(docs: DataFrame, net: Net = Net(), id_col: str = "doc_id", text: str =
                        docs[lang].cast("string").alias("lang"),
                        (F.lit(True) if learn is None else learn).alias("learn"))
     rows = rows.where(F.col("learn") & F.col("lang").isNotNull() & (F.col("text") != ""))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(net.languages)
-    sizes = {r["lang"]: r["count"] for r in counts.collect()}
-    if not sizes:
+    # the row of all labels comes first; so many labels at most can hold their share of the rows
+    counts = rows.rollup("lang").count().orderBy(F.desc("count"), "lang").limit(
+        net.sample_rows + 1).collect()
+    if len(counts) < 2:
         return None
+    total = counts[0]["count"]
+    sizes = {r["lang"]: r["count"] for r in counts[1:] if r["count"] * net.sample_rows >= total}
     langs = sorted(sizes)
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for name in langs:
-        bound = min(1 << 30, int((1 << 30) * net.per_language / sizes[name]))
-        chosen = chosen | ((F.col("lang") == name) & (draw < bound))
+    share = min(net.per_language, net.sample_rows / len(langs))
+    bounds = F.create_map(*[F.lit(x) for name in langs for x in (
+        name, min(1 << 30, int((1 << 30) * share / sizes[name])))])
+    chosen = draw < F.coalesce(F.element_at(bounds, F.col("lang")), F.lit(0))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

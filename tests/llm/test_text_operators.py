@@ -209,6 +209,17 @@ def test_language_edges(edge_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(plain).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    """More labels than any list of the most frequent ones would hold, the last of them rare."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, " ".join(letters[k % 26] + letters[(k // 26 + j) % 26] for j in range(9)),
+             f"l{k:02}") for k in range(70) for i in range(2 if k == 69 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.Net(steps=1)
+    assert langid.train(docs, net).langs == [f"l{k:02}" for k in range(70)]
+    assert len(langid.train(docs, replace(net, sample_rows=100)).langs) == 69
+
+
 def test_windows_hold_every_byte():
     net = langid.Net()
     for n in (0, 1, 124, 125, 126, 128, 129, 1000):

@@ -118,14 +118,15 @@ TEMPLATES = (
 )
 
 
-def labelled_table(copies: int = 8, seed: int = 5) -> list[tuple[str, list[Span]]]:
+def labelled_table(copies: int = 8, seed: float = 5,
+                   templates: tuple[str, ...] = TEMPLATES) -> list[tuple[str, list[Span]]]:
     """The default training table: each template with ``copies`` draws of its digits."""
     rng, rows = random.Random(seed), []
-    for template in TEMPLATES:
+    for template in templates:
         for _ in range(copies):
             filled = re.sub("#", lambda _: rng.choice("0123456789"), template)
             text, spans, at = "", [], 0
-            for m in re.finditer(r"\[(\w+):(.*?)\](?=[ .]|$)", filled):
+            for m in re.finditer(r"\[(\w+):(.*?)\](?=[ .,)]|$)", filled):
                 text += filled[at:m.start()]
                 spans.append((m.group(1), len(text), len(text) + len(m.group(2))))
                 text += m.group(2)
@@ -138,6 +139,8 @@ def labelled_table(copies: int = 8, seed: int = 5) -> list[tuple[str, list[Span]
 
 _WORD = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'*#$%&|<>=[]{}"
+#: Groups of hexadecimal digits between colons, with an empty group or a letter: not a time of day.
+_GROUPS = re.compile(r"(?=.*(?:::|[a-f]))[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Words on each side of a word with a digit or @ that its segment takes in.
 CONTEXT = 2
@@ -202,6 +205,7 @@ def features(words: list[str]) -> list[list[str]]:
             "w=" + lower[i], "c-=" + before[:16] + "/" + short[i][:16],
             "c+=" + short[i][:16] + "/" + after[:16], "hex" if n and re.fullmatch(
                 "[0-9a-f]{12,}", word.lower()) and not word.isdigit() else "nohex",
+            "groups" if _GROUPS.fullmatch(word.lower()) else "nogroups",
         ])
     return out
 
@@ -323,6 +327,28 @@ def _valid(kind: str, value: str) -> bool:
     return 1 <= value.find("@") < len(value) - 1
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without marks at its edges and without brackets that it does not open and close
+    itself, or that enclose the whole of it."""
+    open_, partner = [], {}
+    for i in range(a, b):
+        if text[i] == "(":
+            open_.append(i)
+        elif text[i] == ")" and open_:
+            partner[i] = open_.pop()
+            partner[partner[i]] = i
+    while a < b:
+        if text[b - 1] in _EDGE or text[b - 1] == ")" and b - 1 not in partner:
+            b -= 1
+        elif text[a] in _EDGE or text[a] == "(" and a not in partner:
+            a += 1
+        elif text[a] == "(" and partner[a] == b - 1:
+            a, b = a + 1, b - 1
+        else:
+            break
+    return a, b
+
+
 def field_spans(field: Field, texts: list[str], batch: int = 512) -> list[list[Span]]:
     """Valid spans that the random field finds in each text."""
     out: list[list[Span]] = [[] for _ in texts]
@@ -350,9 +376,7 @@ def field_spans(field: Field, texts: list[str], batch: int = 512) -> list[list[S
                     continue
                 while end < len(labels) and LABELS[labels[end]] == "I-" + kind:
                     end += 1
-                a, b = words[t][0], words[end - 1][1]
-                value = text[a:b].rstrip(_EDGE)
-                a, b = a + len(value) - len(value.lstrip(_EDGE)), a + len(value)
+                a, b = _trimmed(text, words[t][0], words[end - 1][1])
                 if a < b and _valid(kind, text[a:b]):
                     out[i].append((kind, a, b))
                 t = end

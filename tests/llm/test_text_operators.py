@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import time
@@ -5,6 +6,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import personal_data, quality_counts
 from pyspark.sql import functions as F
@@ -96,6 +98,57 @@ def test_field_on_held_out_rows():
     assert np.mean([a == b for a, b in zip(found, want)]) >= 0.95
 
 
+#: Sentences whose words, and many of whose forms, are not in the labelled table.
+UNSEEN_TEMPLATES = (
+    "do not hesitate to phone [phone:(###) ###-####] anytime",
+    "voice mail [phone:###-###-####] (24h)", "doctor [phone:0## #######] or nurse",
+    "Praxis [phone:0###/#######] sowie", "Mobil: [phone:01## #######],",
+    "joindre [phone:0# ## ## ## ##] svp", "teléfono [phone:9## ### ###] de",
+    "helpline [phone:0#### ######].", "toll free [phone:1-###-###-####] call",
+    "pager [phone:###.###.####] number", "(office [phone:0## #######])",
+    "charge [card:4### #### #### ###] twice", "debit [card:4###-####-####-####] blocked",
+    "Karte Nr. [card:37## ###### #####] gesperrt", "carte bleue [card:37#############] perdue",
+    "router [ip:fe80::#:##] lost", "peer [ip:2001:db8:##::#] joined",
+    "dns [ip:2001:0db8:####:####:0000:8a2e:0370:7334] ok",
+    "bounce from [email:postmaster@localhost] again", "copied to [email:ops##@buildhost] too",
+    "the year 20## had ### days", "about ##,### visitors in ####", "paragraph ##(#) of act ####",
+    "won ##:## and lost ##:##", "measured #.### grams in ## trials", "from ##:##:## to ##:##:##",
+    "ticket ####### closed", "part ##-####-# in box ##", "item @ #.## each",
+    "block ## row ## seat ##", "sha ##b#c##a#e#f##a#b#c##d#e ok", "grid ####.## by ####.##",
+    "size ### x ### px", "isbn ###-#-####-####-#",
+)
+
+
+def test_field_on_templates_it_has_not_seen(sf_dir):
+    """Values in sentences of their own, each in the middle of prose of the documents."""
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    prose = [w for t in texts for w in (t or "").split()[:50] if w.isalpha()]
+    field, rng = pii.train(pii.labelled_table()), random.Random(2)
+    drawn = [row for t in UNSEEN_TEMPLATES for row in itertools.islice(
+        (r for _ in range(400) for r in pii.labelled_table(1, rng.random(), (t,))
+         if all(pii._valid(k, r[0][a:b]) for k, a, b in r[1])), 4)]
+    assert len(drawn) == 4 * len(UNSEEN_TEMPLATES)
+    right = wanted = given = 0
+    for text, spans in drawn:
+        before = " ".join(rng.choices(prose, k=12)) + " "
+        whole = before + text + " " + " ".join(rng.choices(prose, k=12))
+        base = pii.base_spans(whole)
+        found = {s for s in pii.field_spans(field, [whole])[0] if s not in base}
+        want = {(k, a + len(before), b + len(before)) for k, a, b in spans} - set(base)
+        right, wanted, given = right + len(found & want), wanted + len(want), given + len(found)
+    assert right >= 0.8 * wanted
+    assert right >= 0.95 * given
+
+
+def test_spans_open_and_close_their_brackets():
+    for text, value in (("(030 1234567)", "030 1234567"), ("(030) 1234567", "(030) 1234567"),
+                        ("030 1234567),", "030 1234567"), ("((030) 1234567).", "(030) 1234567"),
+                        ("(030", "030"), ("()", "")):
+        a, b = pii._trimmed(text, 0, len(text))
+        assert text[a:b] == value
+    assert pii._trimmed("(" * 300000 + "7", 0, 300001) == (300000, 300001)
+
+
 def test_values_at_any_place_of_a_run_of_numbers():
     field = pii.train(pii.labelled_table())
     for value in ("tel. (555) 123-4567 today", "le 01 23 45 67 89 avant",

@@ -8,7 +8,7 @@ records in one join; a record then takes the rules of its incident that it satis
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,10 +55,10 @@ def rules_per_key(rules: DataFrame, key: str, conditions: Sequence[str]) -> Data
     return checked.groupBy(key).agg(F.array_sort(F.collect_list(rule)).alias("__rules"))
 
 
-def _holds(rule: Column, conditions: Sequence[str]) -> Column:
+def _holds(rule: Column, conditions: Mapping[str, Column]) -> Column:
     def admitted(c: str) -> Column:
         listed = rule[f"if_{c}"]
-        inside = F.array_contains(listed, F.col(c).cast("string"))
+        inside = F.array_contains(listed, conditions[c].cast("string"))
         return listed.isNull() | F.coalesce(inside, F.lit(False))
 
     return reduce(lambda a, b: a & b, [admitted(c) for c in conditions], F.lit(True))
@@ -66,12 +66,12 @@ def _holds(rule: Column, conditions: Sequence[str]) -> Column:
 
 def correct(
     df: DataFrame, rules: DataFrame, key: str, columns: Sequence[str],
-    conditions: Sequence[str] = (), conflicts: str = "apply",
+    conditions: Sequence[str] | Mapping[str, Column] = (), conflicts: str = "apply",
 ) -> DataFrame:
     """Apply ``rules`` (``key``, ``rule`` (its number), ``column_name``, ``op``, ``value`` as text,
     and any of ``conditions``) to the cells of ``columns``.
 
-    A condition is a column of ``df``; a rule holds for a record whose value is the rule's one, or in
+    A condition is a column of ``df``, or a name with what it stands for; a rule holds for a record whose value is the rule's one, or in
     the rule's list, and a NULL in the rule admits every record. A missing value of a record
     satisfies no condition. Rules see the values before any correction, and are applied in the
     order of their numbers: an ``add`` after a ``set`` adds to the new value, an ``add`` to a missing
@@ -80,8 +80,10 @@ def correct(
     are ignored; keys of ``df`` without rules, NULL among them, stay as they are."""
     if conflicts not in ("apply", "fail"):
         raise ValueError(f"unknown way to settle conflicts {conflicts!r}")
+    if not isinstance(conditions, Mapping):
+        conditions = {c: F.col(c) for c in conditions}
     own = rules.where(F.col("column_name").isin(*columns))
-    joined = null_safe_join(df, rules_per_key(own, key, conditions), [key], "left")
+    joined = null_safe_join(df, rules_per_key(own, key, list(conditions)), [key], "left")
     # one list of a record's own rules, made once for all of its columns
     held = F.filter("__rules", lambda r: _holds(r, conditions))
     joined = joined.withColumn("__held", held)

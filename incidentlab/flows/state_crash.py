@@ -13,7 +13,7 @@ from ..clean import any_match, exclude, fill_zero, recode_values
 from ..corrections import correct
 from ..geo import project_points
 from ..io import stage
-from ..rollup import firsts, person_ids, propagate
+from ..rollup import firsts, person_ids, propagate, propagate_within, together
 from ..rsem import first_match, matches
 
 ID, UNIT = "Collision Report Number", "Unit Number"
@@ -77,23 +77,28 @@ def build(
     persons inside a unit; ``excluded`` holds keys of rows to drop; ``fixes`` are
     rules of ``corrections`` by incident and, if they say so, record, unit (or several units) and
     age; they are applied to the finished columns."""
-    df = exclude(raw, excluded) if excluded is not None else raw
+    # The keys as a table of its own, so that Spark sees how few they are.
+    df = exclude(raw, stage(excluded.distinct())) if excluded is not None else raw
     df = df.withColumns({
         "pursuit_driver": any_match(ACTIONS, "pursuit"),
         "parked_empty_car": matches("Vehicle Action 1", "Unoccupied").cast("int"),
     })
-    df = stage(df)  # numbering and every branch of propagate read it
-    order = ["Involved Person Type", *tie]
-    df = propagate(
-        person_ids(df, ID, UNIT, order), ID, F.col("pursuit_driver") == 1, UNIT, source=df,
-        aggs={
-            "records": (F.count(F.lit(1)), F.sum),
-            "persons": (F.count_if(F.col("parked_empty_car") == 0), F.sum),
-            # of the first person of the first unit; a missing unit comes last
-            "point": (firsts(order, {"x": "State Plane X", "y": "State Plane Y"}),
-                      lambda c: F.min_by(c, F.struct(F.col(UNIT).isNull(), F.col(UNIT)))),
-        },
-    )
+    df = stage(df)  # the sizes, the numbering and every branch of propagate read it
+    order, pursued = ["Involved Person Type", *tie], F.col("pursuit_driver") == 1
+    records, persons = F.count(F.lit(1)), F.count_if(F.col("parked_empty_car") == 0)
+    plane = {"x": "State Plane X", "y": "State Plane Y"}
+    dealt = together(df, ID)
+    # The point is that of the first person of the first unit; a missing unit comes last.
+    if dealt is not None:
+        df = propagate_within(
+            person_ids(dealt, ID, UNIT, order, dealt=True), ID, pursued, UNIT,
+            aggs={"records": records, "persons": persons, "point": firsts([UNIT, *order], plane)})
+    else:
+        first_unit = F.struct(F.col(UNIT).isNull(), F.col(UNIT))
+        df = propagate(
+            person_ids(df, ID, UNIT, order), ID, pursued, UNIT, source=df,
+            aggs={"records": (records, F.sum), "persons": (persons, F.sum),
+                  "point": (firsts(order, plane), lambda c: F.min_by(c, first_unit))})
     df = df.withColumn("pursuit_tag", (F.col("flagged_units") > 0).cast("int"))
     df = project_points(
         df.withColumns({"px": F.col("point.x"), "py": F.col("point.y")}), "px", "py"

@@ -11,7 +11,7 @@ from .. import names
 from ..clean import any_code, fill_zero, recode_values
 from ..corrections import correct
 from ..io import stage, union_sources
-from ..rollup import propagate
+from ..rollup import propagate, propagate_within, together
 from ..rsem import first_match, if_else_na
 
 # Factor codes of the state person files.
@@ -124,15 +124,19 @@ def build(
         raw = _add_factors(raw, factors)
     if extra is not None:
         raw = union_sources([raw, extra])
-    df = flags(raw.withColumn("record_id", record_id()))
+    df = flags(raw)
     if fixes is not None:
-        df = correct(df, fixes, "par", CORRECTED, conditions=["record_id"])
+        df = correct(df, fixes, "par", CORRECTED, conditions={"record_id": record_id()})
     # Rows without a person type are leftovers unless they are a parked empty car.
     df = stage(df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1)))
 
-    df = propagate(
-        df, "par", F.col("pursuit_driver") == 1, "vnumber", aggs={"records": (F.count(F.lit(1)), F.sum)}
-    )
+    pursued, records, dealt = F.col("pursuit_driver") == 1, F.count(F.lit(1)), together(df, "par")
+    if dealt is not None:
+        df = propagate_within(dealt, "par", pursued, "vnumber", aggs={"records": records})
+    else:
+        df = propagate(df, "par", pursued, "vnumber", aggs={"records": (records, F.sum)})
+    # The long id is made of columns that nothing above changes, so it is not stored or moved.
+    df = df.withColumn("record_id", record_id())
     df = fill_zero(df, ["pursuit_driver", "pursuit_crash", "pursuit_tag", "is_officer"])
     df = df.withColumn(
         "city_code",

@@ -62,7 +62,7 @@ def stage(df: DataFrame) -> DataFrame:
     of its upstream joins, and the plan would grow with every stage. The table lies in the
     shared folder, so it outlives any executor. The caller's cluster clears that folder."""
     path = shared_folder(df.sparkSession) + "/stage.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

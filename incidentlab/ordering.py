@@ -71,8 +71,20 @@ def number_global(
     ).drop("__range", "__place", "__before", "__tied")
 
 
-def _number_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group, at least if they are more than ``RANGE_ROWS``. Counted when this is
+    called, so hand over a stored table."""
+    rows = df.count()  # no group can be larger; of a stored table only footers are read
+    if rows <= RANGE_ROWS:
+        return rows
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).agg(F.max("__rows")).first()[0]
+
+
+def number_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], out: str = "row_no"
+) -> DataFrame:
     """Plain numbering; each group is one task's."""
+    order = [as_column(c) for c in order]
     inside = Window.partitionBy(*keys).orderBy(*_window_order(order))
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     tied = F.lag(key).over(inside).eqNullSafe(key)
@@ -91,14 +103,14 @@ def number_within(
     table rather than a pipeline."""
     order = [as_column(c) for c in order]
     if df.count() <= largest:  # no group can be larger; of a stored table only footers are read
-        return _number_groups(df, keys, order, out)
+        return number_groups(df, keys, order, out)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     large = stage(sizes.where(F.col("__rows") > largest))
     rows = large.agg(F.sum("__rows")).first()[0]
     if rows is None:
-        return _number_groups(df, keys, order, out)
+        return number_groups(df, keys, order, out)
     large = large.select(*keys)
-    rest = _number_groups(null_safe_join(df, large, keys, "left_anti"), keys, order, out)
+    rest = number_groups(null_safe_join(df, large, keys, "left_anti"), keys, order, out)
     ranged = _ranged(null_safe_join(df, large, keys, "left_semi"), [*map(F.col, keys), *order],
                      max(range_count(rows), -(-rows // largest)))
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

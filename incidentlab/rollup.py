@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import names
 from .io import stage
-from .ordering import keep_first, number_within
+from .ordering import RANGE_ROWS, keep_first, largest_group, number_groups, number_within
 from .rsem import ColumnLike, as_column, first_match, flag, known_level, matches, null_safe_join, strict_count
 
 
@@ -23,6 +23,33 @@ def attach_group(df: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Col
     return null_safe_join(df, totals, keys, "left")
 
 
+def together(df: DataFrame, key: str) -> DataFrame | None:
+    """The rows dealt out by the key, if each of its groups fits a task; None if one does not. Windows
+    over the key, alone or with further columns, then move no row again."""
+    return df.repartition(key) if largest_group(df, [key]) <= RANGE_ROWS else None
+
+
+def propagate_within(
+    df: DataFrame, key: str, cond: Column, unit: str, out: str = "flagged_unit",
+    aggs: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``propagate`` by windows, for rows that ``together`` has dealt out. ``aggs`` are aggregates of
+    all records of the incident."""
+    # Frames of whole groups, in orders that begin with the key and the unit.
+    whole, own, units = (Window.partitionBy(key), Window.partitionBy(key, unit),
+                         Window.partitionBy(key).orderBy(unit))
+    flagged = F.coalesce(cond, F.lit(False))
+    df = df.withColumns({
+        f"in_{out}": F.max(flagged).over(own).cast("int"),
+        "__head": F.rank().over(units) == F.row_number().over(units),
+    })
+    return df.withColumns({
+        out: F.min(F.when(flagged, F.col(unit))).over(whole),
+        f"{out}s": F.count_if(F.col("__head") & (F.col(f"in_{out}") == 1)).over(whole),
+        **{name: a.over(whole) for name, a in (aggs or {}).items()},
+    }).drop("__head")
+
+
 def propagate(
     df: DataFrame, key: str, cond: Column, unit: str, out: str = "flagged_unit",
     aggs: Mapping[str, tuple[Column, Callable[[str], Column]]] | None = None,
@@ -177,10 +204,14 @@ def subset(df: DataFrame, name: str) -> DataFrame:
     return df.where(subset_tags()[name])
 
 
-def person_ids(df: DataFrame, incident: str, unit: str, order: Sequence[ColumnLike]) -> DataFrame:
+def person_ids(
+    df: DataFrame, incident: str, unit: str, order: Sequence[ColumnLike], dealt: bool = False
+) -> DataFrame:
     """Give a running person number inside (incident, unit), and the record id
-    ``<incident>u<unit>p<number>`` built from it."""
-    numbered = number_within(df, [incident, unit], order, out="person_no")
+    ``<incident>u<unit>p<number>`` built from it. ``dealt`` says that the rows come from
+    ``together`` by incident."""
+    number = number_groups if dealt else number_within
+    numbered = number(df, [incident, unit], order, out="person_no")
     return numbered.withColumn(
         "record_id",
         F.concat(F.col(incident).cast("string"), F.lit("u"), F.col(unit).cast("string"),

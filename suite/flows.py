@@ -137,7 +137,8 @@ UNION ALL SELECT {PA_OUT} FROM (SELECT * REPLACE ('X' || incident AS incident, '
 """, "pa")
 def flow_state_person_corrected(t):
     """Counts corrected by incident, and a transcribed supplement in the layout of the files."""
-    ids = lines(t).select(F.col("case_id").alias("n")).distinct().withColumn("par", F.col("n").cast("string"))
+    rows = lines(t)
+    ids = rows.select(F.col("case_id").alias("n")).distinct().withColumn("par", F.col("n").cast("string"))
 
     def rule(number, where, column, op, value):
         return ids.where(where).select("par", F.lit(number).alias("rule"), F.lit(column).alias("column_name"),
@@ -147,7 +148,8 @@ def flow_state_person_corrected(t):
         rule(1, F.col("n") % 7 == 0, "pforms", "add", "3"), rule(2, F.col("n") % 7 == 0, "vforms", "add", "1"),
         rule(3, F.col("n") % 14 == 0, "vforms", "missing", None),
     ])
-    return state_person.minimal(state_persons(t, rules=stage(rules), supplement=F.col("case_id") % 5 == 0)).select(*A_OUT)
+    return state_person.minimal(
+        state_persons(t, rows, rules=stage(rules), supplement=F.col("case_id") % 5 == 0)).select(*A_OUT)
 
 
 @query(f"SELECT {PA_OUT} FROM pa", "pa")
@@ -253,7 +255,7 @@ def flow_state_crash_corrected(t):
         rule(4, n % 10 == 3, "pcat_v", "set", "Officer", record=F.concat("incident", F.lit("u1p1"))),
         rule(5, n % 9 == 2, "persons", "add", "3"),
     ])
-    return state_crash.minimal(state_crashes(t, rules=stage(rules)))
+    return state_crash.minimal(state_crashes(t, rows, rules=stage(rules)))
 
 
 @query(f"SELECT {PB_OUT} FROM pb", "pb")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..io import stage
 from ..link import ABSENT, TAGGED, UNTAGGED, link_full, status, survive
-from ..rollup import attach_group, first_by, nth_by
+from ..rollup import first_by, nth_by
 from ..rsem import null_safe_join
 
 KEYS = ["incident", "county_code", "age", "sex"]
@@ -36,27 +36,26 @@ def link_records(a: DataFrame, b: DataFrame) -> DataFrame:
     incident with pairs, but themselves without a partner, are kept as B-only."""
     tagged = F.col("pursuit_tag") == 1
     has_a, has_b = F.col("record_id_a").isNotNull(), F.col("record_id_b").isNotNull()
-    # Four branches read the first pass and its counts, so both are computed once.
-    first = stage(attach_group(
-        stage(link_full(a.where(tagged), b.where(tagged), KEYS, "record_id", "record_id")),
-        "incident", {"pairs": F.count_if(has_a & has_b)},
-    ))
+    # Four branches read the first pass, two its counts, so both are computed once.
+    first = stage(link_full(a.where(tagged), b.where(tagged), KEYS, "record_id", "record_id"))
+    counts = stage(first.groupBy("incident").agg(F.count_if(has_a & has_b).alias("pairs")))
     matched = first.where(has_a & has_b).withColumns(
         {"status_a": F.lit(TAGGED), "status_b": F.lit(TAGGED)}
     )
-    stray_b = first.where(~has_a & (F.col("pairs") > 0)).withColumns(
+    paired = counts.where(F.col("pairs") > 0).select("incident")
+    stray_b = null_safe_join(first.where(~has_a), paired, ["incident"], "left_semi").withColumns(
         {"status_a": F.lit(ABSENT), "status_b": F.lit(TAGGED)}
     )
     left_a = first.where(has_a & ~has_b).select(
         *KEYS, *[F.col(f"{c}_a").alias(c) for c in a.columns if c not in KEYS]
     )
-    open_incidents = first.where(F.col("pairs") == 0).select("incident").distinct()
+    open_incidents = counts.where(F.col("pairs") == 0).select("incident")
     pool_b = stage(null_safe_join(b, open_incidents, ["incident"], "left_semi"))
     second = status(
         link_full(left_a, pool_b, KEYS, "record_id", "record_id"),
         {"status_a": ("record_id_a", TAGGED), "status_b": ("record_id_b", UNTAGGED)},
     )
-    return matched.drop("pairs").unionByName(second).unionByName(stray_b.drop("pairs"))
+    return matched.unionByName(second).unionByName(stray_b)
 
 
 def consensus(linked: DataFrame, pursued_units: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import names
 from .io import stage
-from .ordering import keep_first, number_within
+from .ordering import RANGE_ROWS, keep_first, largest_group, number_groups, number_within
 from .rsem import first_match, null_safe_join
 
 TAGGED, UNTAGGED, ABSENT = 2, 1, 0
@@ -63,10 +63,15 @@ def _met(
 ) -> DataFrame:
     """Both sides, with no column but the keys in common, one to one: rows of a key are numbered on
     either side in ``order`` (columns of both sides, NULL on the other one), and rows of one key
-    and number become one row. No join: the sides are stacked and numbered together."""
+    and number become one row. No join: the sides are stacked and numbered together. Where every key
+    fits a task, rows are dealt out by key once, for the numbering and the grouping."""
     both = left.withColumn("__side", F.lit(0)).unionByName(
         right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    numbered = number_within(both, [*keys, "__side"], order, "__nth")
+    # rows that share the first key alone are at least as many, and cheaper to count
+    if any(largest_group(both, part) <= RANGE_ROWS for part in (keys[:1], keys)):
+        numbered = number_groups(both.repartition(*keys), [*keys, "__side"], order, "__nth")
+    else:
+        numbered = number_within(both, [*keys, "__side"], order, "__nth")
     # At most one row of each side is in a group.
     cells = [c for c in both.columns if c not in keys and c != "__side"]
     return numbered.groupBy(*keys, "__nth").agg(

@@ -109,10 +109,9 @@ def codes_of(units: np.ndarray) -> np.ndarray:
     return BYTE_CODES[units] if units.dtype == np.uint8 else units
 
 
-def runs(units: np.ndarray, spec: Windows) -> Iterator[tuple]:
-    """Arrays (key, start, count, whole, again) of the runs of a text, chunk by chunk: the
-    representative, the first window, how many follow with it, the hash of all they cover, and
-    whether two windows of the run are equal."""
+def representatives(units: np.ndarray, spec: Windows) -> Iterator[tuple]:
+    """(place of the chunk, hashes of its parts, representative of each of its windows, first window
+    of each stretch with one representative), chunk by chunk."""
     size, span = spec.size, spec.size - spec.gram + 1
     for at in range(0, max(0, len(units) - size + 1), CHUNK):
         part = codes_of(units[at:at + CHUNK + size - 1])
@@ -123,17 +122,26 @@ def runs(units: np.ndarray, spec: Windows) -> Iterator[tuple]:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
         least = np.minimum(least[:n], least[span - reach:span - reach + n])
-        edge = np.flatnonzero(least[1:] != least[:-1]) + 1
-        start = np.concatenate(([0], edge))
-        count = np.diff(np.concatenate((start, [n])))
+        yield at, hashes, least, np.concatenate(
+            ([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+
+
+def runs(units: np.ndarray, spec: Windows) -> Iterator[tuple]:
+    """Arrays (key, start, count, whole, again) of the runs of a text, chunk by chunk: the
+    representative, the first window, how many follow with it, the hash of all they cover, and
+    whether two windows of the run are equal (None where that does not count)."""
+    size = spec.size
+    for at, hashes, least, start in representatives(units, spec):
+        count = np.diff(np.concatenate((start, [len(least)])))
         if count.max() > MOST:
             pieces = -(-count // MOST)
             first = np.repeat(np.cumsum(pieces) - pieces, pieces)
             within = (np.arange(pieces.sum()) - first) * MOST
             count = np.minimum(np.repeat(count, pieces) - within, MOST)
             start = np.repeat(start, pieces) + within
-        again = np.zeros(len(start), bool)
+        again = None
         if spec.within:
+            again = np.zeros(len(start), bool)
             whole, owner = hashes.grams(size), np.repeat(np.arange(len(start)), count)
             for d in range(1, int(count.max())):
                 same = (whole[d:] == whole[:-d]) & (owner[d:] == owner[:-d])
@@ -151,11 +159,12 @@ def _keys(docs: DataFrame, spec: Windows) -> DataFrame:
         for batch in batches:
             found = []
             for value in batch.column(0):
-                own = [np.repeat(key, again + 1) for key, _, _, _, again in
-                       runs(spec.read(value.as_py()), spec)]
-                if own:
-                    own = np.concatenate(own)
-                    found.append(own if spec.within else np.unique(own))
+                units = spec.read(value.as_py())
+                if spec.within:
+                    found += [np.repeat(key, again + 1) for key, _, _, _, again in runs(units, spec)]
+                elif len(units) >= spec.size:
+                    found.append(np.unique(np.concatenate([
+                        least[start] for _, _, least, start in representatives(units, spec)])))
             if found:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(found))], ["key"])
 
@@ -163,9 +172,11 @@ def _keys(docs: DataFrame, spec: Windows) -> DataFrame:
 
 
 def _runs(docs: DataFrame, spec: Windows) -> DataFrame:
+    names = ["key", "whole", "id", "row", "start", "count", *(["again"] if spec.within else [])]
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list] = [[] for _ in range(6)]
+            found: list[list] = [[] for _ in names[1:]]
             for i, value in enumerate(batch.column(2)):
                 for key, start, count, whole, again in runs(spec.read(value.as_py()), spec):
                     for out, x in zip(found, (key, whole, np.full(len(key), i), start, count,
@@ -173,15 +184,16 @@ def _runs(docs: DataFrame, spec: Windows) -> DataFrame:
                         out.append(x)
             if not found[0]:
                 continue
-            key, whole, own, start, count, again = map(np.concatenate, found)
+            key, whole, own, start, count, *again = map(np.concatenate, found)
             own = pa.array(own)
             yield pa.RecordBatch.from_arrays(
                 [_long(key), _long(whole), batch.column(0).take(own), batch.column(1).take(own),
-                 pa.array(start, pa.int32()), pa.array(count, pa.int16()), pa.array(again)],
-                ["key", "whole", "id", "row", "start", "count", "again"])
+                 pa.array(start, pa.int32()), pa.array(count, pa.int16()), *map(pa.array, again)],
+                names)
 
     return docs.select("id", "row", "text").mapInArrow(
-        emit, "key long, whole long, id long, row int, start int, count smallint, again boolean")
+        emit, "key long, whole long, id long, row int, start int, count smallint"
+              + ", again boolean" * spec.within)
 
 
 def _contexts(docs: DataFrame, firsts: DataFrame, spec: Windows) -> DataFrame:
@@ -275,9 +287,10 @@ def find(docs: DataFrame, spec: Windows, compare: Compare, group_rows: int = 100
     repeated = stage(counts.where("n > 1").select("key"))
     left = stage(_runs(docs, spec).join(repeated.hint("shuffle_hash"), "key", "left_semi"))
     # rank whole runs: the first of each is the one that is looked at further
+    again = F.max("again") if spec.within else F.lit(False)
     firsts = stage(left.groupBy("whole").agg(
         F.min(F.struct("id", "start", "row")).alias("first"), F.min("key").alias("key"),
-        F.max("count").alias("count"), F.max("again").alias("again"), F.count("*").alias("n")))
+        F.max("count").alias("count"), again.alias("again"), F.count("*").alias("n")))
     # aggregates are written before they are joined back: both sides of a join are then plain
     # shuffles, which can be split at a key that a third of all runs share
     shared = firsts.groupBy("key").agg(F.count("*").alias("m"), F.max("again").alias("any"))

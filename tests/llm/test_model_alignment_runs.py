@@ -347,3 +347,33 @@ def test_gradients_match_differences(model):
                 ends.append(attention_lm.gradients(p, inputs, truth, fitted.bounds, how)[0])
             value[at] = kept
             assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(g[name][at], abs=2e-4)
+
+
+def test_the_model_learns_from_every_text(spark):
+    # few texts hold a word pair, and a sample of one text in hundreds does not show it
+    rng = np.random.default_rng(3)
+    word = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa"]
+    rows = [(i, " ".join(rng.choice(word, 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    how = attention_lm.Lm(sample_texts=1, per_text=1, steps=5, epochs=1, slice_bytes=1 << 14)
+    table = attention_lm.read(docs, how, "doc_id", "text").cache()
+    counts = attention_lm.subword_counts(chunks.corpus_counts(table), how)
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % how.folds != how.fold]
+    found = attention_lm.neighbours(table, counts, how)
+    # each id has a neighbour before it; the ends have none behind
+    seen = {r.id: sum(n for _, n in r.near) for r in found.collect()}
+    assert sum(seen.values()) == 2 * counts.sum() - len(learned)
+    assert seen[how.end] == len(learned)
+    of_id = attention_lm.clusters(found, counts, how)
+    assert set(np.flatnonzero(of_id < how.groups)) == {i for i, n in seen.items() if n >= 4}
+    none = np.zeros((0, how.window), np.int64), np.zeros((0, how.block), np.int64)
+    start = attention_lm.fit(*none, counts, how, of_id)
+    model = attention_lm.pass_over(table, start)
+    texts = [t for r in table.where(chunks.IS_VOCABULARY).select("chunk").collect()
+             for t in attention_lm.texts_of(attention_lm.learned(table).where(
+                 f"chunk = {r.chunk}").drop("chunk").toArrow())]
+    assert sum(map(len, texts)) == counts.sum()
+    before, after = (attention_lm.Scorer(m).texts(texts).sum() for m in (start, model))
+    assert after > before
+    again = attention_lm.pass_over(table, start)
+    assert all((again.params[k] == v).all() for k, v in model.params.items())

@@ -127,10 +127,18 @@ def period_matrix(
     one row per period and key, are laid out wide."""
     attributes = attributes or {}
     names = [count_name, *measures]
-    counts = df.groupBy(key, period).agg(
+    # The smallest of strings makes Spark sort what it groups, so rows are counted by the attributes
+    # too, in a hash table, and only those counts meet them.
+    by = {n: f"__{n}" for n in attributes}
+    parts = df.groupBy(key, period, *[F.col(c).alias(by[n]) for n, c in attributes.items()]).agg(
         _count().alias(count_name),
         *[(strict_count(c) if strict else F.count_if(c)).alias(n) for n, (c, strict) in measures.items()],
-        *[F.min(c).alias(n) for n, c in attributes.items()],
+    )
+    counts = parts.groupBy(key, period).agg(
+        F.sum(count_name).alias(count_name),
+        *[(F.when(F.count(n) == _count(), F.sum(n)) if strict else F.sum(n)).alias(n)
+          for n, (_, strict) in measures.items()],
+        *[F.min(by[n]).alias(n) for n in attributes],
     )
     wide = counts.groupBy(key).agg(
         *[F.min(n).alias(n) for n in attributes],

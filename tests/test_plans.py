@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentlab.geo import project_points
 from incidentlab.rollup import attach_group
+from incidentlab.tables import period_matrix
 from suite import catalog
 
 PLANNED = sorted(catalog.queries())
@@ -58,3 +59,20 @@ def test_projection_golden_point(spark):
     df = spark.createDataFrame([(1206953.625, 750434.8125)], "x double, y double")
     r = project_points(df, "x", "y").first()
     assert round(r.latitude, 6) == 47.377925 and round(r.longitude, 6) == -122.249638
+
+
+def test_periods_are_counted_without_sorting_the_rows(spark):
+    # a group may hold a third of all rows: only a hash table keeps its memory to the groups
+    rows = [("a", "pre", "x", True), ("a", "pre", None, None), ("a", "pre", "w", True), ("a", "reform", None, False),
+            ("b", "pre", None, True), (None, "pre", "z", True), ("a", None, "u", None)]
+    df = spark.createDataFrame(rows, "agency string, period string, kind string, hit boolean")
+    out = period_matrix(df, "agency", "period", ["pre", "reform"],
+                        {"loose": (F.col("hit"), False), "strict": (F.col("hit"), True)}, attributes={"type": "kind"})
+    got = {r.agency: r.asDict() for r in out.collect()}
+    assert got["a"] == {
+        "agency": "a", "type": "u", "fatalities_pre": 3, "loose_pre": 2, "strict_pre": None, "fatalities_reform": 1,
+        "loose_reform": 0, "strict_reform": 0, "fatalities_tot": 4, "loose_tot": 2, "strict_tot": 0}
+    assert got["b"]["type"] is None and got["b"]["strict_pre"] == 1 and got["b"]["fatalities_reform"] is None
+    assert got[None]["type"] == "z" and got[None]["strict_tot"] == 1
+    below = plan(out).split("Exchange")[-1]  # what reads the rows
+    assert "HashAggregate" in below and "Sort" not in below

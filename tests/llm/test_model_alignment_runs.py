@@ -349,6 +349,28 @@ def test_gradients_match_differences(model):
             assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(g[name][at], abs=2e-4)
 
 
+def test_a_training_step_does_no_work_that_it_drops(model):
+    fitted, texts = model
+    how, p, bounds = fitted.how, fitted.params, fitted.bounds
+    assert attention_lm._mask(how) is attention_lm._mask(how)
+    pairs = [attention_lm.windows(t, how) for t in texts]
+    x, truth = fitted.rows(*(np.concatenate(v) for v in zip(*pairs)))
+    loss, want = attention_lm.gradients(p, x, truth, bounds, how)
+    none, got = attention_lm.gradients(p, x, truth, bounds, how, losses=False)
+    assert loss > 0 and none == 0
+    assert all((got[name] == want[name]).all() for name in want)
+    # each target adds its group's shares to the biases of the classes, less one at its own class,
+    # also where some groups have one row, or none
+    for rows in (slice(0, 1), slice(0, len(x)), slice(0, 0)):
+        used = truth[rows][truth[rows] >= 0]
+        _, g = attention_lm.gradients(p, x[rows], truth[rows], bounds, how, losses=False)
+        sums = np.add.reduceat(g["class_bias"], bounds[:-1])
+        assert sums == pytest.approx(np.zeros(len(sums)), abs=1e-5)
+        seen = np.isin(np.searchsorted(bounds, np.arange(bounds[-1]), "right"),
+                       np.searchsorted(bounds, used, "right"))
+        assert (g["class_bias"][~seen] == 0).all() and np.isfinite(g["class"]).all()
+
+
 def test_the_model_learns_from_every_text(spark):
     # few texts hold a word pair, and a sample of one text in hundreds does not show it
     rng = np.random.default_rng(3)

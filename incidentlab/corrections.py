@@ -35,10 +35,12 @@ def _allowed(rules: DataFrame, condition: str) -> Column:
 def rules_per_key(rules: DataFrame, key: str, conditions: Sequence[str]) -> DataFrame:
     """One row per key: its rules in order. Two rules of a key with one number for one column, an
     unknown operation, a set or add without a value, and a rule without a key are errors."""
-    known = F.col("op").isin(SET, ADD, MISSING) & F.col("rule").isNotNull() & F.col(key).isNotNull()
+    lacking = F.raise_error(F.lit("a rule lacks its key, number, value or a known operation"))
+    # Part of the key itself: a join by it would leave out rules without one, unseen.
+    rules = rules.withColumn(key, F.coalesce(F.col(key), lacking.cast(rules.schema[key].dataType)))
+    known = F.col("op").isin(SET, ADD, MISSING) & F.col("rule").isNotNull()
     valued = (F.col("op") == MISSING) | F.col("value").isNotNull()
-    checked = F.when(known & valued, F.col("op")).otherwise(
-        F.raise_error(F.lit("a rule lacks its key, number, value or a known operation")))
+    checked = F.when(known & valued, F.col("op")).otherwise(lacking)
     entry = F.struct(
         F.col("rule").cast("long").alias("rule"), "column_name", checked.alias("op"),
         F.col("value").cast("string").alias("value"),
@@ -83,7 +85,8 @@ def correct(
     if not isinstance(conditions, Mapping):
         conditions = {c: F.col(c) for c in conditions}
     own = rules.where(F.col("column_name").isin(*columns))
-    joined = null_safe_join(df, rules_per_key(own, key, list(conditions)), [key], "left")
+    # By the plain key, which no rule lacks: records that are dealt out by it stay where they are.
+    joined = df.join(rules_per_key(own, key, list(conditions)), key, "left")
     # one list of a record's own rules, made once for all of its columns
     held = F.filter("__rules", lambda r: _holds(r, conditions))
     joined = joined.withColumn("__held", held)

@@ -102,13 +102,16 @@ def flags(df: DataFrame) -> DataFrame:
     return df.withColumn("pursuit_tag", any_code(["pursuit_driver", "pursuit_crash"], 1))
 
 
-def _add_factors(raw: DataFrame, factors: DataFrame) -> DataFrame:
-    """Factor columns of the separate delivery where the person file has none."""
-    keys = ["par", "year"]
-    new = [c for c in factors.columns if c not in keys]
-    delivered = factors.select(*keys, *[F.col(c).alias(f"__{c}") for c in new])
+def _add_factors(raw: DataFrame, factors: DataFrame, dealt: bool) -> DataFrame:
+    """Factor columns of the separate delivery where the person file has none; not for records of the
+    supplement. ``dealt`` says that the rows come from ``together`` by incident: they are joined by it
+    and held against the years of its factors, as a join by both keys would move them again."""
+    new = [c for c in factors.columns if c not in ("par", "year")]
+    delivered = factors.select(*[F.col(c).alias(f"__{c}") for c in ["par", "year", *new]])
+    year = F.col("year").between(F.col("__year"), F.col("__year")) if dealt else F.col("year") == F.col("__year")
+    joined = raw.join(delivered, (F.col("par") == F.col("__par")) & year & ~F.col("__supplement"), "left")
     value = {c: F.coalesce(c, f"__{c}") if c in raw.columns else F.col(f"__{c}") for c in new}
-    return raw.join(delivered, keys, "left").withColumns(value).drop(*[f"__{c}" for c in new])
+    return joined.withColumns(value).drop(*delivered.columns)
 
 
 def build(
@@ -119,22 +122,25 @@ def build(
     separately for early years, ``extra`` is a hand-transcribed supplement in the same
     layout, ``fixes`` rules of ``corrections`` by ``par`` and, if they say so, record: drivers and
     officers that the factors do not show, counts that are too low."""
-    raw = union_sources(years, {"accmon": "double", "accday": "double"})
-    if factors is not None:
-        raw = _add_factors(raw, factors)
+    raw = union_sources(years, {"accmon": "double", "accday": "double"}).withColumn("__supplement", F.lit(False))
     if extra is not None:
-        raw = union_sources([raw, extra])
-    df = flags(raw)
+        raw = union_sources([raw, extra.withColumn("__supplement", F.lit(True))])
+    # Factors, corrections, flags and totals all go by the incident, so its records move once for them.
+    dealt = together(raw, "par", factors)
+    df = raw if dealt is None else dealt
+    if factors is not None:
+        df = _add_factors(df, factors, dealt is not None)
+    df = flags(df.drop("__supplement"))
     if fixes is not None:
         df = correct(df, fixes, "par", CORRECTED, conditions={"record_id": record_id()})
     # Rows without a person type are leftovers unless they are a parked empty car.
-    df = stage(df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1)))
+    df = df.where(F.col("ptype").isNotNull() | (F.col("parked_empty_car") == 1))
 
-    pursued, records, dealt = F.col("pursuit_driver") == 1, F.count(F.lit(1)), together(df, "par")
+    pursued, records = F.col("pursuit_driver") == 1, F.count(F.lit(1))
     if dealt is not None:
-        df = propagate_within(dealt, "par", pursued, "vnumber", aggs={"records": records})
-    else:
-        df = propagate(df, "par", pursued, "vnumber", aggs={"records": (records, F.sum)})
+        df = propagate_within(df, "par", pursued, "vnumber", aggs={"records": records})
+    else:  # several branches read it
+        df = propagate(stage(df), "par", pursued, "vnumber", aggs={"records": (records, F.sum)})
     # The long id is made of columns that nothing above changes, so it is not stored or moved.
     df = df.withColumn("record_id", record_id())
     df = fill_zero(df, ["pursuit_driver", "pursuit_crash", "pursuit_tag", "is_officer"])

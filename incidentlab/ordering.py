@@ -74,10 +74,24 @@ def number_global(
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group, at least if they are more than ``RANGE_ROWS``. Counted when this is
     called, so hand over a stored table."""
-    rows = df.count()  # no group can be larger; of a stored table only footers are read
-    if rows <= RANGE_ROWS:
-        return rows
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).agg(F.max("__rows")).first()[0]
+    return group_sizes(df, keys)[1]
+
+
+def group_sizes(
+    df: DataFrame, keys: Sequence[str], matched: DataFrame | None = None
+) -> tuple[int, int]:
+    """All rows, and those of the largest group as in ``largest_group``. With ``matched``, a table with
+    the same keys, every row of a group counts once for each match there."""
+    rows = df.count()  # of a stored table only footers are read
+    most = rows if matched is None else rows * max(1, matched.count())  # no group can be larger
+    if most <= RANGE_ROWS:
+        return rows, most
+    one, none = F.lit(1), F.lit(0)
+    sides = df.select(*keys, one.alias("__rows"), none.alias("__matches"))
+    if matched is not None:
+        sides = sides.unionByName(matched.select(*keys, none.alias("__rows"), one.alias("__matches")))
+    sizes = sides.groupBy(*keys).agg(F.sum("__rows").alias("__rows"), F.sum("__matches").alias("__matches"))
+    return rows, sizes.agg(F.max(F.col("__rows") * F.greatest("__matches", one))).first()[0]
 
 
 def number_groups(

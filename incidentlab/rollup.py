@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import names
 from .io import stage
-from .ordering import RANGE_ROWS, keep_first, largest_group, number_groups, number_within
+from .ordering import RANGE_ROWS, group_sizes, keep_first, number_groups, number_within
 from .rsem import ColumnLike, as_column, first_match, flag, known_level, matches, null_safe_join, strict_count
 
 
@@ -23,10 +23,17 @@ def attach_group(df: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Col
     return null_safe_join(df, totals, keys, "left")
 
 
-def together(df: DataFrame, key: str) -> DataFrame | None:
+def together(df: DataFrame, key: str, matched: DataFrame | None = None) -> DataFrame | None:
     """The rows dealt out by the key, if each of its groups fits a task; None if one does not. Windows
-    over the key, alone or with further columns, then move no row again."""
-    return df.repartition(key) if largest_group(df, [key]) <= RANGE_ROWS else None
+    over the key, alone or with further columns, and joins by the key alone then move no row again.
+    ``matched`` is a table that such a join brings in: a group has to fit with all of its matches."""
+    rows, largest = group_sizes(df, [key], matched)
+    if largest > RANGE_ROWS:
+        return None
+    # A task that sorts more rows than that may have to spill them.
+    least = -(-rows // RANGE_ROWS)
+    few = least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(least, key) if few else df.repartition(key)
 
 
 def propagate_within(

@@ -87,7 +87,7 @@ def state_persons(t, rows=None, rules=None, supplement=None):
     c = F.col
     empty = F.lit(None).cast("int")
     rows = lines(t) if rows is None else rows
-    base = rows.select(
+    columns = [
         c("case_id").cast("string").alias("par"), "year", c("date").alias("crash_dt"),
         F.month("date").alias("accmon"), F.dayofmonth("date").alias("accday"),
         c("unit").alias("vnumber"), F.nullif("person", F.lit(0)).alias("pnumber"),
@@ -106,13 +106,15 @@ def state_persons(t, rows=None, rules=None, supplement=None):
         (c("x") % 3 + 1).alias("sex"), F.lit("x").alias("race_me"), F.lit("x").alias("hispanic"),
         F.lit(1).alias("repjur"), F.lit("x").alias("investjur"), F.lit("x").alias("repag_long"),
         F.lit(0).alias("diedscene"), c("date").alias("death_dt"),
-    )
-    crash = rows.select(
+    ]
+    base = rows.select(*columns)
+    # A finished file like the others.
+    crash = stage(rows.select(
         c("case_id").cast("string").alias("par"), "year",
         F.when(c("priority") == "1-URGENT", 20).alias("cf1"), empty.alias("cf2"), F.lit(0).alias("cf3"),
         empty.alias("crf1"),
         F.when((c("priority") == "2-HIGH") & (c("order_status") == "F"), 20).alias("crf2"), empty.alias("crf3"),
-    ).distinct()
+    ).distinct())
     # Early years carry month and day as text.
     early = base.where(c("year") < 1999).withColumns(
         {"accmon": c("accmon").cast("string"), "accday": c("accday").cast("string")}
@@ -120,8 +122,9 @@ def state_persons(t, rows=None, rules=None, supplement=None):
     late = base.where(c("year") >= 1999)
     extra = None
     if supplement is not None:
-        ids = rows.where(supplement).select(c("case_id").cast("string").alias("par")).distinct()
-        extra = base.join(ids, "par").join(crash, ["par", "year"]).withColumn("par", F.concat(F.lit("X"), "par"))
+        # The condition is one on the case, so it holds for all of its rows or for none.
+        extra = stage(rows.where(supplement).select(*columns).join(crash, ["par", "year"]).withColumn(
+            "par", F.concat(F.lit("X"), "par")))
     return state_person.build([early, late], factors=crash, extra=extra, fixes=rules)
 
 
